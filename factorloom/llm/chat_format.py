@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, map_arrow
 
 START, END, BREAK = "<|im_start|>", "<|im_end|>", "<|nl|>"
 _CONTROL = re.compile(r"<(\\*)\|")
@@ -72,7 +72,8 @@ def format_turns(conversations: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _TYPES)] if out else [pa.array([], t) for t in _TYPES], names=_NAMES)
 
     rows = conversations.select("conv_id", "turn", "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, TURNS)
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return map_arrow(rows, run, TURNS)
 
 
 _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
@@ -107,7 +108,7 @@ def digests(turns: DataFrame) -> DataFrame:
         if state is not None:
             yield pa.RecordBatch.from_pylist([dict(zip(_OUT.names, x)) for x in done()], schema=_OUT)
 
-    return turns.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(turns, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 _OUT = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: A-Z to a-z, everything that separates `[0-9a-z non-ASCII]` words to a blank.
 WORD_TABLE = bytes(
     (b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256)
@@ -49,6 +51,7 @@ def drop_dir(spark: SparkSession, uri: str) -> None:
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    ship(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 

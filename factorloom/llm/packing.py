@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import END_ID, column, crc32, encoder, text_bytes
+from .common import END_ID, column, crc32, encoder, map_arrow, text_bytes
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -171,7 +171,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, chunk: int = 204
         if packer.out:
             yield emit()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)
 
 
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]

@@ -176,7 +176,7 @@ def links(distinct: DataFrame, bits: int = 3, blocks: int = 4) -> DataFrame:
                         b.append(max(p, q))
         yield pa.RecordBatch.from_arrays([pa.array(names[np.array(x, np.int64)].view(np.int64)) for x in (a, b)], names=["a", "b"])
 
-    return keyed.repartition("choice", "same").mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(keyed.repartition("choice", "same"), run, "a long, b long").distinct()
 
 
 def _signed(x: int) -> int:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import END_ID, column, crc32, encoder, text_bytes
+from .common import END_ID, column, crc32, encoder, map_arrow, text_bytes
 
 _NULL = -(1 << 63)
 MANIFEST = "part int, file string, n_docs long, n_ids long, n_bytes long"
@@ -82,7 +82,7 @@ def write(docs: DataFrame, directory: str, tokenizer: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return rows.mapInArrow(run, MANIFEST)
+    return map_arrow(rows, run, MANIFEST)
 
 
 def read(manifest: list, directory: str, spark) -> DataFrame:
@@ -111,4 +111,4 @@ def read(manifest: list, directory: str, spark) -> DataFrame:
                         start += len(ids)
 
     rows = spark.createDataFrame(files, "uri string, start long").repartition(len(files))
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(rows, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
