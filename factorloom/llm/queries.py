@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, packing, simhash, token_output
+from . import chat_format, decontaminate, license_scan, packing, quality_classifier, quality_rules, simhash, token_output
 from .common import shared_dir, tokenizer_path
 
 
@@ -24,10 +24,22 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_turns(rows.unionByName(chat_format.probe(spark))))
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = shared_dir(spark) + "/ids"
     manifest = token_output.write(table(spark, sf_dir, "documents"), directory, tokenizer_path()).collect()
@@ -43,7 +55,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_license_scan": op2,
         "op3_chat_format": op3,
+        "op5_decontaminate": op5,
         "op6_packing": op6,
+        "op7_quality_rules": op7,
+        "op8_quality_classifier": op8,
         "op9_token_output": op9,
         "op10_simhash": op10,
     }
