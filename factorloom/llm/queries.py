@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, packing, quality_classifier, quality_rules, simhash, token_output
+from . import chat_format, decontaminate, license_scan, packing, pii, quality_classifier, quality_rules, simhash, token_output
 from .common import shared_dir, tokenizer_path
 
 
@@ -24,6 +24,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_turns(rows.unionByName(chat_format.probe(spark))))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_license_scan": op2,
         "op3_chat_format": op3,
+        "op4_pii": op4,
         "op5_decontaminate": op5,
         "op6_packing": op6,
         "op7_quality_rules": op7,
