@@ -1,10 +1,63 @@
-"""The corpus pipeline: documents in, packed sequences out."""
+"""The corpus pipeline: documents in, packed sequences out.
+
+Each stage gets what its predecessor kept, and all but the last return the columns of documents. Null texts are
+empty and leave with the first stage; repeated rows are near-duplicates of each other; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factorloom.llm import decontaminate, packing, pii, quality_classifier, simhash
+from factorloom.llm.common import cut, tokenizer_path
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that importance resampling selects."""
+    return quality_classifier.keep_selected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each SimHash component the row with the smallest doc_id (null counts as the smallest; of rows that share it, one)."""
+    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    found = simhash.simhash_components(docs.withColumn("doc_id", key))
+    kept = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct())
+    rows = docs.withColumn("_key", key).join(kept, "_key", "left_semi")
+    return rows.dropDuplicates(["_key"]).select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item."""
+    leaks = cut(decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind."""
+    return pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens, one row per piece."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_classifier", classify),
+    ("simhash_near_dedup", near_dedup),
+    ("decontamination", drop_leaks),
+    ("pii", redact),
+    ("packing", pack),
+]
+#: SQL can't express the stages; tests/llm compares them with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        rows = stage(spark, rows, sf_dir)
+        if i + 1 < len(STAGES):
+            rows = cut(rows)
+    return rows

@@ -25,7 +25,7 @@ UNITS = (
     "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|miles?|ft|feet|inch(?:es)?|meters?|metres?|kilometers?|kilometres?|liters?|litres?|l|ml|"
     "hours?|hrs?|h|minutes?|mins?|seconds?|secs?|s|days?|weeks?|months?|years?|dollars?|cents?|euros?|pounds?|percent|degrees?"
 )
-NAME = "([\\p{L}\\p{N},;:] +)(\\p{Lu}\\p{L}+)"
+NAME = "([\\p{L}\\p{N},;:] +)(\\p{Lu}\\p{Ll}+)"
 NUMBER = f"[-+]?[$€£]?[0-9]+(?:[.,:/][0-9]+)*(?:%|\\b *(?i:{UNITS})\\b)?"
 
 

@@ -103,8 +103,9 @@ def scan(text: bytes, phrases: list[tuple[bytes, str]], notices: list[Notice]) -
         for a, b, edits in notice.find(joined):
             labels.add(notice.label)
             score = max(score, 1 - edits / len(notice.text))
-            first = joined.count(b" ", 0, a + (joined[a : a + 1] == b" ")) - (joined[a : a + 1] != b" ")
-            spans.append((notice.label, max(first, 0), joined.count(b" ", 0, b), edits))
+            first = joined.count(b" ", 0, a) - (joined[a : a + 1] != b" ")
+            last = joined.count(b" ", 0, b) - 1 - (joined[b - 1 : b] == b" ")
+            spans.append((notice.label, first, last, edits))
     return {
         "n_words": len(words), "n_base": len(places), "first_word": min(places, default=None),
         "last_word": max(places, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)),

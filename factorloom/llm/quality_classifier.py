@@ -6,8 +6,8 @@ raw model counts every document. The target model counts the good and harmless d
 labelled sample). A document's log weight is the log ratio of the two models over its grams, per word, shrunk
 towards zero for short texts. Documents are then resampled without replacement by Gumbel top-k: key =
 sharpness * log weight + Gumbel noise drawn from a hash of the id, and the k largest keys are
-selected, where k is the number of documents whose log weight reaches what all but `tail` of the target rows have,
-less `margin`. The k-th key is found exactly by counting key bits 16 at a time, so neither rows nor keys are
+selected, where k is the number of documents whose log weight reaches what all but `tail` of the held-out target rows
+(half of them) have, less `margin`. The k-th key is found exactly by counting key bits 16 at a time, so neither rows nor keys are
 collected; rows tied with it are all selected.
 
 Null and texts without words get the log weight -99 and are never selected. Without labelled
@@ -59,6 +59,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000, tail: floa
     sample = labels.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(label_rows)
     good = sample.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long")).toPandas()["doc_id"]
     good = np.unique(good.to_numpy(np.int64))
+    # one half of the target rows fits the model, the other tells how unseen target rows score
+    halves = mix(mix(good.view(np.uint64))) & np.uint64(1) == 0
+    good, held_out = good[halves], good[~halves]
     size = 1 << BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +96,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000, tail: floa
     if not len(good):
         ratio[:] = 0
     model = Model(ratio.astype(np.float32), -1.0, sharpness, seed, prior)
-    if len(good):
-        wanted = docs.sparkSession.createDataFrame(_ids(good), "doc_id long")
+    if len(good) and len(held_out):
+        wanted = docs.sparkSession.createDataFrame(_ids(held_out), "doc_id long")
         known = score(docs.join(F.broadcast(wanted), "doc_id", "left_semi"), model)
         weights = np.sort(known.where(F.col("log_weight") > NOTHING).select("log_weight").toPandas()["log_weight"].to_numpy())
         if len(weights):
@@ -136,7 +139,8 @@ def cutoff(scores: DataFrame, k: int) -> float:
     low, left = 0, k
     for shift in (48, 32, 16, 0):
         part = F.shiftright("whole", shift)
-        found = rows.where(F.shiftright("whole", shift + 16) == low).groupBy((part - low * 65536).alias("part")).count().collect()
+        inside = rows if shift == 48 else rows.where(F.shiftright("whole", shift + 16) == low)
+        found = inside.groupBy((part - low * 65536).alias("part")).count().collect()
         for part_, n in sorted(((r["part"], r["count"]) for r in found), reverse=True):
             if left <= n:
                 low = low * 65536 + part_
