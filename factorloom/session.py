@@ -1,13 +1,14 @@
-"""Makes the package importable in Python workers."""
+"""Shared plumbing: shipping the package to workers, and cutting lineage in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -24,3 +25,19 @@ def ship(spark: SparkSession) -> None:
             archive.write(path, os.path.join(root.name, path.relative_to(root)))
     context.addPyFile(str(target))
     _SHIPPED.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below the shared folder that the session names; where it names none, one is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="factorloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes the rows to the shared folder and reads them back: lineage ends in files that outlive executors."""
+    path = shared_dir(df.sparkSession) + "/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
