@@ -5,8 +5,6 @@ from __future__ import annotations
 import itertools
 import os
 import re
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
+from ..session import cut, shared_dir, ship  # noqa: F401
 
 #: A-Z to a-z, everything that separates `[0-9a-z non-ASCII]` words to a blank.
 WORD_TABLE = bytes(
@@ -29,27 +27,6 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the shared folder that the session names; where it names none, one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="factorloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back: lineage ends in files that outlive executors."""
-    path = shared_dir(df.sparkSession) + "/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_dir(spark: SparkSession, uri: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(f, schema)
