@@ -32,19 +32,28 @@ def _add(a: Column, b: Column) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(_LOW)))
 
 
+def _bound(x: Column, f) -> Column:
+    """f(x) with x evaluated once: each mixing step names its argument twice, and the plan would double with each."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def hash64(seed, i, j) -> Column:
     """The hash as a signed long."""
-    i, j = _long(i), _long(j)
-    i = _left(_right(_left(i, 19), 7), 36)
-    x = _add(_long(seed), i)
-    x = _left(_right(_left(x, 38), 13), 23)
-    j = _right(_left(_right(j, 7), 23), 8)
-    x = _add(x, j)
-    return _right(_left(_right(x, 7), 53), 4)
+    seed = _long(seed)
+    x = _bound(_left(_long(i), 19), lambda x: _left(_right(x, 7), 36))
+    x = _bound(_add(seed, x), lambda x: _right(_left(x, 38), 13))
+    j = _bound(_right(_long(j), 7), lambda x: _right(_left(x, 23), 8))
+    x = _bound(x, lambda x: _add(_left(x, 23), j))
+    x = _bound(x, lambda x: _left(_right(x, 7), 53))
+    return _bound(x, lambda x: _right(x, 4))
 
 
 def unsigned_mod(x: Column, p: int) -> Column:
     """x mod p with x read as unsigned; p below 2**31."""
+    return _bound(x, lambda x: _mod(x, p))
+
+
+def _mod(x: Column, p: int) -> Column:
     high, low = F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(_LOW))
     return ((high % p) * F.lit((1 << 32) % p).cast("long") + low % p) % p
 
@@ -55,9 +64,8 @@ def masked(seed, i, j, inverse_density: int) -> Column:
 
 def uniform(seed, i, j) -> Column:
     """In [0, 1]: the unsigned hash over 2**64."""
-    x = hash64(seed, i, j)
-    high, low = F.shiftrightunsigned(x, 32).cast("double"), x.bitwiseAND(F.lit(_LOW)).cast("double")
-    return (high * 4294967296.0 + low) / 18446744073709551616.0
+    share = lambda x: (F.shiftrightunsigned(x, 32).cast("double") * 4294967296.0 + x.bitwiseAND(F.lit(_LOW)).cast("double")) / 18446744073709551616.0
+    return _bound(hash64(seed, i, j), share)
 
 
 def hash64_np(seed: int, i, j) -> np.ndarray:

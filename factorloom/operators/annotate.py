@@ -157,7 +157,7 @@ def leaf_order(rows: np.ndarray, binary: bool = False) -> list[int]:
 def annotation_plot(results: DataFrame, top: float = 100.0) -> DataFrame:
     """(group, factor, fc, neglog10): missing and negative fc are 0, fc is 0 where -log10 p rounds to 0; -log10 is at most `top`; empty factors and groups go."""
     cells = results.select("group").distinct().crossJoin(results.select("factor").distinct()).join(results, ["group", "factor"], "left")
-    score = F.least(-F.log10(F.greatest(F.coalesce("p", F.lit(1.0)), F.lit(1e-300))), F.lit(top))
+    score = F.least(-F.log10(F.greatest(F.coalesce("p", F.lit(1.0)), F.lit(1e-300))), F.lit(top)) + 0.0
     fc = F.greatest(F.coalesce("fc", F.lit(0.0)), F.lit(0.0))
     cells = cells.select("group", "factor", F.when(F.rint(score) == 0, 0.0).otherwise(fc).alias("fc"), score.alias("neglog10"))
     by = lambda c: F.max("fc").over(W.partitionBy(c)) > 0

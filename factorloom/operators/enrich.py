@@ -86,7 +86,7 @@ def heatmap(results: DataFrame, per_factor: int = 3, drop_common: bool = True) -
     rows = rows.withColumn("hits", F.sum((F.col("score") > limit).cast("int")).over(by_set)).withColumn("k", F.count("*").over(by_set))
     if drop_common:
         rows = rows.where(F.col("hits") <= F.col("k") / 2)
-    top = F.row_number().over(W.partitionBy("factor").orderBy(F.col("share").desc(), "set_id"))
+    top = F.row_number().over(W.partitionBy("factor").orderBy(F.round("share", 9).desc(), "set_id"))
     picked = rows.where(F.col("score") > limit).withColumn("r", top).where(F.col("r") <= per_factor).select("set_id").distinct()
     name = F.col("set_id").cast("string")
     label = F.when(F.length(name) > 48, F.concat(F.substring(name, 1, 45), F.lit("..."))).otherwise(name)

@@ -37,9 +37,10 @@ def local_knn(vectors: DataFrame, coords: DataFrame, k: int, radius: float, metr
     """k nearest in factor space among spatial neighbours; vectors(sample_id, v). Ties go to the smaller id; zero distances take a place but are no edges."""
     pairs = near_pairs(coords, radius).where("dst <> src").select("dst", "src")
     both = pairs.join(vectors.select(F.col("sample_id").alias("dst"), F.col("v").alias("p")), "dst").join(vectors.select(F.col("sample_id").alias("src"), F.col("v").alias("q")), "src")
-    value = METRICS[metric](F.col("p"), F.col("q"))
+    # rounded to 9 digits, so that equal distances tie whatever the order of summation
+    value = F.round(METRICS[metric](F.col("p"), F.col("q")), 9)
     if similarity and metric in ("jaccard", "cosine"):
-        value = 1 - value
+        value = F.round(1 - value, 9)
     found = both.select("dst", "src", value.alias("weight"))
     if max_dist:
         found = found.where(F.col("weight") <= max_dist)

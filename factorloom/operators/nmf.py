@@ -237,8 +237,13 @@ def rescale(f: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
 def distance(a: DataFrame, b: DataFrame, k: int) -> float:
     """1 - Pearson correlation over all entries of two factors."""
     both = a.select("id", F.col("weights").alias("x")).join(b.select("id", F.col("weights").alias("y")), "id")
-    r = both.select(F.explode(F.arrays_zip("x", "y")).alias("p")).agg(F.corr("p.x", "p.y")).first()[0]
-    return 1.0 if r is None or r != r else 1 - r
+    cells = both.select(F.explode(F.arrays_zip("x", "y")).alias("p")).select(F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    means = cells.agg(F.avg("x").alias("mx"), F.avg("y").alias("my")).first()
+    dx, dy = F.col("x") - F.lit(means["mx"]), F.col("y") - F.lit(means["my"])
+    sums = cells.agg(F.sum(dx * dy).alias("xy"), F.sum(dx * dx).alias("xx"), F.sum(dy * dy).alias("yy")).first()
+    scale = (sums["xx"] * sums["yy"]) ** 0.5 if sums["xx"] else 0.0
+    # a constant factor has no correlation: not converged
+    return 1 - sums["xy"] / scale if scale else 1.0
 
 
 @dataclass

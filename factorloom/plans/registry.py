@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import matrix_queries, model_queries
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+flagship = model_queries.flagship
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return matrix_queries.QUERIES | model_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return matrix_queries.SQL | model_queries.SQL
