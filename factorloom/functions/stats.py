@@ -10,11 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType
 
 _NORMAL = NormalDist()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def inverse_normal(p: pd.Series) -> pd.Series:
     return p.map(lambda x: _NORMAL.inv_cdf(x) if x is not None and 0 < x < 1 else None).astype("float64")
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType
 
 from ..functions import stats
 from . import prepare
@@ -94,7 +95,7 @@ def moderated(fit: DataFrame, proportion: float = 0.01) -> DataFrame:
     return out.withColumn("lods", F.lit(math.log(proportion / (1 - proportion))) - F.log(r) / 2 + kernel)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     """Upper tail of Student's t."""
     return pd.Series([1 - stats.t_cdf(a, b) for a, b in zip(t, df)], dtype="float64")

@@ -55,6 +55,7 @@ class Model:
         return df.select(ident, F.posexplode("weights").alias("factor", "weight"))
 
     def subset(self, factors: list[int], samples: DataFrame | None = None) -> Model:
+        factors = [int(f) for f in factors]
         pick = F.array(*[F.get("weights", f) for f in factors])
         h = self.h if samples is None else self.h.join(samples, "sample_id", "left_semi")
         return Model(self.w.select("feature_id", pick.alias("weights")), self.d[factors], h.select("sample_id", pick.alias("weights")), dict(self.misc))
