@@ -1,8 +1,8 @@
 """Chat formatting with a grammar round trip.
 
 A turn is rendered as ``<|im_start|>role\\ntext<|im_end|>\\n``. A deterministic parser reads the
-rendering back; as long as it does not recover the very turn, or finds anything but one turn, the
-content is escaped: every ``<``, backslashes, ``|`` gets one more backslash, and a line break in a
+rendering back; to it every control string is a token, wherever it stands. As long as it does not recover the very
+turn, or finds anything but one turn, the content is escaped: every ``<``, backslashes, ``|`` gets one more backslash, and a line break in a
 role becomes ``<|nl|>``. The parser always takes one backslash away, so escaping is reversible and
 what needs none stays as it is. Loss marks the text of assistant turns.
 
@@ -26,7 +26,7 @@ from .common import column, map_arrow
 START, END, BREAK = "<|im_start|>", "<|im_end|>", "<|nl|>"
 _CONTROL = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
-_TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
+_TOKEN = re.compile(r"(<\|im_start\|>|<\|im_end\|>)")
 TURNS = "conv_id long, turn_no long, rendered string, loss_start long, loss_end long, assistant boolean"
 
 
@@ -40,12 +40,14 @@ def unescape(text: str) -> str:
 
 def parse(rendered: str) -> list[tuple[str, str]] | None:
     """The turns of a rendering; None if it isn't one."""
-    turns, at = [], 0
-    while at < len(rendered):
-        if not (m := _TURN.match(rendered, at)):
+    parts, turns = _TOKEN.split(rendered), []
+    if len(parts) % 4 != 1 or parts[0]:
+        return None
+    for start, content, end, behind in zip(*[iter(parts[1:])] * 4):
+        role, line, text = content.partition("\n")
+        if (start, end, behind, line) != (START, END, "\n", "\n"):
             return None
-        turns.append((unescape(m[1].replace(BREAK, "\n")), unescape(m[2])))
-        at = m.end()
+        turns.append((unescape(role.replace(BREAK, "\n")), unescape(text)))
     return turns
 
 

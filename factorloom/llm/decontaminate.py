@@ -1,6 +1,6 @@
 """Benchmark decontamination by templates. DataFrame functions only.
 
-A text becomes a row of tokens. Numbers (with an attached unit or sign), units behind a number and names
+A text becomes a row of tokens. Numbers (each with the unit behind it, and the parts of a decimal one by one) and names
 (capitalised words inside a sentence) become typed placeholders; every other token is its lower-cased word.
 Windows of five template tokens with at least two plain words are hashed and joined by equality with the benchmark's.
 An item is leaked by a document that holds at least `least` of the item's distinct windows and
@@ -22,25 +22,24 @@ from .common import cut
 
 WIDTH, LEAST, BROADCAST = 5, 0.8, 500_000
 UNITS = (
-    "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|miles?|ft|feet|inch(?:es)?|meters?|metres?|kilometers?|kilometres?|liters?|litres?|l|ml|"
+    "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|miles?|ft|feet|inch|inches|meters?|metres?|kilometers?|kilometres?|liters?|litres?|l|ml|"
     "hours?|hrs?|h|minutes?|mins?|seconds?|secs?|s|days?|weeks?|months?|years?|dollars?|cents?|euros?|pounds?|percent|degrees?"
 )
 NAME = "([\\p{L}\\p{N},;:] +)(\\p{Lu}\\p{Ll}+)"
-NUMBER = f"[-+]?[$€£]?[0-9]+(?:[.,:/][0-9]+)*(?:%|\\b *(?i:{UNITS})\\b)?"
+MEASURE = f"([0-9]) *(?:{UNITS})\\b"
+OTHER = "[^\\p{L}\\p{N}\u0001]+"
 
 
 def templates(rows: DataFrame, key: str) -> DataFrame:
-    """key, h (hash of each template token, 0..2 for placeholders' kinds) and raw (hash of each token as it stands)."""
+    """key, h (hash of each template token, 1 and 2 for names and numbers) and raw (hash of each token as it stands)."""
     text = F.coalesce("text", F.lit(""))
     # two passes, as a match takes the word before it
-    names = F.regexp_replace(F.regexp_replace(text, NAME, "$1\u0001$2"), NAME, "$1\u0001$2")
-    marked = F.when(text.rlike("[0-9]"), F.regexp_replace(names, f"\u0001?({NUMBER})", " \u0002$1 ")).otherwise(names)
-    # a number keeps its inner marks and its unit stays attached to it
-    plain = F.regexp_replace(marked, "\u0002([^ ]+) +(?=\\p{L}+ )", "\u0002$1_")
-    plain = F.when(marked.contains("\u0002"), plain).otherwise(marked)
-    words = F.split(F.trim(F.regexp_replace(F.lower(plain), "[^\\p{L}\\p{N}\u0001\u0002_]+", " ")), " ")
+    names = F.lower(F.regexp_replace(F.regexp_replace(text, NAME, "$1\u0001$2"), NAME, "$1\u0001$2"))
+    # a unit goes with its number
+    marked = F.when(text.rlike("[0-9]"), F.regexp_replace(names, MEASURE, "$1 ")).otherwise(names)
+    words = F.split(F.trim(F.regexp_replace(marked, OTHER, " ")), " ")
     rows = rows.select(F.col(key).cast("long").alias(key), words.alias("words"))
-    kind = lambda w: F.when(w.startswith("\u0001"), F.lit(1).cast("long")).when(w.startswith("\u0002"), F.lit(2).cast("long")).otherwise(F.xxhash64(w))
+    kind = lambda w: F.when(w.startswith("\u0001"), F.lit(1).cast("long")).when(F.left(w, F.lit(1)).between("0", "9"), F.lit(2).cast("long")).otherwise(F.xxhash64(w))
     return rows.select(key, F.transform("words", kind).alias("h"), F.transform("words", lambda w: F.xxhash64(w)).alias("raw"))
 
 

@@ -74,5 +74,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_CHAT = r"""WITH t AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, CASE WHEN contains(text, '<|im_start|>') OR contains(text, '<|im_end|>') OR regexp_matches(text, '<\\+\|') THEN len(regexp_extract_all(text, '<\\*\|')) ELSE 0 END AS more FROM t)
+SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+CAST(COALESCE(SUM(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(COALESCE(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+CAST(SUM(length(role) + length(text) + more + 24) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+
+
+def _words(text: str) -> str:
+    """The tokens of a text, as decontaminate.templates has them."""
+    name = decontaminate.NAME
+    names = f"lower(regexp_replace(regexp_replace({text}, '{name}', '\\1' || chr(1) || '\\2', 'g'), '{name}', '\\1' || chr(1) || '\\2', 'g'))"
+    return f"string_split(trim(regexp_replace(regexp_replace({names}, '{decontaminate.MEASURE}', '\\1 ', 'g'), '[^\\p{{L}}\\p{{N}}\\x01]+', ' ', 'g')), ' ')"
+
+
+_KIND = "CASE WHEN w[{0}] LIKE chr(1) || '%' THEN chr(1) WHEN regexp_matches(w[{0}], '^[0-9]') THEN chr(2) ELSE w[{0}] END"
+_WINDOW = " || ' ' || ".join(_KIND.format(f"i + {k}") for k in range(5))
+_PLAIN = " + ".join(f"CASE WHEN regexp_matches(w[i + {k}], '^[\\x010-9]') THEN 0 ELSE 1 END" for k in range(5))
+_LEAKS = f"""WITH d AS (SELECT DISTINCT doc_id, {_words("COALESCE(text, '')")} AS w FROM documents), b AS (SELECT item_id, {_words("COALESCE(text, '')")} AS w FROM benchmark),
+bw AS (SELECT item_id, w, i, {_WINDOW} AS win FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b) WHERE {_PLAIN} >= 2),
+dw AS (SELECT doc_id, w, i, {_WINDOW} AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d) WHERE {_PLAIN} >= 2),
+n AS (SELECT item_id, COUNT(DISTINCT win) AS n FROM bw GROUP BY 1),
+hit AS MATERIALIZED (SELECT doc_id, item_id, win, bw.w[bw.i : bw.i + 4] AS x, dw.w[dw.i : dw.i + 4] AS y FROM dw JOIN bw USING (win)),
+cov AS (SELECT doc_id, item_id, COUNT(DISTINCT win) / ANY_VALUE(n) AS coverage FROM hit JOIN n USING (item_id) GROUP BY 1, 2 HAVING COUNT(DISTINCT win) / ANY_VALUE(n) >= {decontaminate.LEAST}),
+s AS (SELECT doc_id, item_id, x[k] AS p, y[k] AS q FROM hit, range(1, 6) r(k) WHERE regexp_matches(x[k], '^[\\x010-9]')),
+con AS (SELECT doc_id, item_id, COUNT(DISTINCT p) / COUNT(DISTINCT p || ' ' || q) AS c FROM s GROUP BY 1, 2),
+ok AS (SELECT doc_id, COUNT(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, MAX(coverage) AS coverage FROM cov LEFT JOIN con USING (doc_id, item_id) WHERE COALESCE(c, 1) >= {decontaminate.LEAST} GROUP BY 1)
+SELECT doc_id, n_items IS NOT NULL AS leaked, COALESCE(n_items, 0) AS n_items, COALESCE(item_ids, '') AS item_ids, COALESCE(coverage, 0) AS coverage FROM documents LEFT JOIN ok USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_format": _CHAT, "op5_decontaminate": _LEAKS}
