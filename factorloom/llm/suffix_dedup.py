@@ -38,7 +38,7 @@ WIDTH = 8
 _SECOND = np.random.Generator(np.random.PCG64(78)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FIRST = np.random.Generator(np.random.PCG64(79)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _GROUP = 1 << 22
-RECORD = np.dtype([("key", "<u8"), ("block", "<u8"), ("uid", "<i8"), ("low", "<u8"), ("n", "u1"), ("off", "u1"), ("many", "u1")])
+RECORD = np.dtype([("key", "<u8"), ("block", "<u8"), ("uid", "<i8"), ("low", "<u8"), ("n", "u1"), ("off", "u1"), ("many", "u1"), ("alone", "u1")])
 SNIPPET = "key long, salt int, uid long, low long, n int, off int, many boolean, text binary"
 FOUND = "uid long, kind int, payload binary"
 INTERVALS, ASKED, ASKED_HOT = 0, 1, 2
@@ -115,22 +115,54 @@ def parse(data: bytes, begins: np.ndarray, ends: np.ndarray, uids: np.ndarray, l
     shape = ((place - first) * 256 + (last - first)).astype(np.uint64)
     out["block"] = mix(h.of(1, first, last + length) + mix(shape + np.uint64(1)))
     out["uid"] = uids[np.searchsorted(low, first, "right") - 1]
-    out["low"], out["n"], out["off"] = first, last - first, place - first
+    out["low"], out["n"], out["off"], out["alone"] = first, last - first, place - first, level == 2
     return out
 
 
 # --- corpus order -------------------------------------------------------------------------------
 
 
-def suffix_ranks(values: np.ndarray, ends: np.ndarray, most: int | None = None) -> np.ndarray:
-    """Ranks of the suffixes values[i:end of i's segment] by prefix doubling; equal suffixes share a rank. ends: for each place the end of its segment."""
-    rank = np.unique(values, return_inverse=True)[1].astype(np.int64) + 1
-    k, longest = 1, most or int((ends - np.arange(len(values))).max(initial=0))
-    at = np.arange(len(values))
-    while k < longest:
-        nxt = np.where(at + k < ends, rank[np.minimum(at + k, len(values) - 1)], 0)
-        rank = np.unique(rank * (int(rank.max()) + 1) + nxt, return_inverse=True)[1].astype(np.int64) + 1
+def suffix_ranks(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Ranks of the suffixes values[i:end of i's segment]; equal suffixes share a rank. values >= 0; ends: for each place the end of its segment.
+
+    Prefix doubling, begun with as many values as fit one integer. A suffix is looked at again only while others share its
+    rank and it goes on beyond what was compared. A rank is the place of its group in the order, so it need not change with others.
+    """
+    n = len(values)
+    if not n:
+        return np.zeros(0, np.int64)
+    bits = max(1, int(values.max() + 1).bit_length())
+    k = max(1, 62 // bits)
+    at, left = np.arange(n), ends - np.arange(n)
+    key = np.zeros(n, np.int64)
+    padded = np.append(values + 1, np.zeros(k, np.int64))
+    for i in range(k):
+        key = (key << bits) | np.where(i < left, padded[at + i], 0)
+    rank = _places(key)
+    while True:
+        sizes = np.bincount(rank, minlength=n)
+        live = np.flatnonzero((sizes[rank] > 1) & (left >= k))
+        if not len(live):
+            return rank
+        own = rank[live]
+        nxt = np.where(left[live] > k, rank[np.minimum(live + k, n - 1)] + 1, 0)
+        order = np.lexsort((nxt, own))
+        own, nxt = own[order], nxt[order]
+        index = np.arange(len(own))
+        new_group = np.append(True, own[1:] != own[:-1])
+        new = new_group | np.append(True, nxt[1:] != nxt[:-1])
+        group_at = np.maximum.accumulate(np.where(new_group, index, 0))
+        rank[live[order]] = own + np.maximum.accumulate(np.where(new, index, 0)) - group_at
         k *= 2
+
+
+def _places(key: np.ndarray) -> np.ndarray:
+    """For each key its group's place in the order."""
+    order = np.argsort(key)
+    sorted_ = key[order]
+    first = np.append(True, sorted_[1:] != sorted_[:-1])
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
     return rank
 
 
@@ -154,7 +186,7 @@ def corpus_order(data: bytes, begins: np.ndarray, ends: np.ndarray, starts: np.n
     within = suffix_ranks(np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.repeat(word_at + sizes, sizes))
     # the parse: phrases by their rank, suffixes up to the text's end
     last_of = np.append(np.flatnonzero(np.diff(text_of)) + 1, len(cuts))
-    behind = np.append(suffix_ranks(within[word_at[parse_]], last_of[np.unique(text_of, return_inverse=True)[1]]), 0)
+    behind = np.append(suffix_ranks(_places(within[word_at[parse_]]), last_of[np.unique(text_of, return_inverse=True)[1]]) + 1, 0)
     own = np.searchsorted(cuts, starts, "right") - 1
     nxt = np.where((own + 1 < len(cuts)) & (np.append(text_of, -1)[own + 1] == text_of[own]), behind[own + 1], 0)
     return np.lexsort((nxt, within[word_at[parse_[own]] + starts - cuts[own]]))
@@ -272,7 +304,9 @@ def _meet(first: DataFrame, length: int, buckets: int, hot: int) -> DataFrame:
         lead["many"] = many
         of_key = (new_key.cumsum() - 1)[new_block]
         differing = np.bincount(of_key)[of_key]
-        for kind, pick in ((ASKED, (differing > 1) & (differing <= hot)), (ASKED_HOT, differing > hot)):
+        # a window that is its own trigger is its block: nothing else of its key can match it
+        open_ = (differing > 1) & (lead["alone"] == 0)
+        for kind, pick in ((ASKED, open_ & (differing <= hot)), (ASKED_HOT, open_ & (differing > hot))):
             ask = np.zeros(int(pick.sum()), _ASK)
             for c in _ASK.names:
                 ask[c] = lead[c][pick]
