@@ -124,30 +124,49 @@ class Local:
     ids: np.ndarray
     weights: np.ndarray
 
+    def unit(self) -> tuple[Local, np.ndarray]:
+        """The factor with unit sums, and the sums plus 1e-15."""
+        d = self.weights.sum(axis=0) + kernels.TINY
+        return Local(self.ids, self.weights / d), d
 
-def localize(f: DataFrame, k: int, limit: int) -> Local | None:
+
+def localize(f: DataFrame | Local, k: int, limit: int) -> Local | None:
     """The factor itself if its rows, counted first, are under the limit."""
-    if f.count() * (k + 1) * 8 > limit:
-        return None
+    if isinstance(f, Local):
+        return f
+    return gather(f, k) if f.count() * (k + 1) * 8 <= limit else None
+
+
+def gather(f: DataFrame, k: int) -> Local:
+    """A factor whose size was checked, on the driver."""
     table = f.select("id", "weights").toArrow()
     ids = table.column("id").to_numpy()
     order = np.argsort(ids)
     return Local(ids[order], np.asarray(table.column("weights").combine_chunks().flatten()).reshape(-1, k)[order])
 
 
-def half_step(side: Blocks, f: DataFrame, k: int, l1: float = 0.0, l2: float = 0.0, *, link: DataFrame | None = None, l1_rows: DataFrame | None = None,
+def as_rows(f: DataFrame | Local, spark: SparkSession) -> DataFrame:
+    if isinstance(f, DataFrame):
+        return f
+    batch = _out(pa.array(f.ids, pa.int64()), f.weights)
+    return spark.createDataFrame(pa.Table.from_batches([batch]))
+
+
+def half_step(side: Blocks, f: DataFrame | Local, k: int, l1: float = 0.0, l2: float = 0.0, *, link: DataFrame | None = None, l1_rows: DataFrame | None = None,
               mask: tuple[int, int, bool] | None = None, graph: DataFrame | None = None, limit: int = BROADCAST_BYTES, update: str = "nnls", previous: DataFrame | None = None) -> DataFrame:
     """(id, weights) of one side given f(id, weights) of the other: solves for each id, unscaled.
 
     link(id, link) multiplies the cross products; l1_rows(id, l1) adds an l1 per id and factor; graph(dst, src,
     weight) convolves the cross products; mask = (seed, inverse density, ids are samples) leaves masked cells out.
     """
-    spark = f.sparkSession
+    spark, rows = side.rows.sparkSession, side.rows
     ship(spark)
-    f = cut(f)
-    _, gram = factor_sums(f, k)
-    local = localize(f, k, limit)
-    rows = side.rows
+    if isinstance(f, Local):
+        local, gram = f, kernels.gram(f.weights)
+    else:
+        f = cut(f)
+        _, gram = factor_sums(f, k)
+        local = localize(f, k, limit)
     if local is None and mask is not None:
         raise ValueError("a masked solve needs the other factor within the broadcast limit")
     if local is not None:
@@ -269,8 +288,26 @@ def pair(x) -> tuple[float, float]:
     return (float(x[0]), float(x[1])) if isinstance(x, (tuple, list)) else (float(x), float(x))
 
 
-def als(p: Problem, w: DataFrame, k: int, tol: float, maxit: int, step_h: Callable, step_w: Callable, trace: Callable | None = None) -> tuple[DataFrame, np.ndarray, DataFrame, int, float]:
-    """Alternates until 1 - corr(w, previous w) is at most tol. trace(i, w, d, h, tol) may stop it."""
+def als(p: Problem, w: DataFrame, k: int, tol: float, maxit: int, step_h: Callable, step_w: Callable, trace: Callable | None = None, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, np.ndarray, DataFrame, int, float]:
+    """Alternates until 1 - corr(w, previous w) is at most tol. trace(i, w, d, h, tol) may stop it.
+
+    Factors that are under the limit by the counted ids stay on the driver between half steps, which then are one job each.
+    """
+    spark = p.features.sparkSession
+    if max(p.features.count(), p.samples.count()) * (k + 1) * 8 <= limit:
+        w, moved, i = gather(w, k), 1.0, 0
+        for i in range(1, maxit + 1):
+            h, d = gather(step_h(w), k).unit()
+            before = w
+            w, d = gather(step_w(h), k).unit()
+            x, y = (a.weights.ravel() - a.weights.mean() for a in (w, before))
+            scale = float(np.sqrt((x @ x) * (y @ y)))
+            moved = 1 - float(x @ y) / scale if scale else 1.0
+            if trace is not None and trace(i - 1, w, d, h, moved):
+                break
+            if moved <= tol:
+                break
+        return as_rows(w, spark), d, as_rows(h, spark), i, moved
     w, moved, i, h, d = cut(w), 1.0, 0, None, np.ones(k)
     for i in range(1, maxit + 1):
         h, d = rescale(step_h(w), k)
@@ -300,7 +337,7 @@ def fit(p: Problem, rank, tol=1e-4, maxit=100, l1=0.01, l2=0.0, seed=1, limit=BR
     k = rank if isinstance(rank, int) else rank.select(F.size("weights")).first()[0]
     w = start(p.features, k, seed) if isinstance(rank, int) else rank
     (l1w, l1h), (l2w, l2h) = pair(l1), pair(l2)
-    w, d, h, n, moved = als(p, w, k, tol, maxit, lambda w: half_step(p.by_col, w, k, l1h, l2h, limit=limit), lambda h: half_step(p.by_row, h, k, l1w, l2w, limit=limit))
+    w, d, h, n, moved = als(p, w, k, tol, maxit, lambda w: half_step(p.by_col, w, k, l1h, l2h, limit=limit), lambda h: half_step(p.by_row, h, k, l1w, l2w, limit=limit), limit=limit)
     return _model(w, d, h, iter=n, tol=moved)
 
 
@@ -322,7 +359,7 @@ def run_graph_nmf(m: DataFrame, graph: DataFrame, rank: int, tol=1e-4, maxit=100
 
     def step_w(h: DataFrame) -> DataFrame:
         edges = graph.select(F.col("src").alias("id"), F.col("dst"), F.col("weight").alias("g"))
-        spread = edges.join(h, "id").groupBy(F.col("dst").alias("id")).agg(*[F.sum(F.col("g") * F.get("weights", i)).alias(f"x{i}") for i in range(rank)])
+        spread = edges.join(as_rows(h, edges.sparkSession), "id").groupBy(F.col("dst").alias("id")).agg(*[F.sum(F.col("g") * F.get("weights", i)).alias(f"x{i}") for i in range(rank)])
         spread = p.samples.join(spread, "id", "left").select("id", F.array(*[F.coalesce(f"x{i}", F.lit(0.0)) for i in range(rank)]).alias("weights"))
         return half_step(p.by_row, spread, rank, l1w, l2w)
 
@@ -390,13 +427,13 @@ def project_matrix(m: DataFrame, w: DataFrame, l1: float = 0.01, l2: float = 0.0
     return model.sorted() if reorder else model
 
 
-def test_error(p: Problem, w: DataFrame, d: np.ndarray, h: DataFrame, k: int, seed: int, inverse: int, limit: int = BROADCAST_BYTES) -> float:
+def test_error(p: Problem, w: DataFrame | Local, d: np.ndarray, h: DataFrame | Local, k: int, seed: int, inverse: int, limit: int = BROADCAST_BYTES) -> float:
     """Mean over samples of the mean squared error at masked cells (zeros included); 0 for a sample without any."""
     local = localize(w, k, limit)
     if local is None:
         raise ValueError("the test error needs W within the broadcast limit")
-    local.weights = local.weights * d
-    shared = w.sparkSession.sparkContext.broadcast(local)
+    spark = p.features.sparkSession
+    shared = spark.sparkContext.broadcast(Local(local.ids, local.weights * d))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
@@ -414,5 +451,5 @@ def test_error(p: Problem, w: DataFrame, d: np.ndarray, h: DataFrame, k: int, se
                 n = out.sum(axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.where(n > 0, (error**2).sum(axis=0) / np.maximum(n, 1), 0.0))], names=["loss"])
 
-    rows = p.by_col.rows.join(h.select("id", "weights"), "id").select("id", "idx", "val", "weights")
+    rows = p.by_col.rows.join(as_rows(h, spark).select("id", "weights"), "id").select("id", "idx", "val", "weights")
     return rows.mapInArrow(run, "loss double").agg(F.avg("loss")).first()[0]
