@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import stats
-from ..operators import annotate, enrich, graph, nmf, prepare, rank
+from ..operators import annotate, enrich, graph, matrix, nmf, prepare, rank
 from ..session import cut, shared_dir
 from ..sources import matrix_io
 from ..streaming import project as stream
@@ -106,6 +106,15 @@ def n10(spark, sf):
     return rounded(out.select("id", F.get("weights", 0).alias("weight")), "weight")
 
 
+@query("n2_l1_rows_step", f"WITH {_A}, w0 AS (SELECT DISTINCT row_id AS id, 1.0::DOUBLE AS w FROM a) SELECT col_id AS id, round(GREATEST(0, SUM(v) / (SELECT SUM(w * w) + 1e-15 FROM w0) - 0.01 - (col_id % 3) / 1000), 8) AS weight FROM a GROUP BY col_id")
+def n2(spark, sf):
+    """A half step with an L1 of its own for each sample and factor."""
+    p = nmf.problem(normalized(spark, sf))
+    extra = p.samples.select("id", F.array((F.col("id") % 3) / F.lit(1000.0)).alias("l1"))
+    out = nmf.half_step(p.by_col, ones(p.features), 1, 0.01, l1_rows=extra)
+    return rounded(out.select("id", F.get("weights", 0).alias("weight")), "weight", digits=8)
+
+
 @query("n9_batch_l1", f"WITH {H}, {SEG}, i AS (SELECT s.sample_id, level, f AS factor, COALESCE(weight, 0) AS weight FROM seg s JOIN (SELECT DISTINCT sample_id FROM h) d USING (sample_id) CROSS JOIN range(0, 3) r(f) LEFT JOIN h ON h.sample_id = s.sample_id AND h.factor = f), m AS (SELECT level, factor, AVG(weight) AS m FROM i GROUP BY 1, 2) SELECT level AS batch, factor, round(m - (SUM(m) OVER (PARTITION BY factor) - m) / (COUNT(*) OVER (PARTITION BY factor) - 1), 6) AS l1 FROM m")
 def n9(spark, sf):
     from .matrix_queries import _arrays
@@ -142,6 +151,13 @@ def m3(spark, sf):
     return _factors(nmf.run_nmf(matrix_io.build([m.where(F.col("col_id") < top // 2), m.where(F.col("col_id") >= top // 2).withColumn("col_id", F.col("col_id") - top // 2)], [top // 2, 0]), 3, maxit=2))
 
 
+@query("m4_nmf_compressed")
+def m4(spark, sf):
+    """A fit of what was compressed by distinct value and delta-coded."""
+    m = normalized(spark, sf)
+    return _factors(nmf.run_nmf(matrix.from_ivcsc(matrix.to_ivcsc(m)).select("row_id", "col_id", "value"), 3, maxit=2))
+
+
 @query("m2_nmf_dense")
 def m2(spark, sf):
     """Embeddings split into positive and negative parts."""
@@ -214,7 +230,7 @@ def s2(spark, sf):
     matrix_io.write_matrix(parts_customers(spark, sf), f"{path}/m")
     meta = segments(spark, sf).withColumnRenamed("level", "segment")
     matrix_io.pipeline(spark, f"{path}/m", "Parts & customers 1", path, meta, k=2, maxit=2)
-    return spark.read.parquet(f"{path}/Partscustomers/annotation")
+    return spark.read.parquet(f"{path}/Partscustomers/h").select("sample_id", F.posexplode("weights").alias("factor", "weight"))
 
 
 @query("s9_model_parts", f"WITH {H} SELECT sample_id, factor, weight FROM (SELECT i.sample_id, CAST(f AS INTEGER) AS factor, COALESCE(weight, 0) AS weight FROM (SELECT DISTINCT sample_id FROM h) i CROSS JOIN range(0, 3) r(f) LEFT JOIN h ON h.sample_id = i.sample_id AND h.factor = f)")
@@ -279,13 +295,13 @@ def a3(spark, sf):
 
 @query("a4_model_results")
 def a4(spark, sf):
-    return annotate.model_results(annotate.moderated(annotate.model_fit(shares(spark, sf), segments(spark, sf))), tail="std", noneg=False)
+    return annotate.model_results(annotate.moderated(annotate.model_fit(_with_hole(spark, sf), segments(spark, sf))), tail="std", noneg=False)
 
 
 @query("a1_annotate")
 def a1(spark, sf):
     meta = t(spark, sf, "customer").select(F.col("c_custkey").alias("sample_id"), "c_mktsegment", "c_nationkey")
-    return annotate.annotate(shares(spark, sf), meta)
+    return annotate.annotate(_with_hole(spark, sf), meta, tail="std")
 
 
 _P = "p AS (SELECT event_id, event_type, (CAST(event_id AS DOUBLE) * 37 % 1009 + 1) / 5000 AS p FROM events)"
