@@ -37,7 +37,8 @@ from .hashing import mix, powers
 WIDTH = 8
 _SECOND = np.random.Generator(np.random.PCG64(78)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FIRST = np.random.Generator(np.random.PCG64(79)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_GROUP = 1 << 22
+#: Bytes of text that are parsed, and put in order, at a time: either takes some eighty times as much memory.
+_GROUP, LOT = 1 << 21, 2_500_000
 RECORD = np.dtype([("key", "<u8"), ("block", "<u8"), ("uid", "<i8"), ("low", "<u8"), ("n", "u1"), ("off", "u1"), ("many", "u1"), ("alone", "u1")])
 SNIPPET = "key long, salt int, uid long, low long, n int, off int, many boolean, text binary"
 FOUND = "uid long, kind int, payload binary"
@@ -362,7 +363,7 @@ def _compare(snippets: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for row in zip(*(column(batch, c) for c in ("key", "salt", "uid", "low", "n", "off", "many", "text"))):
                 # keys come sorted: a lot ends between two of them
-                if size > 6_000_000 and row[:2] != last:
+                if size > LOT and row[:2] != last:
                     yield from _lot(held, length)
                     held, size = [], 0
                 last = row[:2]
