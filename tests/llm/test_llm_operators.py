@@ -241,6 +241,36 @@ def test_quality_rules(docs):
     assert quality_rules.quality_rules(docs([])).collect() == []
 
 
+def test_robust_distances_equal_a_numpy_twin(docs):
+    rows = [(i, prose(40 + i % 50, i) + " #" * (i % 4) + (" zzzzzzzzzzzzzzzzzz" * 30 if i % 17 == 0 else "")) for i in range(150)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs(rows)).collect()}
+    x = []
+    for _, t in rows:
+        n, chars, symbols, dup, repeats = brute_statistics(t)
+        lines = sum(1 for line in t.split("\n") if line.strip())
+        x.append((np.log(chars / max(n, 1)), np.sqrt(symbols / max(chars, 1)), np.sqrt(dup / max(lines, 1)), np.sqrt(repeats / max(n, 1))))
+    x = np.array(x)
+    ok = np.array([not got[i].base_failed for i, _ in rows])
+
+    def estimate(part, scale):
+        return part.mean(0), scale * np.cov(part.T, bias=True) + np.diag(np.square(quality_rules.FLOORS))
+
+    def distances(mean, cov):
+        return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+    mean, cov = estimate(x[ok], 1.0)
+    for _ in range(4):
+        bins = np.floor(16 * np.log2(np.maximum(distances(mean, cov)[ok], 1e-9)))
+        order = np.sort(bins)
+        top = order[int(np.ceil(quality_rules.SHARE * len(order))) - 1]
+        mean, cov = estimate(x[ok][bins <= top], quality_rules.CONSISTENCY)
+    for d, fine, (i, _) in zip(distances(mean, cov), ok, rows):
+        if fine:
+            assert got[i].distance == pytest.approx(d, rel=1e-6, abs=1e-9) and got[i].kept == (d <= quality_rules.CUTOFF)
+        else:
+            assert got[i].distance is None and not got[i].kept
+
+
 # --- quality classifier ---------------------------------------------------------------------------
 
 
