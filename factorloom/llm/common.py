@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import os
 import re
@@ -29,7 +30,21 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def _give_back() -> None:
+    """Returns what a task has freed to the system: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to give back by this way
 
 
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -46,7 +61,7 @@ def column(batch: pa.RecordBatch, name: str) -> list:
 
 _PLAIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
 #: Bytes of texts that are hashed at a time, and of the longest piece that is kept.
-_GROUP, _LONGEST = 1 << 22, 200
+_GROUP, _LONGEST = 1 << 21, 200
 
 
 def _byte_letters() -> dict[int, int]:
