@@ -6,7 +6,9 @@ Windows of five template tokens with at least two plain words are hashed and joi
 An item is leaked by a document that holds at least `least` of the item's distinct windows and
 fills its slots consistently: of the pairs (value in the item, value in the document) at matched
 slots, each item value goes with one document value, but for a share of 1 - `least`.
-A re-parameterised question so counts like a verbatim one.
+A re-parameterised question so counts like a verbatim one. Both are judged for each alignment (place in the document
+less place in the item, exact and with up to DRIFT words put in or left out) and for the whole document; one that passes is enough,
+whatever else the document holds.
 
 The benchmark's windows are counted first: up to BROADCAST rows they are sent to all executors, beyond
 that the join shuffles. Null texts have no tokens. Items of fewer than five tokens have no window and
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-WIDTH, LEAST, BROADCAST = 5, 0.8, 500_000
+WIDTH, LEAST, BROADCAST, DRIFT = 5, 0.8, 500_000, 4
 UNITS = (
     "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|miles?|ft|feet|inch|inches|meters?|metres?|kilometers?|kilometres?|liters?|litres?|l|ml|"
     "hours?|hrs?|h|minutes?|mins?|seconds?|secs?|s|days?|weeks?|months?|years?|dollars?|cents?|euros?|pounds?|percent|degrees?"
@@ -63,7 +65,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> Data
     slots = slots.groupBy("item_id").agg(F.collect_set("slot_at").alias("slots"))
     items = items.join(slots, "item_id", "left").withColumn("slots", F.coalesce("slots", F.array().cast("array<int>")))
     items = cut(items.select(
-        "item_id", "window",
+        "item_id", "item_at", "window",
         F.filter(F.array(*[
             F.when(F.array_contains("slots", F.col("item_at") + k), F.struct(F.lit(k).alias("k"), F.col(f"raw{k}").alias("item_raw")))
             for k in range(WIDTH)
@@ -75,16 +77,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> Data
     hits = windows(templates(docs, "doc_id"), "doc_id", "at").join(side, "window")
     raws = F.array(*[f"raw{k}" for k in range(WIDTH)])
     pair = F.transform("slots", lambda s: F.struct(s["item_raw"].alias("a"), F.get(raws, s["k"]).alias("b")))
-    # one row per distinct (document, item, window, slot pairs): copies within a text fold before they are sent
-    hits = cut(hits.select("doc_id", "item_id", "window", pair.alias("pairs")).groupBy("doc_id", "item_id", "window", "pairs").agg(F.lit(1).alias("one")).drop("one"))
-    cover = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("window").alias("found"))
-    cover = cover.join(F.broadcast(sizes) if small else sizes, "item_id").withColumn("coverage", F.col("found") / F.col("n_windows"))
-    cover = cover.where(F.col("coverage") >= least)
-    filled = hits.select("doc_id", "item_id", F.explode("pairs").alias("p")).join(cover.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
-    filled = filled.groupBy("doc_id", "item_id").agg(F.countDistinct("p.a").alias("values"), F.countDistinct("p").alias("pairs"))
-    out = cover.join(filled, ["doc_id", "item_id"], "left")
-    out = out.withColumn("consistency", F.coalesce(F.col("values") / F.col("pairs"), F.lit(1.0)))
-    return out.where(F.col("consistency") >= least).select("doc_id", "item_id", "coverage", "consistency")
+    # one row per distinct (document, item, window, alignment, slot pairs): copies fold before they are sent
+    hits = hits.select("doc_id", "item_id", "window", (F.col("at") - F.col("item_at")).alias("shift"), pair.alias("pairs"))
+    hits = cut(hits.groupBy(*hits.columns).agg(F.lit(1).alias("one")).drop("one"))
+    sizes = F.broadcast(sizes) if small else sizes
+    # no alignment holds more of an item than the whole document does
+    held = _covered(hits, sizes, ["doc_id", "item_id"], least).select("doc_id", "item_id")
+    group = lambda kind, place: F.struct(F.lit(kind).alias("kind"), place.cast("long").alias("place"))
+    step = lambda by: F.floor((F.col("shift") + by) / (2 * DRIFT))
+    groups = F.array(group(0, F.lit(0)), group(1, F.col("shift")), group(2, step(0)), group(3, step(DRIFT)))
+    near = hits.join(held, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "window", "pairs", F.explode(groups).alias("group"))
+    keys = ["doc_id", "item_id", "group"]
+    cover = _covered(near, sizes, keys, least)
+    filled = near.select(*keys, F.explode("pairs").alias("p")).join(cover.select(*keys), keys, "left_semi")
+    filled = filled.groupBy(*keys).agg(F.countDistinct("p.a").alias("values"), F.countDistinct("p").alias("pairs"))
+    out = cover.join(filled, keys, "left")
+    out = out.withColumn("consistency", F.coalesce(F.col("values") / F.col("pairs"), F.lit(1.0))).where(F.col("consistency") >= least)
+    best = F.max(F.struct("coverage", "consistency")).alias("best")
+    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.coverage", "best.consistency")
+
+
+def _covered(hits: DataFrame, sizes: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """keys and coverage of the groups that hold at least `least` of their item's distinct windows."""
+    cover = hits.groupBy(*keys).agg(F.countDistinct("window").alias("found")).join(sizes, "item_id")
+    return cover.select(*keys, (F.col("found") / F.col("n_windows")).alias("coverage")).where(F.col("coverage") >= least)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:

@@ -178,6 +178,16 @@ def test_decontamination(spark, docs):
     assert {r.doc_id for r in decontaminate.matches(docs([(1, mixed)]), bench).collect()} <= {1}
 
 
+def test_leaks_are_judged_by_alignment(spark, docs):
+    trains = "A train travels 60 km in 2 hours and a second train travels 90 km in 3 hours and a third train travels 75 km in 5 hours without any stop at all"
+    pens = "the shop sold 48 pens in april and then half as many in may so how many of them were sold altogether by the shop"
+    bench = spark.createDataFrame([(0, trains), (1, pens)], "item_id long, text string")
+    changed, longer = pens.replace("48", "96"), pens.replace("then half", "then only half")
+    rows = [(1, trains), (2, pens + ". " + changed), (3, changed + ". " + prose(30, 1) + " " + pens.replace("48", "31")), (4, longer + ". " + changed), (5, pens[:50]), (6, prose(60, 2))]
+    got = {r.doc_id: r.item_ids for r in decontaminate.decontaminate(docs(rows), bench).collect()}
+    assert got == {1: "0", 2: "1", 3: "1", 4: "1", 5: "", 6: ""}
+
+
 # --- packing --------------------------------------------------------------------------------------
 
 
