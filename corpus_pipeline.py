@@ -28,9 +28,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
-    leaks = cut(decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Drops the rows that hold a benchmark item; others with the same doc_id stay."""
+    leaks = cut(decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("row").distinct())
+    rows = docs.withColumn("_row", decontaminate.row_key())
+    return rows.join(leaks, F.col("_row") == leaks["row"], "left_anti").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ whatever else the document holds.
 
 The benchmark's windows are counted first: up to BROADCAST rows they are sent to all executors, beyond
 that the join shuffles. Null texts have no tokens. Items of fewer than five tokens have no window and
-match nothing. Rows with the same doc_id are judged together; empty tables give no matches; other columns are ignored.
+match nothing. Each row is judged by itself, told apart by doc_id (null or not) and the hash of its text; equal rows have equal results.
+Empty tables give no matches; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ MEASURE = f"([0-9]) *(?:{UNITS})\\b"
 OTHER = "[^\\p{L}\\p{N}\u0001]+"
 
 
+def row_key() -> Column:
+    """What tells rows of docs apart: doc_id, which may be null or repeated, and the hash of the text. Nulls in it are equal to each other."""
+    return F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+
+
 def templates(rows: DataFrame, key: str) -> DataFrame:
     """key, h (hash of each template token, 1 and 2 for names and numbers) and raw (hash of each token as it stands)."""
     text = F.coalesce("text", F.lit(""))
@@ -40,7 +46,7 @@ def templates(rows: DataFrame, key: str) -> DataFrame:
     # a unit goes with its number
     marked = F.when(text.rlike("[0-9]"), F.regexp_replace(names, MEASURE, "$1 ")).otherwise(names)
     words = F.split(F.trim(F.regexp_replace(marked, OTHER, " ")), " ")
-    rows = rows.select(F.col(key).cast("long").alias(key), words.alias("words"))
+    rows = rows.select(key, words.alias("words"))
     kind = lambda w: F.when(w.startswith("\u0001"), F.lit(1).cast("long")).when(F.left(w, F.lit(1)).between("0", "9"), F.lit(2).cast("long")).otherwise(F.xxhash64(w))
     return rows.select(key, F.transform("words", kind).alias("h"), F.transform("words", lambda w: F.xxhash64(w)).alias("raw"))
 
@@ -58,8 +64,8 @@ def windows(rows: DataFrame, key: str, at: str) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, item_id, coverage, consistency of the leaks."""
-    tokens = templates(benchmark, "item_id")
+    """row (see row_key), doc_id, item_id, coverage, consistency of the leaks."""
+    tokens = templates(benchmark.withColumn("item_id", F.col("item_id").cast("long")), "item_id")
     items = windows(tokens, "item_id", "item_at")
     slots = tokens.select("item_id", F.posexplode("h").alias("slot_at", "k")).where("k in (1, 2)").select("item_id", "slot_at")
     slots = slots.groupBy("item_id").agg(F.collect_set("slot_at").alias("slots"))
@@ -74,27 +80,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> Data
     sizes = items.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"))
     small = items.count() <= BROADCAST
     side = F.broadcast(items) if small else items
-    hits = windows(templates(docs, "doc_id"), "doc_id", "at").join(side, "window")
+    hits = windows(templates(docs.select(row_key().alias("row"), "text"), "row"), "row", "at").join(side, "window")
     raws = F.array(*[f"raw{k}" for k in range(WIDTH)])
     pair = F.transform("slots", lambda s: F.struct(s["item_raw"].alias("a"), F.get(raws, s["k"]).alias("b")))
     # one row per distinct (document, item, window, alignment, slot pairs): copies fold before they are sent
-    hits = hits.select("doc_id", "item_id", "window", (F.col("at") - F.col("item_at")).alias("shift"), pair.alias("pairs"))
+    hits = hits.select("row", "item_id", "window", (F.col("at") - F.col("item_at")).alias("shift"), pair.alias("pairs"))
     hits = cut(hits.groupBy(*hits.columns).agg(F.lit(1).alias("one")).drop("one"))
     sizes = F.broadcast(sizes) if small else sizes
     # no alignment holds more of an item than the whole document does
-    held = _covered(hits, sizes, ["doc_id", "item_id"], least).select("doc_id", "item_id")
+    held = _covered(hits, sizes, ["row", "item_id"], least).select("row", "item_id")
     group = lambda kind, place: F.struct(F.lit(kind).alias("kind"), place.cast("long").alias("place"))
     step = lambda by: F.floor((F.col("shift") + by) / (2 * DRIFT))
     groups = F.array(group(0, F.lit(0)), group(1, F.col("shift")), group(2, step(0)), group(3, step(DRIFT)))
-    near = hits.join(held, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "window", "pairs", F.explode(groups).alias("group"))
-    keys = ["doc_id", "item_id", "group"]
+    near = hits.join(held, ["row", "item_id"], "left_semi").select("row", "item_id", "window", "pairs", F.explode(groups).alias("group"))
+    keys = ["row", "item_id", "group"]
     cover = _covered(near, sizes, keys, least)
     filled = near.select(*keys, F.explode("pairs").alias("p")).join(cover.select(*keys), keys, "left_semi")
     filled = filled.groupBy(*keys).agg(F.countDistinct("p.a").alias("values"), F.countDistinct("p").alias("pairs"))
     out = cover.join(filled, keys, "left")
     out = out.withColumn("consistency", F.coalesce(F.col("values") / F.col("pairs"), F.lit(1.0))).where(F.col("consistency") >= least)
     best = F.max(F.struct("coverage", "consistency")).alias("best")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.coverage", "best.consistency")
+    return out.groupBy("row", "item_id").agg(best).select("row", "row.doc_id", "item_id", "best.coverage", "best.consistency")
 
 
 def _covered(hits: DataFrame, sizes: DataFrame, keys: list[str], least: float) -> DataFrame:
@@ -105,12 +111,12 @@ def _covered(hits: DataFrame, sizes: DataFrame, keys: list[str], least: float) -
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """One row per row of docs(doc_id, text): leaked, n_items, item_ids (ascending, comma-joined), coverage (the largest, else 0)."""
-    found = matches(docs, benchmark, least).groupBy("doc_id").agg(
+    found = matches(docs, benchmark, least).groupBy("row").agg(
         F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_set("item_id")).cast("array<string>"), ",").alias("item_ids"),
         F.max("coverage").alias("coverage"),
     )
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left")
+    out = docs.select(row_key().alias("row")).join(found, "row", "left")
     return out.select(
-        "doc_id", F.col("n_items").isNotNull().alias("leaked"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        "row.doc_id", F.col("n_items").isNotNull().alias("leaked"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("item_ids", F.lit("")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
     )

@@ -188,6 +188,19 @@ def test_leaks_are_judged_by_alignment(spark, docs):
     assert got == {1: "0", 2: "1", 3: "1", 4: "1", 5: "", 6: ""}
 
 
+def test_leaks_of_null_and_repeated_ids(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    item, clean = prose(40, 77), prose(50, 78)
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    rows = [(None, item + " x"), (None, clean), (7, item), (7, clean), (8, clean), (None, None)]
+    got = decontaminate.decontaminate(docs(rows), bench).collect()
+    assert Counter((r.doc_id, r.leaked) for r in got) == Counter({(None, True): 1, (None, False): 2, (7, True): 1, (7, False): 1, (8, False): 1})
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = corpus_pipeline.drop_leaks(spark, docs(rows), str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, clean), (7, clean), (8, clean), (None, None)])
+
+
 # --- packing --------------------------------------------------------------------------------------
 
 
