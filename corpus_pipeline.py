@@ -19,12 +19,17 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each SimHash component the row with the smallest doc_id (null counts as the smallest; of rows that share it, one)."""
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    found = simhash.simhash_components(docs.withColumn("doc_id", key))
-    kept = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct())
-    rows = docs.withColumn("_key", key).join(kept, "_key", "left_semi")
-    return rows.dropDuplicates(["_key"]).select(*docs.columns)
+    """Keeps of each SimHash component the row with the smallest doc_id (null counts as the smallest), of several the one with the smallest hash.
+
+    Rows are told apart by a 64-bit hash of doc_id and text, so null and repeated ids are rows of their own; equal rows are one.
+    """
+    row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit("")))
+    keyed = docs.withColumn("_row", row)
+    found = simhash.simhash_components(keyed.select(F.col("_row").alias("doc_id"), "text"))
+    ids = keyed.select(F.col("_row").alias("row"), F.struct(F.col("doc_id").isNotNull(), "doc_id", F.col("_row").alias("row")).alias("order"))
+    kept = found.select(F.col("doc_id").alias("row"), "component_id").distinct().join(ids.distinct(), "row")
+    kept = cut(kept.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.row").alias("_row")))
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

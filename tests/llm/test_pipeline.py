@@ -48,3 +48,13 @@ def test_stages_keep_what_they_should(spark, docs, tmp_path):
     again = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sum(r.length for r in again) == want
     assert np.all([0 < r.length <= 2048 for r in last])
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark, docs, tmp_path):
+    words = ["".join(random.Random(i).choices("etaoinsrhl", k=random.Random(-i).randint(2, 9))) for i in range(400)]
+    text = lambda seed: " ".join(random.Random(seed).choices(words, k=120))
+    rows = [(None, text(i)) for i in range(50)] + [(100 + i, text(i)) for i in range(0, 50, 2)]  # without id, half with a copy
+    rows += [(5, text(500)), (5, text(501)), (7, text(501)), (9, text(502)), (8, text(502)), (8, text(502)), (3, None)]
+    got = corpus_pipeline.near_dedup(spark, docs(rows, extra=True), str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(0, text(i)) for i in range(50)] + [(5, text(500)), (5, text(501)), (8, text(502)), (3, "")])
+    assert all(r.words == "x" for r in got)
