@@ -4,7 +4,8 @@ Fingerprints are reduced to distinct ones first, so copies never meet in the joi
 blocks, two fingerprints within d bits agree on m - d blocks; for every choice of m - d blocks the
 distinct fingerprints are grouped by those bits and each group is joined with itself by walking a
 binary trie of the other bits: pairs of nodes descend together, add up differing bits and are
-dropped beyond the budget. A task's links are reduced to a spanning forest before they leave it.
+dropped beyond the budget. Groups stream through a task in order and their links leave it as stars;
+groups that are too large are split by further blocks, see links().
 Components follow from min-label star contraction over the fingerprints, checkpointed each round.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows share a component.
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, map_arrow, text_bytes
+from .common import cut, map_arrow, text_bytes
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -119,64 +120,106 @@ def _arranged(codes: np.ndarray, masks: list[int]) -> np.ndarray:
     out = np.zeros(len(codes), np.uint64)
     for mask in masks:
         low, n = (mask & -mask).bit_length() - 1, mask.bit_count()
-        out = (out << np.uint64(n)) | ((codes & np.uint64(mask)) >> np.uint64(low))
+        out = ((codes & np.uint64(mask)) >> np.uint64(low)) | (out << np.uint64(n) if n < 64 else np.uint64(0))
     return out
 
 
-class Forest:
-    """Union-find over 0..n-1."""
+def absorb(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """root (the smallest index of each one's component, so far) once i and j are linked; whole arrays at a time."""
+    while (apart := root[i] != root[j]).any():
+        i, j = i[apart], j[apart]
+        x, y = root[i], root[j]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != (up := root[root])).any():
+            root = up
+    return root
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
 
-    def top(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+def _blocks(low: int, high: int, n: int) -> list[int]:
+    """Masks of n blocks that tile the bits from low up to high."""
+    edges = [low + (high - low) * i // n for i in range(n + 1)]
+    return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
 
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.top(x), self.top(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
 
+def _keyed(rows: DataFrame, masks: list[int], *names: str) -> DataFrame:
+    """A row for each mask: choice, its number, and same, the bits of fp under it."""
+    each = [F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("same")) for k, m in enumerate(masks)]
+    return rows.select("fp", *names, F.explode(F.array(*each)).alias("x")).select("fp", *names, "x.choice", "x.same")
 
-def links(distinct: DataFrame, bits: int = 3, blocks: int = 4) -> DataFrame:
-    """a < b (unsigned): links of fp that span the same components as all pairs within `bits` bits."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    choices = list(combinations(range(blocks), blocks - bits))
-    keyed = distinct.select(
-        "fp",
-        F.explode(F.array(*[
-            F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(sum(masks[i] for i in c)))).alias("same"))
-            for k, c in enumerate(choices)
-        ])).alias("x"),
-    ).select("fp", "x.choice", "x.same")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
-            return
-        fp = table.column("fp").to_numpy().astype(np.int64).view(np.uint64)
-        choice = table.column("choice").to_numpy()
+def _joined(keyed: DataFrame, masks: list[int], bits: int, at_once: int = 1 << 18) -> DataFrame:
+    """a, b: stars of the components within each group of keyed(fp, choice, same), masks by choice. Groups stream by, in order."""
+    orders = [[m, *(_runs(~m & (1 << 64) - 1))] for m in masks]
+
+    def lot(choice: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         names, index = np.unique(fp, return_inverse=True)
-        forest, a, b = Forest(len(names)), [], []
-        for k, c in enumerate(choices):
+        root = np.arange(len(names))
+        for k in np.unique(choice).tolist():
             own = np.flatnonzero(choice == k)
-            order = [masks[i] for i in c] + [m for i, m in enumerate(masks) if i not in c]
-            codes = _arranged(fp[own], order)
+            codes = _arranged(fp[own], [r for m in orders[k] for r in _runs(m)])
             place = np.argsort(codes)
-            for i, j in trie_pairs(codes[place], bits, sum(masks[i].bit_count() for i in c)):
-                x, y = index[own[place[i]]], index[own[place[j]]]
-                for p, q in zip(x.tolist(), y.tolist()):
-                    if forest.join(p, q):
-                        a.append(min(p, q))
-                        b.append(max(p, q))
-        yield pa.RecordBatch.from_arrays([pa.array(names[np.array(x, np.int64)].view(np.int64)) for x in (a, b)], names=["a", "b"])
+            for i, j in trie_pairs(codes[place], bits, masks[k].bit_count()):
+                root = absorb(root, index[own[place[i]]], index[own[place[j]]])
+        moved = np.flatnonzero(root != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[x].view(np.int64)) for x in (root[moved], moved)], names=["a", "b"])
 
-    return map_arrow(keyed.repartition("choice", "same"), run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            held.append(np.stack([batch.column(batch.schema.get_field_index(n)).to_numpy().astype(np.int64) for n in ("choice", "same", "fp")]))
+            size += batch.num_rows
+            if size >= at_once:
+                rows = np.concatenate(held, axis=1)
+                edge = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0))
+                if len(edge):  # the last group may go on
+                    yield lot(rows[0, : edge[-1] + 1], rows[2, : edge[-1] + 1].view(np.uint64))
+                    rows = rows[:, edge[-1] + 1 :]
+                held, size = [rows], rows.shape[1]
+        if size:
+            rows = np.concatenate(held, axis=1)
+            yield lot(rows[0], rows[2].view(np.uint64))
+
+    rows = keyed.select("choice", "same", "fp").repartition("choice", "same").sortWithinPartitions("choice", "same")
+    return map_arrow(rows, run, "a long, b long")
+
+
+def _runs(mask: int) -> list[int]:
+    """A mask's runs of ones, highest first."""
+    out = []
+    while mask:
+        low = (mask & -mask).bit_length() - 1
+        n = ((mask >> low) + 1 & -((mask >> low) + 1)).bit_length() - 1
+        out.append(((1 << n) - 1) << low)
+        mask &= ~out[-1]
+    return out[::-1]
+
+
+def links(distinct: DataFrame, bits: int = 3, blocks: int = 4, hot: int = 1 << 20) -> DataFrame:
+    """a < b (unsigned): links of fp that span the same components as all pairs within `bits` bits.
+
+    Groups of more than `hot` fingerprints are split: what lies in one has its differing bits outside the
+    shared ones, so two that link also agree on one of bits + 1 blocks of the rest, and those go to groups of their own.
+    """
+    tiles = _blocks(0, 64, blocks)
+    masks = [sum(c) for c in combinations(tiles, blocks - bits)]
+    keyed = _keyed(distinct.select("fp"), masks)
+    large = cut(keyed.groupBy("choice", "same").count().where(F.col("count") > hot).select("choice", "same"))
+    if large.isEmpty():
+        return _joined(keyed, masks, bits).distinct()
+    found = _joined(keyed.join(large, ["choice", "same"], "left_anti"), masks, bits)
+    # bits outside a choice's mask, in bits + 1 blocks each: as many second masks for every choice
+    finer = [[m | sum(part) for part in _split(~m & (1 << 64) - 1, bits + 1)] for m in masks]
+    own = keyed.join(large, ["choice", "same"], "left_semi").select("fp", "choice")
+    for k, some in enumerate(finer):
+        found = found.union(_joined(_keyed(own.where(F.col("choice") == k).select("fp"), some), some, bits))
+    return found.distinct()
+
+
+def _split(mask: int, n: int) -> list[list[int]]:
+    """The mask's bits in n lots of nearly equal size."""
+    ones = [1 << i for i in range(64) if mask >> i & 1]
+    return [ones[len(ones) * i // n : len(ones) * (i + 1) // n] for i in range(n)]
 
 
 def _signed(x: int) -> int:
@@ -186,10 +229,10 @@ def _signed(x: int) -> int:
 # --- components ---------------------------------------------------------------------------------
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node and root, the smallest node reachable, for nodes(node) and edges(a, b). Alternates large and small stars."""
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(most):
+    while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
@@ -200,8 +243,6 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
         edges = after
         if fixed:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
     return nodes.join(edges.select(F.col("a").alias("node"), F.col("b").alias("up")), "node", "left").select("node", F.coalesce("up", "node").alias("root"))
 
 
@@ -210,14 +251,14 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.bit_xor(F.xxhash64(h))).first())
 
 
-def simhash_components(docs: DataFrame, bits: int = 3, blocks: int | None = None) -> DataFrame:
-    """doc_id, fp, component_id of each row. blocks: by default as many as the number of fingerprints calls for."""
+def simhash_components(docs: DataFrame, bits: int = 3, blocks: int | None = None, hot: int = 1 << 20) -> DataFrame:
+    """doc_id, fp, component_id of each row. blocks: by default as many as the number of fingerprints calls for; hot: see links()."""
     prints = cut(fingerprints(docs))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     if blocks is None:
         n = distinct.count()
         blocks = 4 if n < 1 << 24 else 5 if n < 1 << 30 else 6
-    found = cut(links(distinct, bits, blocks))
+    found = cut(links(distinct, bits, blocks, hot))
     touched = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
     roots = components(touched, found)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

@@ -378,22 +378,40 @@ def test_simhash(docs):
     rows = [(50 + i, " ".join(words[:i] + ["zz"] + words[i + 1 :])) for i in range(0, 120, 3)] + [(900, base), (901, base.upper()), (902, "one two"), (903, "one two")] + ODD
     rows += [(300 + i, prose(40, i)) for i in range(30)]
     prints = [(i, brute_fingerprint(t)) for i, t in rows]
-    forest = simhash.Forest(len(rows))
+    up = list(range(len(rows)))
     for a in range(len(rows)):
         for b in range(a):
             if (prints[a][1] ^ prints[b][1]).bit_count() <= 3:
-                forest.join(a, b)
+                up = [up[a] if x == up[b] else x for x in up]
     least = {}
-    for k, (i, _) in enumerate(prints):
-        root = forest.top(k)
+    for root, (i, _) in zip(up, prints):
         least[root] = min((x for x in (least.get(root), i) if x is not None), default=None)
-    want = sorted(((i, f, least[forest.top(k)]) for k, (i, f) in enumerate(prints)), key=str)
-    for blocks in (4, 5):
-        got = [(r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in simhash.simhash_components(docs(rows, extra=True), blocks=blocks).collect()]
+    want = sorted(((i, f, least[root]) for root, (i, f) in zip(up, prints)), key=str)
+    for blocks, hot in ((4, 1 << 20), (5, 1 << 20), (4, 2)):
+        got = [(r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in simhash.simhash_components(docs(rows, extra=True), blocks=blocks, hot=hot).collect()]
         assert sorted(got, key=str) == want
     assert simhash.simhash_components(docs([])).collect() == []
 
 
+def test_links_of_crowded_fingerprints(spark):
+    r = np.random.default_rng(4)
+    seeds = r.integers(0, 1 << 62, 6)
+    codes = sorted({int(x) ^ (1 << int(i)) ^ (1 << int(j)) ^ (1 << int(k)) for x in seeds for i, j, k in r.integers(0, 62, (60, 3))})
+    table = spark.createDataFrame([(c,) for c in codes], "fp long")
+    up = {c: c for c in codes}
+    for a in codes:
+        for b in codes:
+            if (a ^ b).bit_count() <= 3 and up[a] != up[b]:
+                up = {c: up[a] if x == up[b] else x for c, x in up.items()}
+    want = {frozenset(c for c in codes if up[c] == x) for x in set(up.values())}
+    for hot in (1 << 20, 20):
+        got = {c: c for c in codes}
+        for e in simhash.links(table, hot=hot).collect():
+            assert (up[e.a], e.a < e.b) == (up[e.b], True)
+            got = {c: got[e.a] if x == got[e.b] else x for c, x in got.items()}
+        assert {frozenset(c for c in codes if got[c] == x) for x in set(got.values())} == want
+
+
 def test_trie_join_matches_all_pairs():
     r = np.random.default_rng(2)
     codes = np.unique(np.concatenate([r.integers(0, 1 << 63, 800, dtype=np.uint64), np.uint64(99) ^ (np.uint64(1) << r.integers(0, 64, 40).astype(np.uint64))]))
