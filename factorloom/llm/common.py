@@ -74,9 +74,10 @@ class TextEncoder:
     """Ids of whole texts, exactly those of the tokenizers library.
 
     The tokenizer never merges across white space, nor from a letter to a following full stop or
-    comma, so texts are cut there. Pieces are told apart by a 64-bit hash of their lower-cased
-    bytes (the tokenizer lower-cases; texts that may hold a special token skip this), each distinct
-    piece is encoded once by the tokenizer and its ids are kept in flat arrays: about 25 bytes a
+    comma, so texts are cut there. Pieces are looked up by a 64-bit hash of their lower-cased
+    bytes (the tokenizer lower-cases; texts that may hold a special token skip this) and every one's bytes are then compared with the stored ones;
+    a piece that is long, or differs, is encoded by itself. Each distinct
+    piece is encoded once by the tokenizer and its ids are kept in flat arrays: about 40 bytes a
     piece, `limit` pieces at most, after which the store starts anew.
     """
 
@@ -100,6 +101,9 @@ class TextEncoder:
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.bytes = np.zeros(0, np.uint8)
+        self.at = np.zeros(0, np.int32)
+        self.size = np.zeros(0, np.int32)
 
     def _piece(self, piece: bytes) -> list[int]:
         if piece.isalpha():
@@ -163,17 +167,35 @@ class TextEncoder:
         np.cumsum(self.table[data] * self.power[: len(data)], out=sums[1:])
         key = (sums[end] - sums[start]) * self.inverse[start]
         key ^= key >> np.uint64(29)
+        size = (end - start).astype(np.int32)
+        key[size > _LONGEST] = 0  # its entry holds no bytes
         distinct, sample, inverse = np.unique(key, return_index=True, return_inverse=True)
-        place = self._look_up(distinct, start[sample], end[sample], joined)
-        first, count = self.first[place][inverse], self.count[place][inverse]
+        lower = _LOWER[data]
+        place = self._look_up(distinct, start[sample], end[sample], joined, lower)[inverse]
+        first, count = self.first[place], self.count[place]
+        # blanks belong to no piece, so the pieces' bytes are what is left of the text
+        own = lower[~blank]
+        equal = self.size[place] == size
+        upto = size.cumsum(dtype=np.int32)
+        held = np.repeat(np.where(equal, self.at[place], 0) - (upto - size), size) + np.arange(len(own), dtype=np.int32)
+        differs = self.bytes[held if equal.all() else np.minimum(held, max(len(self.bytes) - 1, 0))] != own if len(self.bytes) else np.ones(len(own), bool)
+        if differs.any():
+            equal &= np.add.reduceat(differs, upto - size) == 0
+        flat = self.flat
+        if not equal.all():
+            odd = np.flatnonzero(~equal)
+            more = [self._piece(joined[a:b]) for a, b in zip(start[odd].tolist(), end[odd].tolist())]
+            count[odd] = np.fromiter(map(len, more), np.int64, len(more))
+            first[odd] = len(flat) + count[odd].cumsum() - count[odd]
+            flat = np.concatenate([flat, np.fromiter(itertools.chain.from_iterable(more), np.uint32)])
         ends = count.cumsum()
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(first - (ends - count), count)]
+        ids = flat[np.arange(ends[-1]) + np.repeat(first - (ends - count), count)]
         edges = np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts)).cumsum()
         upto = np.append(0, ends)[np.searchsorted(start, edges)]
         return ids, np.diff(upto, prepend=0)
 
-    def _look_up(self, distinct: np.ndarray, start: np.ndarray, end: np.ndarray, joined: bytes) -> np.ndarray:
-        if len(self.keys) > self.limit:
+    def _look_up(self, distinct: np.ndarray, start: np.ndarray, end: np.ndarray, joined: bytes, lower: np.ndarray) -> np.ndarray:
+        if len(self.keys) > self.limit or len(self.bytes) > 1 << 30:
             self._reset()
         place = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
@@ -181,16 +203,22 @@ class TextEncoder:
         known[inside] = self.keys[place[inside]] == distinct[inside]
         if not known.all():
             new = np.flatnonzero(~known)
-            piece = self._piece
-            ids = [piece(joined[a:b]) for a, b in zip(start[new].tolist(), end[new].tolist())]
+            long = end - start > _LONGEST
+            ids = [[] if c else self._piece(joined[a:b]) for a, b, c in zip(start[new].tolist(), end[new].tolist(), long[new].tolist())]
             count = np.fromiter(map(len, ids), np.int64, len(ids))
             first = len(self.flat) + count.cumsum() - count
             self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)])
+            size = np.where(long, 0, end - start)[new].astype(np.int32)
+            upto = size.cumsum(dtype=np.int32)
+            at = len(self.bytes) + upto - size
+            self.bytes = np.concatenate([self.bytes, lower[np.repeat(start[new].astype(np.int32) - (upto - size), size) + np.arange(upto[-1], dtype=np.int32)]])
             keys = np.concatenate([self.keys, distinct[new]])
             order = np.argsort(keys, kind="stable")
             self.keys = keys[order]
             self.first = np.concatenate([self.first, first])[order]
             self.count = np.concatenate([self.count, count])[order]
+            self.at = np.concatenate([self.at, at.astype(np.int32)])[order]
+            self.size = np.concatenate([self.size, size])[order]
             place = np.searchsorted(self.keys, distinct)
         return place
 
@@ -201,6 +229,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[9, 10, 13, 32]] = True
 _IS_LETTER = np.zeros(256, bool)

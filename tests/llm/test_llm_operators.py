@@ -431,10 +431,25 @@ def test_components_of_long_chains(spark):
 # --- tokenization ---------------------------------------------------------------------------------
 
 
+def test_encoder_compares_bytes():
+    enc = TextEncoder(tokenizer_path())
+    enc.table = np.ones(256, np.uint64)
+    enc.power = enc.inverse = np.ones(len(enc.power), np.uint64)  # a hash that tells only lengths apart
+    texts = [prose(200, 1), "Abc abd ABC xyz " + "q" * 300 + " " + "r" * 300, prose(50, 2), "a", ""]
+    for _ in range(2):
+        ids, offsets = enc.encode([t.encode() for t in texts])
+        for k, t in enumerate(texts):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_encoder_equals_the_tokenizer():
     enc = TextEncoder(tokenizer_path())
     texts = ["", "a\x1cb  c", "İSTANBUL ΣΑΣ", "<|endoftext|> <|ENDOFTEXT|>x", "it's DON'T we'll 12a3 ½ é ́a", "a b c\x85d\x0be", "ﬁ Ǆ ª º µ ÷ × ß ẞ", "don't. can't, 'S", "日本語 テスト。😀", "a,.b;É.x é, ÷, ×.,a …. a.́b", "  \n "]
-    for lot in (texts, [t for t in texts if "<|" not in t], [("Abc, de " * 700_000), "x"]):
+    signs = [bin(i).count("1") % 2 for i in range(4096)]
+    twins = ["".join("ab"[x ^ flip] for x in signs[:n]) for n in (64, 128, 1024, 2048, 4096) for flip in (0, 1)]
+    for t in twins:  # complementary Thue-Morse words have equal polynomial hashes modulo 2**64
+        assert TextEncoder(tokenizer_path()).encode([t.encode()])[0].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+    for lot in (twins, ["x " + " y ".join(twins), *texts[:3]], twins[::-1], texts, [t for t in texts if "<|" not in t], [("Abc, de " * 700_000), "x"]):
         ids, offsets = enc.encode([t.encode() for t in lot])
         for k, t in enumerate(lot):
             assert ids[offsets[k] : offsets[k + 1]].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
