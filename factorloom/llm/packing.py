@@ -3,9 +3,10 @@
 Documents stream through in chunks. Of each, whole windows are cut off and make sequences of their own; what remains
 is shorter than a window. The remainders of a chunk are a multiset of lengths. Starting from the longest, a
 bitset subset-sum dynamic programme finds the multiset of other lengths that fills the window closest to
-its capacity; the counts are read off by backtracking and the pattern is used as often as the counts allow. A pattern
-that leaves slack ends the chunk's packing: its pieces wait for the next chunk. At a partition's end the
-rest is laid end to end, cut into windows, and the last into powers of two, which need no padding.
+its capacity; the counts are read off by backtracking and the pattern is used as often as the counts allow. Where
+the closest pattern leaves slack, the slack is cut off the longest piece that waits, whose rest goes on waiting, so no window is padded. A
+chunk is packed until less than a window waits. At a partition's end that makes
+the last windows: powers of two, the largest first, each filled in the same way.
 
 sequence_id is the partition in the upper bits and a running number in the lower 33. Null texts are empty
 (only the end id), repeated rows are packed each, an empty table gives no rows, other columns are ignored.
@@ -55,23 +56,17 @@ def fill(lengths: list[int], counts: dict[int, int], room: int) -> list[tuple[in
     return sorted(used.items(), reverse=True)
 
 
-def patterns(counts: dict[int, int], capacity: int, last: bool = False) -> Iterator[tuple[list[tuple[int, int]], int]]:
-    """Uses up counts: (pattern, how often). Unless last, stops where a pattern leaves slack."""
-    lengths = sorted((x for x, n in counts.items() if n), reverse=True)
-    while lengths:
-        first = lengths[0]
-        counts[first] -= 1
-        pattern = defaultdict(int, {first: 1})
-        for length, n in fill(lengths, counts, capacity - first):
-            pattern[length] += n
-        counts[first] += 1
-        if not last and sum(x * n for x, n in pattern.items()) < capacity:
-            return
-        times = min(counts[x] // n for x, n in pattern.items())
-        for x, n in pattern.items():
-            counts[x] -= n * times
-        yield sorted(pattern.items(), reverse=True), times
-        lengths = [x for x in lengths if counts[x]]
+def pattern(lengths: list[int], counts: dict[int, int], capacity: int) -> dict[int, int]:
+    """How many of each length fill the window closest to its capacity; the longest that fits is among them. lengths descend."""
+    first = next((x for x in lengths if x <= capacity), None)
+    if first is None:
+        return {}
+    counts[first] -= 1
+    found = defaultdict(int, {first: 1})
+    for length, n in fill(lengths, counts, capacity - first):
+        found[length] += n
+    counts[first] += 1
+    return found
 
 
 class Packer:
@@ -80,59 +75,74 @@ class Packer:
     def __init__(self, capacity: int, chunk: int):
         self.capacity, self.chunk = capacity, chunk
         self.waiting: dict[int, list] = defaultdict(list)
-        self.held, self.next, self.out = 0, 0, []
+        self.held = self.tokens = self.next = 0
+        self.out: list[tuple] = []
+        #: ids in whole windows, in pieces that a pattern placed, and in pieces cut to fill a slack
+        self.shares = [0, 0, 0]
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         n, size = len(ids), self.capacity
         whole = n - n % size
         for at in range(0, whole, size):
-            self._piece(doc_id, ids, at, size, self.next, 0)
+            self._piece(doc_id, ids[at : at + size], at, n, 0)
             self.next += 1
+        self.shares[0] += whole
         if n > whole:
-            self.waiting[n - whole].append((doc_id, ids if whole == 0 else ids[whole:].copy(), whole, n))
-            self.held += 1
+            self._wait(doc_id, ids if whole == 0 else ids[whole:].copy(), whole, n)
             if self.held >= self.chunk:
-                self._pack()
-
-    def _piece(self, doc_id, ids, at, length, sequence, offset, base=0, n=None) -> None:
-        self.out.append((doc_id, base + at, length, crc32(ids[at : at + length]), len(ids) if n is None else n, sequence, offset))
-
-    def _pack(self) -> None:
-        counts = {x: len(v) for x, v in self.waiting.items() if v}
-        for pattern, times in patterns(counts, self.capacity):
+                self._pack(self.capacity)
+
+    def _wait(self, doc_id, ids, start, total) -> None:
+        self.waiting[len(ids)].append((doc_id, ids, start, total))
+        self.held += 1
+        self.tokens += len(ids)
+
+    def _piece(self, doc_id, ids, start, total, offset) -> None:
+        self.out.append((doc_id, start, len(ids), crc32(ids), total, self.next, offset))
+
+    def _take(self, length: int) -> tuple:
+        self.held -= 1
+        self.tokens -= length
+        return self.waiting[length].pop()
+
+    def _pack(self, window: int) -> None:
+        """Fills windows until less than one waits."""
+        counts = defaultdict(int, {x: len(v) for x, v in self.waiting.items() if v})
+        lengths = sorted(counts, reverse=True)
+        while self.tokens >= window:
+            found = pattern(lengths, counts, window)
+            slack = window - sum(x * n for x, n in found.items())
+            times = 1 if slack else min(counts[x] // n for x, n in found.items())
+            for x, n in found.items():
+                counts[x] -= n * times
             for _ in range(times):
                 offset = 0
-                for length, n in pattern:
+                for length, n in sorted(found.items(), reverse=True):
                     for _ in range(n):
-                        doc_id, ids, base, total = self.waiting[length].pop()
-                        self._piece(doc_id, ids, 0, length, self.next, offset, base, total)
+                        doc_id, ids, start, total = self._take(length)
+                        self._piece(doc_id, ids, start, total, offset)
                         offset += length
-                        self.held -= 1
+                self.shares[1] += offset
+                while slack:  # what waits has slack ids at least
+                    longest = next(x for x in lengths if counts[x])
+                    doc_id, ids, start, total = self._take(longest)
+                    counts[longest] -= 1
+                    cut = min(slack, longest)
+                    self._piece(doc_id, ids[:cut], start, total, offset)
+                    self.shares[2] += cut
+                    offset, slack = offset + cut, slack - cut
+                    if cut < longest:
+                        self._wait(doc_id, ids[cut:], start + cut, total)
+                        counts[longest - cut] += 1
+                        if longest - cut not in lengths:
+                            lengths = sorted([*lengths, longest - cut], reverse=True)
                 self.next += 1
-        # a chunk of lengths that don't fill windows would grow for ever: it is cut end to end
-        if self.held >= self.chunk // 2:
-            self._cut()
-
-    def _cut(self) -> None:
-        """Lays the waiting pieces end to end; the last window is cut into powers of two."""
-        queue = [x for length in sorted(self.waiting, reverse=True) for x in self.waiting[length]]
-        left = sum(len(x[1]) for x in queue)
-        room = offset = 0
-        for doc_id, ids, base, total in queue:
-            at = 0
-            while at < len(ids):
-                if not room:
-                    room, offset = (self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)), 0
-                take = min(room, len(ids) - at)
-                self._piece(doc_id, ids, at, take, self.next, offset, base, total)
-                at, offset, room, left = at + take, offset + take, room - take, left - take
-                self.next += not room
-        self.waiting.clear()
-        self.held = 0
+            lengths = [x for x in lengths if counts[x]]
 
     def finish(self) -> None:
-        self._pack()
-        self._cut()
+        self._pack(self.capacity)
+        while self.tokens:
+            self._pack(1 << (self.tokens.bit_length() - 1))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, chunk: int = 2048) -> DataFrame:

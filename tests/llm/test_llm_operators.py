@@ -215,9 +215,26 @@ def test_fill_is_the_best_subset_sum():
         assert sum(x * n for x, n in picked) == max(s for s in sums if s <= room) and all(n <= counts[x] for x, n in picked)
 
 
-def test_packing(docs):
+@pytest.mark.parametrize("lengths", [[1500] * 50, [1200, 900] * 30, [3] * 999, [2048, 4096, 1], [1]])
+def test_windows_are_full(lengths):
+    packer, upto = packing.Packer(2048, 64), defaultdict(int)
+    for k, n in enumerate(lengths):
+        packer.add(k, np.arange(n, dtype=np.uint32))
+    packer.finish()
+    sizes = defaultdict(int)
+    for doc, start, n, _, total, sequence, offset in sorted(packer.out, key=lambda x: (x[0], x[1])):
+        assert start == upto[doc] and total == lengths[doc]
+        upto[doc] += n
+        sizes[sequence] += n
+    assert dict(upto) == dict(enumerate(lengths)) and sum(packer.shares) == sum(lengths)
+    assert sum(x != 2048 for x in sizes.values()) <= 11 and all(x & (x - 1) == 0 for x in sizes.values())
+
+
+@pytest.mark.parametrize("chunk", [16, 2048])
+def test_packing(docs, chunk):
     rows = [(1000 + i, prose(int(3 ** rng.uniform(0, 7)), i)) for i in range(60)] + ODD
-    out = packing.pack(docs(rows), tokenizer_path(), chunk=16).collect()
+    out = packing.pack(docs(rows, extra=True), tokenizer_path(), chunk=chunk).collect()
+    assert packing.pack(docs([]), tokenizer_path()).collect() == []
     enc = TextEncoder(tokenizer_path())
     pieces, sequences, want = defaultdict(list), defaultdict(list), Counter()
     for r in out:
@@ -232,6 +249,11 @@ def test_packing(docs):
             assert offset == at
             at += length
         assert at <= 2048 and at & (at - 1) == 0
+    for i, t in ((i, t) for i, t in rows if sum(i == x for x, _ in rows) == 1):
+        ids, at = np.array(enc.tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4"), 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length]))
+            at += r.length
     one = [r for r in out if r.doc_id == 7]
     ids = np.array(enc.tokenizer.encode("x" * 50_000, add_special_tokens=False).ids + [1], "<u4")
     assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length]) and r.doc_tokens == len(ids) for r in one)
