@@ -12,8 +12,10 @@ _RNG = np.random.Generator(np.random.PCG64(77))
 _TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TABLE[65:91] = _TABLE[97:123]
 _BASE = int(_RNG.integers(1 << 62, 1 << 63)) | 5
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: 0 for white space, 1 for letters, digits and all bytes beyond ASCII, 2 for the rest.
+_CLASS = np.full(256, 2, np.int8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = 0
+_CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _POWERS: list[np.ndarray] = []
 
 
@@ -48,7 +50,7 @@ def _stretches(text: bytes) -> Iterator[bytes]:
 
 
 def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """For each text the hashes of its white-space separated, ASCII-case-folded words, in order."""
+    """For each text the hashes of its ASCII-case-folded words and of its runs of other signs, in order."""
     at = 0
     while at < len(texts):
         size, to = 0, at
@@ -64,9 +66,10 @@ def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
 
 def _hashes(texts: list[bytes]) -> list[np.ndarray]:
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    blank = _BLANK[data]
-    edge = np.diff(blank.astype(np.int8), prepend=np.int8(1))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    kind = _CLASS[data]
+    edge = np.flatnonzero(np.diff(kind, prepend=np.int8(0), append=np.int8(0)))
+    start, end = edge[:-1], edge[1:]
+    start, end = (x[kind[start] != 0] for x in (start, end)) if len(edge) else (edge, edge)
     up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])

@@ -1,18 +1,19 @@
 """Quality classifier by importance resampling over hashed n-grams.
 
-Two generative models, of the target text and of all text, hold how often each hashed word and word pair occurs. The
-raw model counts every document. The target model counts the good and harmless documents among at most
+Two generative models, of the target text and of all text, hold how often each hashed gram (a word or a run of signs, and each pair
+of neighbours) occurs. The raw model counts every document. The target model counts the good and harmless documents among at most
 `label_rows` labelled ones (those with the smallest hash of their id: the documented bound on the
-labelled sample). A document's log weight is the log ratio of the two models over its grams, per word, shrunk
-towards zero for short texts. Documents are then resampled without replacement by Gumbel top-k: key =
-sharpness * log weight + Gumbel noise drawn from a hash of the id, and the k largest keys are
-selected, where k is the number of documents whose log weight reaches what all but `tail` of the held-out target rows
-(half of them) have, less `margin`. The k-th key is found exactly by counting key bits 16 at a time, so neither rows nor keys are
+labelled sample). A gram's log ratio is drawn towards zero by `shrink` standard errors (words, pairs), so that rare grams say nothing. A
+document's log weight is the sum of its grams' log ratios: the log ratio of the probabilities that the models give the text, so a few
+telling words count the same whatever the length. Documents are then resampled without replacement by Gumbel top-k: key =
+log weight + standard Gumbel noise drawn from a hash of the id, and the k largest keys are
+selected. k is a parameter; by default it is the number of documents whose log weight reaches what all but `tail` of the held-out target rows
+(half of them) have (see _low). The k-th key is found exactly by counting key bits 16 at a time, so neither rows nor keys are
 collected; rows tied with it are all selected.
 
-Null and texts without words get the log weight -99 and are never selected. Without labelled
-target rows every text with words is selected. Repeated rows get equal keys; a null doc_id hashes as -1; an empty table gives no rows;
-other columns are ignored.
+Null texts and texts of white space alone get the log weight -1e9 and are never selected. Without labelled
+target rows all weights are zero and, k aside, every text with words is selected. Repeated rows get equal keys; rows with a null doc_id share their noise;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,16 +29,14 @@ from pyspark.sql import functions as F
 from .common import column, cut, map_arrow, text_bytes
 from .hashing import mix, word_hashes
 
-BITS, NOTHING, SMOOTH = 16, -99.0, 4.0
+BITS, NOTHING, SMOOTH = 18, -1e9, 1.0
 
 
 @dataclass
 class Model:
     ratio: np.ndarray  # float32 [2][2**BITS]: log ratio of each bucket, words then pairs
     threshold: float
-    sharpness: float
     seed: int
-    prior: int
 
 
 def grams(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,14 +46,22 @@ def grams(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words.astype(np.int64), pairs.astype(np.int64)
 
 
-def log_weight(hashes: np.ndarray, ratio: np.ndarray, prior: int) -> float:
+def log_weight(hashes: np.ndarray, ratio: np.ndarray) -> float:
     if not len(hashes):
         return NOTHING
     words, pairs = grams(hashes)
-    return float((ratio[0][words].sum(dtype=np.float64) + ratio[1][pairs].sum(dtype=np.float64)) / (len(hashes) + prior))
+    return float(ratio[0][words].sum(dtype=np.float64) + ratio[1][pairs].sum(dtype=np.float64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000, tail: float = 0.001, margin: float = 0.05, sharpness: float = 200.0, prior: int = 20, seed: int = 7) -> Model:
+def log_ratios(target: np.ndarray, raw: np.ndarray, shrink: tuple[float, float]) -> np.ndarray:
+    """[2][buckets]: log of the target's counts over those expected were both models the same, less `shrink` standard errors."""
+    expected = raw * target.sum(axis=1, keepdims=True) / np.maximum(raw.sum(axis=1, keepdims=True), 1)
+    ratio = np.log((target + SMOOTH) / (expected + SMOOTH))
+    error = np.sqrt(1 / (target + SMOOTH) + 1 / (expected + SMOOTH))
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - np.array(shrink)[:, None] * error, 0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000, tail: float = 0.002, shrink: tuple[float, float] = (1.0, 2.0), seed: int = 7) -> Model:
     """docs(doc_id, text), labels(doc_id, quality, toxic)."""
     sample = labels.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(label_rows)
     good = sample.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long")).toPandas()["doc_id"]
@@ -68,7 +75,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000, tail: floa
         sums = np.zeros((2, 2 * size), np.int64)
         for batch in batches:
             ids, texts = column(batch, "doc_id"), text_bytes(batch)
-            wanted = np.isin(np.array([-1 if i is None else i for i in ids], np.int64), good)
+            wanted = np.isin(np.array([0 if i is None else i for i in ids], np.int64), good) & np.array([i is not None for i in ids], bool)
             for own, hashes in zip(wanted.tolist(), word_hashes(texts)):
                 words, pairs = grams(hashes)
                 each = np.concatenate([words, pairs + size])
@@ -85,26 +92,32 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000, tail: floa
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     counts = map_arrow(rows, count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    table = counts.toArrow()  # a row per bucket: 2**17 at most
+    table = counts.toArrow()  # a row per bucket: 2**19 at most
     raw, target = np.zeros(2 * size), np.zeros(2 * size)
     bucket = table.column("bucket").to_numpy()
     raw[bucket], target[bucket] = table.column("raw").to_numpy(), table.column("target").to_numpy()
     raw, target = raw.reshape(2, size), target.reshape(2, size)
-    # counts of the target against those expected if both models were the same; rare buckets tell little
-    share = target.sum(axis=1, keepdims=True) / np.maximum(raw.sum(axis=1, keepdims=True), 1)
-    ratio = np.log((target + SMOOTH) / (raw * share + SMOOTH))
-    if not len(good):
-        ratio[:] = 0
-    model = Model(ratio.astype(np.float32), -1.0, sharpness, seed, prior)
+    model = Model(log_ratios(target, raw, shrink).astype(np.float32), NOTHING, seed)
     if len(good) and len(held_out):
         wanted = docs.sparkSession.createDataFrame(_ids(held_out), "doc_id long")
-        known = score(docs.join(F.broadcast(wanted), "doc_id", "left_semi"), model)
-        weights = np.sort(known.where(F.col("log_weight") > NOTHING).select("log_weight").toPandas()["log_weight"].to_numpy())
+        known = score(docs.join(F.broadcast(wanted), "doc_id", "left_semi"), model).where(F.col("log_weight") > NOTHING)
+        known = known.groupBy("doc_id").agg(F.min("log_weight").alias("w"))  # label_rows rows at most
+        weights = np.sort(known.toPandas()["w"].to_numpy())
         if len(weights):
-            model.threshold = float(weights[int(tail * len(weights))]) - margin
+            model.threshold = _low(weights, tail)
     return model
 
 
+def _low(weights: np.ndarray, tail: float) -> float:
+    """Where the lowest `tail` of the sorted weights ends; with too few of them, their lowest twentieth is prolonged as an exponential tail."""
+    least = float(weights[int(tail * len(weights))])
+    if tail * len(weights) >= 5:
+        return least
+    edge = float(np.quantile(weights, 0.05))
+    below = edge - weights[weights <= edge]
+    return min(least, edge - float(below.mean()) * np.log(0.05 / tail))
+
+
 def _ids(values: np.ndarray):
     import pandas as pd
 
@@ -112,10 +125,12 @@ def _ids(values: np.ndarray):
 
 
 def _scores(ids: list, texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    weight = np.array([log_weight(h, model.ratio, model.prior) for h in word_hashes(texts)], np.float64)
-    seeded = np.array([-1 if i is None else i for i in ids], np.int64).view(np.uint64) + np.uint64(model.seed)
-    uniform = ((mix(mix(seeded)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-    return weight, model.sharpness * weight - np.log(-np.log(uniform))
+    weight = np.array([log_weight(h, model.ratio) for h in word_hashes(texts)], np.float64)
+    ids64 = np.array([0 if i is None else i for i in ids], np.int64).view(np.uint64)
+    # nulls share a noise of their own
+    hashed = np.where([i is None for i in ids], np.uint64(model.seed), mix(ids64 + np.uint64(model.seed))) if ids else ids64
+    uniform = ((mix(hashed) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+    return weight, weight - np.log(-np.log(uniform))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -151,23 +166,24 @@ def cutoff(scores: DataFrame, k: int) -> float:
     return (low - (1 << 62)) / scale
 
 
-def resample(docs: DataFrame, labels: DataFrame, **options) -> tuple[DataFrame, Model, float]:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, **options) -> tuple[DataFrame, Model, float]:
     """The scores (written), the model and the smallest selected key."""
     model = fit(docs, labels, **options)
     scores = cut(score(docs, model))
-    k = scores.where((F.col("log_weight") >= model.threshold) & (F.col("log_weight") > NOTHING)).count()
+    if k is None:
+        k = scores.where((F.col("log_weight") >= model.threshold) & (F.col("log_weight") > NOTHING)).count()
     return scores, model, cutoff(scores, k)
 
 
-def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, **options) -> DataFrame:
     """doc_id, log_weight, key, selected of each row."""
-    scores, _, least = resample(docs, labels, **options)
+    scores, _, least = resample(docs, labels, k, **options)
     return scores.withColumn("selected", (F.col("key") >= least) & (F.col("log_weight") > NOTHING))
 
 
-def keep_selected(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def keep_selected(docs: DataFrame, labels: DataFrame, k: int | None = None, **options) -> DataFrame:
     """The rows of docs that are selected, all columns; they are scored where they lie, without a join."""
-    _, model, least = resample(docs, labels, **options)
+    _, model, least = resample(docs, labels, k, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -327,16 +327,69 @@ def test_quality_classifier(spark, docs):
     rows = [(i, " ".join(random.Random(i).choices(vocabulary, k=150))) for i in range(300)] + [(1000 + i, junk(150, i)) for i in range(100)]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)] + [(1000 + i, 0, 0) for i in range(0, 100, 2)], "doc_id long, quality int, toxic int")
     got = defaultdict(list)
-    for r in quality_classifier.classify(docs(rows + [(-1, None), (-2, " ")]), labels).collect():
+    more = rows + [(-1, None), (-2, " "), (None, rows[0][1])]
+    for r in quality_classifier.classify(docs(more, extra=True), labels).collect():
         got[r.doc_id].append(r)
     assert sum(got[i][0].selected for i in range(300)) >= 298 and sum(got[1000 + i][0].selected for i in range(100)) <= 2
     assert not got[-1][0].selected and not got[-2][0].selected
-    kept = quality_classifier.keep_selected(docs(rows), labels)
+    kept = quality_classifier.keep_selected(docs(more), labels)
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r[0].selected} and kept.columns[:2] == ["doc_id", "text"]
     assert quality_classifier.classify(docs([]), labels).collect() == []
     assert all(r.selected for r in quality_classifier.classify(docs(rows[:5]), labels.limit(0)).collect())
 
 
+def brute_weights(rows, target, shrink):
+    """Log weights by plain counting of whole grams, without buckets."""
+    def grams(t):
+        words = re.findall(r"[0-9a-z\x80-\U0010ffff]+|[^0-9a-z\s\x80-\U0010ffff]+", t.lower(), re.A)
+        return words, list(zip(words, words[1:]))
+
+    raw, own = [Counter(), Counter()], [Counter(), Counter()]
+    for i, t in rows:
+        for n in (0, 1):
+            raw[n].update(grams(t)[n])
+            own[n].update(grams(t)[n] if i in target else ())
+    total = [(sum(own[n].values()), sum(raw[n].values())) for n in (0, 1)]
+
+    def ratio(n, g):
+        expected = raw[n][g] * total[n][0] / total[n][1]
+        x = np.log((own[n][g] + 1) / (expected + 1))
+        return np.sign(x) * max(abs(x) - shrink[n] * np.sqrt(1 / (own[n][g] + 1) + 1 / (expected + 1)), 0)
+
+    return {i: sum(ratio(n, g) for n in (0, 1) for g in grams(t)[n]) for i, t in rows}
+
+
+def test_resampling_matches_brute_force(spark, docs):
+    vocabulary = prose(300, 12).split()
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choices(vocabulary[:200], k=60)) + ".") for i in range(200)]
+    rows += [(1000 + i, " ".join(r.choices(vocabulary[150:], k=r.randint(2, 60)))) for i in range(150)] + [(5000 + i, " ".join(r.choices(vocabulary, k=9)) + ", x!") for i in range(50)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 200, 2)] + [(1000, 0, 0), (1, 1, 1), (1001, 1, 1)], "doc_id long, quality int, toxic int")
+    good = np.arange(0, 200, 2)
+    half = good[quality_classifier.mix(quality_classifier.mix(good.astype(np.uint64))) & np.uint64(1) == 0]
+    want = brute_weights(rows, set(half.tolist()), (1.0, 2.0))
+    got = {x.doc_id: x for x in quality_classifier.classify(docs(rows, extra=True), labels).collect()}
+    close = sum(abs(got[i].log_weight - w) < 1e-3 for i, w in want.items())
+    assert close >= 0.97 * len(rows)  # grams that share a bucket are rare here
+    noise = {i: x.key - x.log_weight for i, x in got.items()}
+    assert 0.3 < np.mean(list(noise.values())) < 0.9 and 1.0 < np.std(list(noise.values())) < 1.6
+    for k in (1, 40, 399, 400):
+        best = {x.doc_id for x in sorted(got.values(), key=lambda x: -x.key)[:k]}
+        assert {x.doc_id for x in quality_classifier.classify(docs(rows), labels, k=k).collect() if x.selected} == best
+        assert k > 300 or best != {x.doc_id for x in sorted(got.values(), key=lambda x: -x.log_weight)[:k]}
+
+
+def test_few_toxic_words_are_enough(spark, docs):
+    vocabulary = prose(400, 12).split()
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choices(vocabulary, k=r.randint(20, 600)))) for i in range(600)]
+    toxic = set(range(0, 600, 6))
+    rows = [(i, t + " vile, awful rotten vile." if i in toxic else t) for i, t in rows]
+    labels = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(0, 600, 1 + 1)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.selected for x in quality_classifier.classify(docs(rows), labels).collect()}
+    assert sum(got[i] for i in toxic) <= 5 and sum(not got[i] for i in range(600) if i not in toxic) <= 5
+
+
 def test_cutoff_is_the_kth_key(spark):
     keys = [float(x) for x in np.random.default_rng(3).normal(0, 50, 500)] + [7.5] * 5
     scores = spark.createDataFrame([(i, 0.0, k) for i, k in enumerate(keys)], "doc_id long, log_weight double, key double")
