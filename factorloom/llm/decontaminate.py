@@ -1,18 +1,18 @@
 """Benchmark decontamination by templates. DataFrame functions only.
 
-A text becomes a row of tokens. Numbers (each with the unit behind it, and the parts of a decimal one by one) and names
-(capitalised words inside a sentence) become typed placeholders; every other token is its lower-cased word.
-Windows of five template tokens with at least two plain words are hashed and joined by equality with the benchmark's.
-An item is leaked by a document that holds at least `least` of the item's distinct windows and
+A text becomes a row of tokens, in two forms. In the typed one numbers (the parts of a decimal one by one), units behind numbers and names
+(words with a capital, those that open a sentence too) are typed placeholders; in the plain one only numbers and units are, so that
+copies in other letter case match as well. Every other token is its lower-cased word.
+Windows of five template tokens with at least two words are hashed and joined by equality with the benchmark's windows of the same form.
+An item is leaked by a document that holds at least `least` of the item's distinct windows of one form and
 fills its slots consistently: of the pairs (value in the item, value in the document) at matched
-slots, each item value goes with one document value, but for a share of 1 - `least`.
-A re-parameterised question so counts like a verbatim one. Both are judged for each alignment (place in the document
+slots, each item value goes with one document value, but for a share of 1 - `least`; two item values may go with the same one. Both are judged for each alignment (place in the document
 less place in the item, exact and with up to DRIFT words put in or left out) and for the whole document; one that passes is enough,
-whatever else the document holds.
+whatever else the document holds. Items without such a window match by their tokens as they stand: those of fewer than
+five tokens as a whole, others (nothing but numbers, say) in windows of five.
 
 The benchmark's windows are counted first: up to BROADCAST rows they are sent to all executors, beyond
-that the join shuffles. Null texts have no tokens. Items of fewer than five tokens have no window and
-match nothing. Each row is judged by itself, told apart by doc_id (null or not) and the hash of its text; equal rows have equal results.
+that the join shuffles. Null texts have no tokens; items without tokens match nothing. Each row is judged by itself, told apart by doc_id (null or not) and the hash of its text; equal rows have equal results.
 Empty tables give no matches; other columns are ignored.
 """
 
@@ -28,9 +28,12 @@ UNITS = (
     "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|miles?|ft|feet|inch|inches|meters?|metres?|kilometers?|kilometres?|liters?|litres?|l|ml|"
     "hours?|hrs?|h|minutes?|mins?|seconds?|secs?|s|days?|weeks?|months?|years?|dollars?|cents?|euros?|pounds?|percent|degrees?"
 )
-NAME = "([\\p{L}\\p{N},;:] +)(\\p{Lu}\\p{Ll}+)"
-MEASURE = f"([0-9]) *(?:{UNITS})\\b"
+MEASURE = f"(?i)([0-9]) *({UNITS})\\b"
 OTHER = "[^\\p{L}\\p{N}\u0001]+"
+#: Forms of windows; SHORT + n is the whole of an item of n tokens.
+TYPED, PLAIN, RAW, SHORT = 0, 1, 2, 10
+#: Placeholders of names, numbers and units.
+TYPES = (1, 2, 3)
 
 
 def row_key() -> Column:
@@ -39,61 +42,74 @@ def row_key() -> Column:
 
 
 def templates(rows: DataFrame, key: str) -> DataFrame:
-    """key, h (hash of each template token, 1 and 2 for names and numbers) and raw (hash of each token as it stands)."""
-    text = F.coalesce("text", F.lit(""))
-    # two passes, as a match takes the word before it
-    names = F.lower(F.regexp_replace(F.regexp_replace(text, NAME, "$1\u0001$2"), NAME, "$1\u0001$2"))
-    # a unit goes with its number
-    marked = F.when(text.rlike("[0-9]"), F.regexp_replace(names, MEASURE, "$1 ")).otherwise(names)
-    words = F.split(F.trim(F.regexp_replace(marked, OTHER, " ")), " ")
-    rows = rows.select(key, words.alias("words"))
-    kind = lambda w: F.when(w.startswith("\u0001"), F.lit(1).cast("long")).when(F.left(w, F.lit(1)).between("0", "9"), F.lit(2).cast("long")).otherwise(F.xxhash64(w))
-    return rows.select(key, F.transform("words", kind).alias("h"), F.transform("words", lambda w: F.xxhash64(w)).alias("raw"))
-
-
-def windows(rows: DataFrame, key: str, at: str) -> DataFrame:
-    """key, at (the window's place), window (its hash) and raw0.. (token hashes), for windows with two plain words at least."""
-    n = F.size("h")
-    places = F.when(n >= WIDTH, F.sequence(F.lit(0), n - WIDTH))
-    rows = rows.select(key, "h", "raw", F.explode(places).alias(at))
-    h = [F.get("h", F.col(at) + k) for k in range(WIDTH)]
-    plain: Column = sum((F.when(x.isin(1, 2), 0).otherwise(1) for x in h), F.lit(0))
-    return rows.where(plain >= 2).select(
-        key, at, F.xxhash64(*h).alias("window"), *[F.get("raw", F.col(at) + k).alias(f"raw{k}") for k in range(WIDTH)]
-    )
+    """key, n (tokens) and arrays of their hashes: typed and plain (the forms; TYPES for placeholders) and raw (as they stand)."""
+    text = F.translate(F.coalesce("text", F.lit("")), "\u0001", " ")
+    marked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, MEASURE, "$1 \u0001$2 ")).otherwise(text)
+    flat = F.trim(F.regexp_replace(marked, OTHER, " "))
+    rows = rows.select(key, F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " ")).alias("words"))
+
+    def token(w: Column, names: bool) -> Column:
+        first = F.left(w, F.lit(1))
+        kind = F.when(first == "\u0001", F.lit(3).cast("long")).when(first.between("0", "9"), F.lit(2).cast("long"))
+        return (kind.when(first != F.lower(first), F.lit(1).cast("long")) if names else kind).otherwise(F.xxhash64(F.lower(w)))
+
+    forms = [F.transform("words", lambda w: token(w, True)).alias("typed"), F.transform("words", lambda w: token(w, False)).alias("plain")]
+    return rows.select(key, F.size("words").alias("n"), *forms, F.transform("words", lambda w: F.xxhash64(F.lower(w))).alias("raw"))
+
+
+def windows(tokens: DataFrame, key: str, at: str, forms: list[int]) -> DataFrame:
+    """key, at (the window's place), form, window (its hash), its template tokens h0.. and the tokens as they stand, raw0.. (null where it is shorter).
+
+    One explode of places times forms: the arrays are read where they lie and never copied to the rows.
+    """
+    i = F.col("i")
+    rows = tokens.select(key, "n", "typed", "plain", "raw", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") * len(forms) - 1))).alias("i"))
+    form, place = F.get(F.array(*map(F.lit, forms)), i % len(forms)), F.floor(i / len(forms)).cast("int")
+    rows = rows.select(
+        key, "n", place.alias(at), form.alias("form"), *[F.get("raw", place + k).alias(f"raw{k}") for k in range(WIDTH)],
+        *[F.when(form == TYPED, F.get("typed", place + k)).when(form == PLAIN, F.get("plain", place + k)).otherwise(F.get("raw", place + k)).alias(f"h{k}") for k in range(WIDTH)],
+    )
+    h = [F.col(f"h{k}") for k in range(WIDTH)]
+    words: Column = sum((F.when(x.isin(*TYPES), 0).otherwise(1) for x in h), F.lit(0))
+    whole = [(F.col("form") == SHORT + n) & (F.col(at) + n <= F.col("n")) for n in range(1, WIDTH)]
+    fits = (F.col("form") < SHORT) & (F.col(at) + WIDTH <= F.col("n")) & ((F.col("form") == RAW) | (words >= 2))
+    window = F.when(F.col("form") < SHORT, F.xxhash64(*h))
+    for n in range(1, WIDTH):
+        if SHORT + n in forms:
+            fits, window = fits | whole[n - 1], window.when(F.col("form") == SHORT + n, F.xxhash64(*h[:n]))
+    return rows.where(fits).select(key, at, "form", window.alias("window"), *h, *[f"raw{k}" for k in range(WIDTH)])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """row (see row_key), doc_id, item_id, coverage, consistency of the leaks."""
     tokens = templates(benchmark.withColumn("item_id", F.col("item_id").cast("long")), "item_id")
-    items = windows(tokens, "item_id", "item_at")
-    slots = tokens.select("item_id", F.posexplode("h").alias("slot_at", "k")).where("k in (1, 2)").select("item_id", "slot_at")
-    slots = slots.groupBy("item_id").agg(F.collect_set("slot_at").alias("slots"))
-    items = items.join(slots, "item_id", "left").withColumn("slots", F.coalesce("slots", F.array().cast("array<int>")))
-    items = cut(items.select(
-        "item_id", "item_at", "window",
-        F.filter(F.array(*[
-            F.when(F.array_contains("slots", F.col("item_at") + k), F.struct(F.lit(k).alias("k"), F.col(f"raw{k}").alias("item_raw")))
-            for k in range(WIDTH)
-        ]), lambda x: x.isNotNull()).alias("slots"),
-    ))
-    sizes = items.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"))
+    items = cut(windows(tokens, "item_id", "item_at", [TYPED, PLAIN]))
+    # items without a window, by the form that stands in for it: most often none
+    bare = cut(tokens.where("n > 0").join(items.select("item_id").distinct(), "item_id", "left_anti"))
+    bare = bare.withColumn("stand_in", F.when(F.col("n") < WIDTH, F.col("n") + SHORT).otherwise(RAW))
+    forms = sorted(r["stand_in"] for r in bare.select("stand_in").distinct().collect())
+    if forms:
+        more = windows(bare, "item_id", "item_at", forms).join(bare.select("item_id", "stand_in"), "item_id").where("form = stand_in")
+        items = cut(items.unionByName(more.drop("stand_in")))
+    slot = [F.when(F.col(f"h{k}").isin(*TYPES) & F.col("form").isin(TYPED, PLAIN), F.struct(F.lit(k).alias("k"), F.col(f"raw{k}").alias("item_raw"))) for k in range(WIDTH)]
+    items = cut(items.select("item_id", "item_at", "form", "window", F.filter(F.array(*slot), lambda x: x.isNotNull()).alias("slots")))
+    sizes = items.groupBy("item_id", "form").agg(F.countDistinct("window").alias("n_windows"))
     small = items.count() <= BROADCAST
     side = F.broadcast(items) if small else items
-    hits = windows(templates(docs.select(row_key().alias("row"), "text"), "row"), "row", "at").join(side, "window")
+    hits = windows(templates(docs.select(row_key().alias("row"), "text"), "row"), "row", "at", [TYPED, PLAIN, *forms])
     raws = F.array(*[f"raw{k}" for k in range(WIDTH)])
     pair = F.transform("slots", lambda s: F.struct(s["item_raw"].alias("a"), F.get(raws, s["k"]).alias("b")))
-    # one row per distinct (document, item, window, alignment, slot pairs): copies fold before they are sent
-    hits = hits.select("row", "item_id", "window", (F.col("at") - F.col("item_at")).alias("shift"), pair.alias("pairs"))
+    # one row per distinct (document, item, form, window, alignment, slot pairs): copies fold before they are sent
+    hits = hits.join(side, ["form", "window"]).select("row", "item_id", "form", "window", (F.col("at") - F.col("item_at")).alias("shift"), pair.alias("pairs"))
     hits = cut(hits.groupBy(*hits.columns).agg(F.lit(1).alias("one")).drop("one"))
     sizes = F.broadcast(sizes) if small else sizes
     # no alignment holds more of an item than the whole document does
-    held = _covered(hits, sizes, ["row", "item_id"], least).select("row", "item_id")
+    held = _covered(hits, sizes, ["row", "item_id", "form"], least).select("row", "item_id", "form")
     group = lambda kind, place: F.struct(F.lit(kind).alias("kind"), place.cast("long").alias("place"))
     step = lambda by: F.floor((F.col("shift") + by) / (2 * DRIFT))
     groups = F.array(group(0, F.lit(0)), group(1, F.col("shift")), group(2, step(0)), group(3, step(DRIFT)))
-    near = hits.join(held, ["row", "item_id"], "left_semi").select("row", "item_id", "window", "pairs", F.explode(groups).alias("group"))
-    keys = ["row", "item_id", "group"]
+    near = hits.join(held, ["row", "item_id", "form"], "left_semi").select("row", "item_id", "form", "window", "pairs", F.explode(groups).alias("group"))
+    keys = ["row", "item_id", "form", "group"]
     cover = _covered(near, sizes, keys, least)
     filled = near.select(*keys, F.explode("pairs").alias("p")).join(cover.select(*keys), keys, "left_semi")
     filled = filled.groupBy(*keys).agg(F.countDistinct("p.a").alias("values"), F.countDistinct("p").alias("pairs"))
@@ -105,7 +121,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> Data
 
 def _covered(hits: DataFrame, sizes: DataFrame, keys: list[str], least: float) -> DataFrame:
     """keys and coverage of the groups that hold at least `least` of their item's distinct windows."""
-    cover = hits.groupBy(*keys).agg(F.countDistinct("window").alias("found")).join(sizes, "item_id")
+    cover = hits.groupBy(*keys).agg(F.countDistinct("window").alias("found")).join(sizes, ["item_id", "form"])
     return cover.select(*keys, (F.col("found") / F.col("n_windows")).alias("coverage")).where(F.col("coverage") >= least)
 
 

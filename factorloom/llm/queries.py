@@ -81,25 +81,21 @@ CAST(COALESCE(SUM(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS lo
 CAST(SUM(length(role) + length(text) + more + 24) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
 
 
-def _words(text: str) -> str:
-    """The tokens of a text, as decontaminate.templates has them."""
-    name = decontaminate.NAME
-    names = f"lower(regexp_replace(regexp_replace({text}, '{name}', '\\1' || chr(1) || '\\2', 'g'), '{name}', '\\1' || chr(1) || '\\2', 'g'))"
-    return f"string_split(trim(regexp_replace(regexp_replace({names}, '{decontaminate.MEASURE}', '\\1 ', 'g'), '[^\\p{{L}}\\p{{N}}\\x01]+', ' ', 'g')), ' ')"
-
-
-_KIND = "CASE WHEN w[{0}] LIKE chr(1) || '%' THEN chr(1) WHEN regexp_matches(w[{0}], '^[0-9]') THEN chr(2) ELSE w[{0}] END"
-_WINDOW = " || ' ' || ".join(_KIND.format(f"i + {k}") for k in range(5))
-_PLAIN = " + ".join(f"CASE WHEN regexp_matches(w[i + {k}], '^[\\x010-9]') THEN 0 ELSE 1 END" for k in range(5))
-_LEAKS = f"""WITH d AS (SELECT DISTINCT doc_id, {_words("COALESCE(text, '')")} AS w FROM documents), b AS (SELECT item_id, {_words("COALESCE(text, '')")} AS w FROM benchmark),
-bw AS (SELECT item_id, w, i, {_WINDOW} AS win FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b) WHERE {_PLAIN} >= 2),
-dw AS (SELECT doc_id, w, i, {_WINDOW} AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d) WHERE {_PLAIN} >= 2),
-n AS (SELECT item_id, COUNT(DISTINCT win) AS n FROM bw GROUP BY 1),
-hit AS MATERIALIZED (SELECT doc_id, item_id, win, bw.w[bw.i : bw.i + 4] AS x, dw.w[dw.i : dw.i + 4] AS y FROM dw JOIN bw USING (win)),
-cov AS (SELECT doc_id, item_id, COUNT(DISTINCT win) / ANY_VALUE(n) AS coverage FROM hit JOIN n USING (item_id) GROUP BY 1, 2 HAVING COUNT(DISTINCT win) / ANY_VALUE(n) >= {decontaminate.LEAST}),
-s AS (SELECT doc_id, item_id, x[k] AS p, y[k] AS q FROM hit, range(1, 6) r(k) WHERE regexp_matches(x[k], '^[\\x010-9]')),
-con AS (SELECT doc_id, item_id, COUNT(DISTINCT p) / COUNT(DISTINCT p || ' ' || q) AS c FROM s GROUP BY 1, 2),
-ok AS (SELECT doc_id, COUNT(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, MAX(coverage) AS coverage FROM cov LEFT JOIN con USING (doc_id, item_id) WHERE COALESCE(c, 1) >= {decontaminate.LEAST} GROUP BY 1)
+#: The tokens of a text, as decontaminate.templates has them, in both forms and as they stand.
+_TOKENS = rf"""SELECT {{0}}, list_transform(w, lambda x: CASE WHEN x[1] = chr(1) THEN chr(3) WHEN x[1] BETWEEN '0' AND '9' THEN chr(2) WHEN x[1] <> lower(x[1]) THEN chr(1) ELSE lower(x) END) AS t,
+list_transform(w, lambda x: CASE WHEN x[1] = chr(1) THEN chr(3) WHEN x[1] BETWEEN '0' AND '9' THEN chr(2) ELSE lower(x) END) AS p, list_transform(w, lambda x: lower(x)) AS r
+FROM (SELECT DISTINCT {{0}}, string_split(trim(regexp_replace(regexp_replace(replace(COALESCE(text, ''), chr(1), ' '), '{decontaminate.MEASURE}', '\1 ' || chr(1) || '\2 ', 'g'), '[^\p{{{{L}}}}\p{{{{N}}}}\x01]+', ' ', 'g')), ' ') AS w FROM {{1}})"""
+_WINDOWS = """SELECT {0}, f, list_transform(x[i : i + 4], lambda y: y IN (chr(1), chr(2), chr(3))) AS slot, array_to_string(x[i : i + 4], ' ') AS win, r[i : i + 4] AS r
+FROM (SELECT {0}, f, CASE f WHEN 0 THEN t ELSE p END AS x, r, unnest(range(1, len(r) - 3)) AS i FROM {1}, range(2) g(f)) WHERE len(list_filter(x[i : i + 4], lambda y: y NOT IN (chr(1), chr(2), chr(3)))) >= 2"""
+_LEAKS = f"""WITH d AS ({_TOKENS.format("doc_id", "documents")}), b AS ({_TOKENS.format("item_id", "benchmark")}),
+bw AS ({_WINDOWS.format("item_id", "b")}), dw AS ({_WINDOWS.format("doc_id", "d")}),
+n AS (SELECT item_id, f, COUNT(DISTINCT win) AS n FROM bw GROUP BY ALL),
+hit AS MATERIALIZED (SELECT doc_id, item_id, f, win, bw.slot, bw.r AS x, dw.r AS y FROM dw JOIN bw USING (f, win)),
+cov AS (SELECT doc_id, item_id, f, COUNT(DISTINCT win) / ANY_VALUE(n) AS coverage FROM hit JOIN n USING (item_id, f) GROUP BY ALL HAVING COUNT(DISTINCT win) / ANY_VALUE(n) >= {decontaminate.LEAST}),
+s AS (SELECT doc_id, item_id, f, x[k] AS p, y[k] AS q FROM hit, range(1, 6) r(k) WHERE slot[k]),
+con AS (SELECT doc_id, item_id, f, COUNT(DISTINCT p) / COUNT(DISTINCT p || ' ' || q) AS c FROM s GROUP BY ALL),
+fine AS (SELECT doc_id, item_id, MAX(coverage) AS coverage FROM cov LEFT JOIN con USING (doc_id, item_id, f) WHERE COALESCE(c, 1) >= {decontaminate.LEAST} GROUP BY ALL),
+ok AS (SELECT doc_id, COUNT(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, MAX(coverage) AS coverage FROM fine GROUP BY 1)
 SELECT doc_id, n_items IS NOT NULL AS leaked, COALESCE(n_items, 0) AS n_items, COALESCE(item_ids, '') AS item_ids, COALESCE(coverage, 0) AS coverage FROM documents LEFT JOIN ok USING (doc_id)"""
 
 

@@ -188,6 +188,19 @@ def test_leaks_are_judged_by_alignment(spark, docs):
     assert got == {1: "0", 2: "1", 3: "1", 4: "1", 5: "", 6: ""}
 
 
+def test_leaks_in_other_letters_names_units_and_short_items(spark, docs):
+    shop = "In the shop Tom bought 3 pens for 4 dollars and Anna bought 5 books for 9 dollars. How much did they pay in all?"
+    miles = "Otto drove 60 miles on monday and then 75 miles on the next day before he came home to rest"
+    items = [(0, shop), (1, miles), (2, "Gruß Welt"), (3, "4 8 15 16 23 42"), (4, ""), (5, "Bonjour"), (6, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [
+        (1, shop.lower()), (2, shop.upper()), (3, shop.replace("Tom", "Ulla").replace("Anna", "Ben").replace("3 pens", "8 pens")), (4, miles.replace("Otto", "Maria").replace("miles", "km")),
+        (5, "sie sagt gruß welt und geht"), (6, "4 8 15 16 23 42"), (7, "4 8 15 16 23 41"), (8, "welt gruß"), (9, prose(60, 4)), (10, "..."), (11, miles.replace("60 miles", "60 kg").replace("75", "60")),
+    ]
+    got = {r.doc_id: r.item_ids for r in decontaminate.decontaminate(docs(rows, extra=True), bench).collect()}
+    assert got == {1: "0", 2: "0", 3: "0", 4: "1", 5: "2", 6: "3", 7: "", 8: "", 9: "", 10: "", 11: "1"}
+
+
 def test_leaks_of_null_and_repeated_ids(spark, docs, tmp_path):
     import corpus_pipeline
 
