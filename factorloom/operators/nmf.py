@@ -1,10 +1,11 @@
 """Non-negative matrix factorization by alternating non-negative least squares, and its variants.
 
 A = W diag(d) H; the weights of each factor sum to 1 in W and in H. A is kept twice, grouped by column
-and by row (one shuffle each, written once, never moved again). In a half step the factor of the other
-side meets the blocks: it is broadcast if its measured size is under BROADCAST_BYTES, and the kernel
-runs over Arrow batches; beyond that, cells join the factor by id, cross products are summed by
-key and only k numbers per id reach the kernel. The k x k Gram matrix always fits. Factors stay DataFrames and are
+and by row (one shuffle each, written once as a bucketed table, never shuffled again); a group of more than CELLS cells is split into pieces.
+In a half step the factor of the other side meets the groups of the side to be solved: it is broadcast if its measured size is under BROADCAST_BYTES. Beyond that
+it is joined, by its own ids, with the other grouping: only the factor goes to the buckets, the cells stay, and each task sums its products by the id they
+belong to before k numbers per id are shuffled. Masked solves need a Gram matrix per id; a factor beyond the limit streams from the shared folder
+past bounded lots of ids for that. The k x k Gram matrix always fits. Factors stay DataFrames and are
 cut to the shared folder each half step, so lineage stays short and survives lost executors.
 
 Solves start from 0 (a warm start from the previous factor is compat_warm_start in the reference's
@@ -13,18 +14,23 @@ sense and not offered). l1 and l2 are those of the solver: l1 is taken from each
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels, rng
-from ..session import cut, ship
+from ..session import cut, shared_dir, ship
 
 BROADCAST_BYTES = 64 << 20
+#: Cells of one row of a grouping at most, and bytes of per-id matrices that a task holds.
+CELLS, HELD_BYTES = 1 << 13, 64 << 20
 
 
 @dataclass
@@ -66,22 +72,47 @@ class Model:
 
 @dataclass
 class Blocks:
-    """A grouped by one side: (id, idx array, val array); every id of that side has a row."""
+    """A grouped by one side: (id, piece, idx array, val array); every id of that side has a piece 0."""
 
     rows: DataFrame
-    other: DataFrame  # ids of the other side
+    #: (id, pieces) of the ids in several pieces; None if there are none
+    long: DataFrame | None
+    #: the same cells grouped by the other side, made when asked for
+    across: Callable[[], Blocks]
+
+    @property
+    def keys(self) -> list[str]:
+        """What the table is bucketed by."""
+        return ["id"] if self.long is None else ["id", "piece"]
 
 
-def blocks(m: DataFrame, by: str, ids: DataFrame | None = None) -> Blocks:
+def blocks(m: DataFrame, by: str, ids: DataFrame | None = None, across: Callable[[], Blocks] | None = None, cells: int = CELLS) -> Blocks:
+    """Groups m, which should be written or cached: it is read for the sizes of the groups and for the groups."""
     other = "row_id" if by == "col_id" else "col_id"
-    # one column is one row: its cells are what a record of the reference holds, too
-    rows = m.groupBy(F.col(by).alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col(other).alias("i"), F.col("value").alias("v")))).alias("c"))
-    rows = rows.select("id", F.col("c.i").alias("idx"), F.col("c.v").alias("val"))
-    if ids is not None:
-        rows = ids.select(F.col("id").cast("long")).join(rows, "id", "left")
-        empty = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
-        rows = rows.select("id", empty("idx", "bigint"), empty("val", "double"))
-    return Blocks(cut(rows), m.select(F.col(other).alias("id")).distinct())
+    sizes = m.groupBy(F.col(by).alias("id")).count().where(F.col("count") > cells)
+    long = cut(sizes.select("id", (F.ceil(F.col("count") / cells) + 1).cast("int").alias("pieces")))
+    none = None if ids is None else ids.select(F.col("id").cast("long")).join(m.select(F.col(by).alias("id")), "id", "left_anti")
+    rows = m.select(F.col(by).alias("id"), F.col(other).alias("i"), F.col("value").alias("v"))
+    if long.isEmpty():
+        long, rows = None, rows.withColumn("piece", F.lit(0))
+    else:
+        # piece 0 of a long group is empty: it stands for the id
+        rows = rows.join(long, "id", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("i"), F.col("pieces") - 1) + 1, F.lit(0)).cast("int"))
+        none = long.select("id") if none is None else none.union(long.select("id"))
+    rows = rows.groupBy("id", "piece").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("c"))
+    rows = rows.select("id", "piece", F.col("c.i").alias("idx"), F.col("c.v").alias("val"))
+    if none is not None:
+        rows = rows.unionByName(none.select("id", F.lit(0).alias("piece"), F.array().cast("array<bigint>").alias("idx"), F.array().cast("array<double>").alias("val")))
+    out = Blocks(_bucketed(rows, ["id"] if long is None else ["id", "piece"]), long, lambda: across() if across else blocks(m, other, across=lambda: out, cells=cells))
+    return out
+
+
+def _bucketed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows as a table of the shared folder in buckets of the keys: joins on those leave it where it is."""
+    spark, name = rows.sparkSession, f"factorloom_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.format("parquet").option("path", f"{shared_dir(spark)}/table").bucketBy(n, *keys).saveAsTable(name)
+    return spark.table(name)
 
 
 def start(ids: DataFrame, k: int, seed: int) -> DataFrame:
@@ -152,6 +183,46 @@ def as_rows(f: DataFrame | Local, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_batches([batch]))
 
 
+class Source:
+    """A factor that tasks read in parts: all of it at once where it is broadcast, or streamed from the files it was cut to."""
+
+    def __init__(self, spark: SparkSession, f: DataFrame | Local, k: int):
+        self.k = k
+        self.shared, self.files = (spark.sparkContext.broadcast(f), []) if isinstance(f, Local) else (None, f.inputFiles())
+
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Sorted ids and their weights."""
+        if self.shared is not None:
+            yield self.shared.value.ids, self.shared.value.weights
+        for uri in self.files:
+            place, path = fs.FileSystem.from_uri(uri)
+            with place.open_input_file(path) as file:
+                for batch in pq.ParquetFile(file).iter_batches(max(1, HELD_BYTES // (8 * self.k)), columns=["id", "weights"]):
+                    ids, weights = batch.column(0).to_numpy(), _matrix(batch.column(1), self.k)
+                    order = np.argsort(ids)
+                    yield ids[order], weights[order]
+
+
+def _lots(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+
+
+def _with_pieces(side: Blocks, f: DataFrame) -> DataFrame:
+    """f(id, ...) with a row for each piece of its id, if some have several."""
+    if side.long is None:
+        return f
+    last = F.coalesce(F.col("pieces"), F.lit(1)) - 1
+    return f.join(side.long, "id", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), last))).drop("pieces")
+
+
+def _sums(rows: DataFrame, k: int) -> DataFrame:
+    """(id, b): the sum of arrays b per id."""
+    sums = rows.groupBy("id").agg(*[F.sum(F.get("b", i)).alias(f"b{i}") for i in range(k)])
+    return sums.select("id", F.array(*[f"b{i}" for i in range(k)]).alias("b"))
+
+
 def half_step(side: Blocks, f: DataFrame | Local, k: int, l1: float = 0.0, l2: float = 0.0, *, link: DataFrame | None = None, l1_rows: DataFrame | None = None,
               mask: tuple[int, int, bool] | None = None, graph: DataFrame | None = None, limit: int = BROADCAST_BYTES, update: str = "nnls", previous: DataFrame | None = None) -> DataFrame:
     """(id, weights) of one side given f(id, weights) of the other: solves for each id, unscaled.
@@ -167,19 +238,16 @@ def half_step(side: Blocks, f: DataFrame | Local, k: int, l1: float = 0.0, l2: f
         f = cut(f)
         _, gram = factor_sums(f, k)
         local = localize(f, k, limit)
-    if local is None and mask is not None:
-        raise ValueError("a masked solve needs the other factor within the broadcast limit")
+    if mask is not None and local is not None and side.long is None:
+        return _masked_step(rows, spark.sparkContext.broadcast(local), gram, k, l1, l2, mask)
     if local is not None:
-        shared = spark.sparkContext.broadcast(local)
-        if mask is not None:
-            return _masked_step(rows, shared, gram, k, l1, l2, mask)
-        rows = _products(rows, shared, k)
+        rows = _products(rows, spark.sparkContext.broadcast(local), k, mask)
+        rows = rows if side.long is None else _sums(rows, k)
     else:
-        cells = rows.select("id", F.explode(F.arrays_zip("idx", "val")).alias("c")).select("id", F.col("c.idx").alias("other"), F.col("c.val").alias("v"))
-        joined = cells.join(f.select(F.col("id").alias("other"), "weights"), "other")
-        sums = joined.groupBy("id").agg(*[F.sum(F.col("v") * F.get("weights", i)).alias(f"b{i}") for i in range(k)])
-        b = F.array(*[F.coalesce(f"b{i}", F.lit(0.0)) for i in range(k)])
-        rows = rows.select("id").join(sums, "id", "left").select("id", b.alias("b"))
+        sums = _carried(side.across(), f, k, mask)
+        rows = rows.where("piece = 0").select("id").join(sums, "id", "left").select("id", F.coalesce("b", F.array(*[F.lit(0.0)] * k)).alias("b"))
+    if mask is not None:
+        rows = _less_masked(rows, Source(spark, f if local is None else local, k), k, mask)
     if graph is not None:
         edges = graph.select(F.col("dst").alias("id"), F.col("src").alias("from"), F.col("weight").alias("g"))
         moved = edges.join(rows.select(F.col("id").alias("from"), "b"), "from")
@@ -194,34 +262,91 @@ def half_step(side: Blocks, f: DataFrame | Local, k: int, l1: float = 0.0, l2: f
     return _solve(rows, gram, k, l1, l2, update)
 
 
-def _products(rows: DataFrame, shared, k: int) -> DataFrame:
+def _products(rows: DataFrame, shared, k: int, mask: tuple[int, int, bool] | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
         for batch in batches:
-            idx, val = batch.column(1), batch.column(2)
-            sizes = np.diff(np.asarray(idx.offsets))
-            b = kernels.cross(np.asarray(val.flatten()), np.searchsorted(f.ids, np.asarray(idx.flatten())), sizes, f.weights)
-            out = _out(batch.column(0), b)
-            yield pa.RecordBatch.from_arrays(out.columns, names=["id", "b"])
+            ids, idx, val = batch.columns
+            sizes, at, values = np.diff(np.asarray(idx.offsets)), np.asarray(idx.flatten()), np.asarray(val.flatten())
+            if mask is not None:
+                values = np.where(_masked_cells(mask, np.repeat(np.asarray(ids), sizes), at), 0, values)
+            b = kernels.cross(values, np.searchsorted(f.ids, at), sizes, f.weights)
+            yield pa.RecordBatch.from_arrays(_out(ids, b).columns, names=["id", "b"])
 
     return rows.select("id", "idx", "val").mapInArrow(run, "id long, b array<double>")
 
 
+def _carried(across: Blocks, f: DataFrame, k: int, mask: tuple[int, int, bool] | None, at_once: int = 1 << 16) -> DataFrame:
+    """(id, b) of the side to be solved, from the grouping by the factor's ids: products are summed by id in each task, then over tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def fold() -> tuple[np.ndarray, np.ndarray]:
+            ids, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            sums, parts = np.zeros((len(ids), k)), np.concatenate([h[1] for h in held])
+            for i in range(k):
+                sums[:, i] = np.bincount(inverse, parts[:, i], len(ids))
+            return ids, sums
+
+        for batch in _lots(batches, 64):
+            own, idx, val, weights = batch.columns
+            sizes, at, values = np.diff(np.asarray(idx.offsets)), np.asarray(idx.flatten()), np.asarray(val.flatten())
+            if mask is not None:
+                values = np.where(_masked_cells((mask[0], mask[1], mask[2]), at, np.repeat(np.asarray(own), sizes)), 0, values)
+            held.append((at, values[:, None] * np.repeat(_matrix(weights, k), sizes, axis=0)))
+            size += len(at)
+            if size * k > at_once * 64:
+                held[:] = [fold()]
+                size = len(held[0][0])
+                if size * k > at_once * 32:  # little folds: on with it
+                    yield pa.RecordBatch.from_arrays(_out(pa.array(held[0][0]), held[0][1]).columns, names=["id", "b"])
+                    held, size = [], 0
+        if held:
+            ids, sums = fold()
+            yield pa.RecordBatch.from_arrays(_out(pa.array(ids), sums).columns, names=["id", "b"])
+
+    # the table's buckets are those of the join: only the factor moves
+    rows = across.rows.join(_with_pieces(across, f.select("id", "weights")).hint("shuffle_merge"), across.keys)
+    return _sums(rows.select("id", "idx", "val", "weights").mapInArrow(run, "id long, b array<double>"), k)
+
+
 def _solve(rows: DataFrame, gram: np.ndarray, k: int, l1: float, l2: float, update: str) -> DataFrame:
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = {c: _matrix(batch.column(i), k) for i, c in enumerate(names) if c != "id"}
+            part = {c: _matrix(batch.column(i), k * k if c == "less" else k) for i, c in enumerate(names) if c != "id"}
             if update == "ratio":
                 x = part["b"] / (np.diag(gram) * part["x"] + kernels.TINY)
             else:
-                x = kernels.nnls(gram, part["b"], l1 + part.get("l1", 0.0), l2)
+                own = gram - part["less"].reshape(-1, k, k) if "less" in part else gram
+                x = kernels.nnls(own, part["b"], l1 + part.get("l1", 0.0), l2)
             yield _out(batch.column(0), x)
 
     return rows.mapInArrow(run, "id long, weights array<double>")
 
 
+def _less_masked(rows: DataFrame, source: Source, k: int, mask: tuple[int, int, bool]) -> DataFrame:
+    """rows(id, b) and less: the Gram matrix of the factor's rows that are masked for the id."""
+    seed, inverse, by_sample = mask
+    lot = max(1, HELD_BYTES // (8 * k * k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _lots(batches, lot):
+            own, less = np.asarray(batch.column(0)), np.zeros((batch.num_rows, k, k))
+            for ids, weights in source.parts():
+                for at in range(0, len(ids), 1 << 12):
+                    some, w = ids[at : at + (1 << 12)], weights[at : at + (1 << 12)]
+                    for a in range(0, len(own), 1 << 10):
+                        less[a : a + (1 << 10)] -= kernels.masked_gram(w, np.zeros((k, k)), _masked(seed, inverse, by_sample, own[a : a + (1 << 10)], some))
+            columns = [*batch.columns, _out(batch.column(0), less.reshape(-1, k * k)).column(1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "b", "less"])
+
+    return rows.mapInArrow(run, "id long, b array<double>, less array<double>")
+
+
 def _masked_step(rows, shared, gram, k, l1, l2, mask) -> DataFrame:
     seed, inverse, by_sample = mask
 
@@ -247,6 +372,11 @@ def _masked(seed: int, inverse: int, by_sample: bool, own: np.ndarray, other: np
     return rng.masked_np(seed, own[None, :], other[:, None], inverse) if by_sample else rng.masked_np(seed, other[:, None], own[None, :], inverse)
 
 
+def _masked_cells(mask: tuple[int, int, bool], own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    seed, inverse, by_sample = mask
+    return rng.masked_np(seed, own, other, inverse) if by_sample else rng.masked_np(seed, other, own, inverse)
+
+
 def rescale(f: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     """The factor with unit sums, and the sums plus 1e-15."""
     f = cut(f)
@@ -276,11 +406,14 @@ class Problem:
     samples: DataFrame
 
 
-def problem(m: DataFrame, features: DataFrame | None = None, samples: DataFrame | None = None) -> Problem:
+def problem(m: DataFrame, features: DataFrame | None = None, samples: DataFrame | None = None, cells: int = CELLS) -> Problem:
     """features(id), samples(id): all ids of either side, where some have no cells."""
+    m = cut(m.select("row_id", "col_id", "value"))  # what m is made from is evaluated once
     features = cut(features.select("id") if features is not None else m.select(F.col("row_id").alias("id")).distinct())
     samples = cut(samples.select("id") if samples is not None else m.select(F.col("col_id").alias("id")).distinct())
-    return Problem(blocks(m, "col_id", samples), blocks(m, "row_id", features), features, samples)
+    by_col = blocks(m, "col_id", samples, lambda: by_row, cells)
+    by_row = blocks(m, "row_id", features, lambda: by_col, cells)
+    return Problem(by_col, by_row, features, samples)
 
 
 def pair(x) -> tuple[float, float]:
@@ -408,6 +541,7 @@ def project(m: DataFrame, w: DataFrame, l1: float = 0.01, l2: float = 0.0, scale
     ids = w.withColumnRenamed("feature_id", "id")
     k = ids.select(F.size("weights")).first()[0]
     ids = rescale(ids, k)[0] if scaled else ids
+    m = cut(m.select("row_id", "col_id", "value"))
     shared = m.join(ids.select(F.col("id").alias("row_id")), "row_id", "left_semi")
     side = blocks(shared, "col_id", m.select(F.col("col_id").alias("id")).distinct())
     h = half_step(side, ids, k, l1, l2)
@@ -429,27 +563,36 @@ def project_matrix(m: DataFrame, w: DataFrame, l1: float = 0.01, l2: float = 0.0
 
 def test_error(p: Problem, w: DataFrame | Local, d: np.ndarray, h: DataFrame | Local, k: int, seed: int, inverse: int, limit: int = BROADCAST_BYTES) -> float:
     """Mean over samples of the mean squared error at masked cells (zeros included); 0 for a sample without any."""
-    local = localize(w, k, limit)
-    if local is None:
-        raise ValueError("the test error needs W within the broadcast limit")
     spark = p.features.sparkSession
-    shared = spark.sparkContext.broadcast(Local(local.ids, local.weights * d))
+    if isinstance(w, Local):
+        local = Local(w.ids, w.weights * d)
+    else:
+        scaled = cut(w.select("id", F.array(*[F.get("weights", i) * float(d[i]) for i in range(k)]).alias("weights")))
+        local = localize(scaled, k, limit) or scaled
+    source = Source(spark, local, k)
+    mask = (seed, inverse, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
-        for batch in batches:
-            ids, idx, val, weights = (batch.column(i) for i in range(4))
-            for at in range(0, batch.num_rows, 256):
-                own = np.asarray(ids)[at : at + 256]
-                part_i = idx.slice(at, 256)
-                sizes = np.diff(np.asarray(part_i.offsets))
-                out = _masked(seed, inverse, True, own, f.ids)
-                error = np.where(out, f.weights @ _matrix(weights.slice(at, 256), k).T, 0.0)
-                place, column = np.searchsorted(f.ids, np.asarray(part_i.flatten())), np.repeat(np.arange(len(own)), sizes)
-                hit = out[place, column]
-                error[place[hit], column[hit]] -= np.asarray(val.slice(at, 256).flatten())[hit]
-                n = out.sum(axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(n > 0, (error**2).sum(axis=0) / np.maximum(n, 1), 0.0))], names=["loss"])
-
-    rows = p.by_col.rows.join(as_rows(h, spark).select("id", "weights"), "id").select("id", "idx", "val", "weights")
-    return rows.mapInArrow(run, "loss double").agg(F.avg("loss")).first()[0]
+        for batch in _lots(batches, 256):
+            own, piece = (np.asarray(batch.column(i)) for i in range(2))
+            idx, val, h_own = batch.column(2), batch.column(3), _matrix(batch.column(4), k)
+            owner, at, values = np.repeat(np.arange(len(own)), np.diff(np.asarray(idx.offsets))), np.asarray(idx.flatten()), np.asarray(val.flatten())
+            hit = _masked_cells(mask, own[owner], at)
+            owner, at, values = owner[hit], at[hit], values[hit]
+            lead = piece == 0  # what does not depend on cells is counted with the first piece
+            loss, n = np.zeros(len(own)), np.zeros(len(own), np.int64)
+            for ids, weights in source.parts():
+                for low in range(0, len(ids), 1 << 14):
+                    some, w_some = ids[low : low + (1 << 14)], weights[low : low + (1 << 14)]
+                    out = _masked(seed, inverse, True, own, some) & lead
+                    n += out.sum(axis=0)
+                    loss += np.where(out, (w_some @ h_own.T) ** 2, 0.0).sum(axis=0)
+                place = np.minimum(np.searchsorted(ids, at), len(ids) - 1)
+                here = ids[place] == at
+                guess = (weights[place[here]] * h_own[owner[here]]).sum(axis=1)
+                loss += np.bincount(owner[here], values[here] ** 2 - 2 * values[here] * guess, len(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(loss), pa.array(n)], names=["id", "loss", "n"])
+
+    rows = p.by_col.rows.join(_with_pieces(p.by_col, as_rows(h, spark).select("id", "weights")), p.by_col.keys).select("id", "piece", "idx", "val", "weights")
+    each = rows.mapInArrow(run, "id long, loss double, n long").groupBy("id").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
+    return each.agg(F.avg(F.when(F.col("n") > 0, F.col("loss") / F.col("n")).otherwise(0.0))).first()[0]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +11,11 @@ from pyspark.sql import Window as W
 
 from . import nmf
 
+FITS = 4
 TRACE = "k int, rep int, test_error double, iter int, tol double, overfit_score double"
 
 
-def masked_fit(p: nmf.Problem, k: int, rep: int = 1, tol=1e-4, maxit=100, l1=0.01, l2=0.0, seed=1, inverse_density=20, tol_overfit=1e-4, every=5) -> list[tuple]:
+def masked_fit(p: nmf.Problem, k: int, rep: int = 1, tol=1e-4, maxit=100, l1=0.01, l2=0.0, seed=1, inverse_density=20, tol_overfit=1e-4, every=5, limit=nmf.BROADCAST_BYTES) -> list[tuple]:
     """Trace rows of a fit that never sees the masked cells. Each `every` iterations the test error is taken; a rise above the
     least one by tol_overfit, relative to their sum, ends the fit."""
     (l1w, l1h), (l2w, l2h) = nmf.pair(l1), nmf.pair(l2)
@@ -24,7 +26,7 @@ def masked_fit(p: nmf.Problem, k: int, rep: int = 1, tol=1e-4, maxit=100, l1=0.0
         return i % every == 0 and record(i)
 
     def record(i) -> bool:
-        error = nmf.test_error(p, state["w"], state["d"], state["h"], k, seed + rep, inverse_density)
+        error = nmf.test_error(p, state["w"], state["d"], state["h"], k, seed + rep, inverse_density, limit)
         least = min([error, *[r[2] for r in rows]])
         score = (error - least) / (error + least) if error + least > 0 else 0.0
         rows.append((k, rep, error, i, state["moved"], score))
@@ -32,8 +34,8 @@ def masked_fit(p: nmf.Problem, k: int, rep: int = 1, tol=1e-4, maxit=100, l1=0.0
 
     nmf.als(
         p, nmf.start(p.features, k, rep), k, tol, maxit,
-        lambda w: nmf.half_step(p.by_col, w, k, l1h, l2h, mask=(seed + rep, inverse_density, True)),
-        lambda h: nmf.half_step(p.by_row, h, k, l1w, l2w, mask=(seed + rep, inverse_density, False)), note,
+        lambda w: nmf.half_step(p.by_col, w, k, l1h, l2h, mask=(seed + rep, inverse_density, True), limit=limit),
+        lambda h: nmf.half_step(p.by_row, h, k, l1w, l2w, mask=(seed + rep, inverse_density, False), limit=limit), note, limit,
     )
     if not state["noted"]:
         record(state["i"] + 1)
@@ -41,10 +43,12 @@ def masked_fit(p: nmf.Problem, k: int, rep: int = 1, tol=1e-4, maxit=100, l1=0.0
 
 
 def cross_validate(m: DataFrame, ranks: list[int], n_replicates: int = 3, test_density: float = 0.05, trace_every: int = 5, **options) -> DataFrame:
-    """The traces of every rank and replicate; starts are nested in rank, masks differ by replicate."""
+    """The traces of every rank and replicate; starts are nested in rank, masks differ by replicate. Fits are independent: FITS run side by side."""
     p = nmf.problem(m)
-    rows = [r for k in ranks for rep in range(1, n_replicates + 1) for r in masked_fit(p, k, rep, inverse_density=round(1 / test_density), every=trace_every, **options)]
-    return m.sparkSession.createDataFrame(rows, TRACE)
+    fits = [(k, rep) for k in ranks for rep in range(1, n_replicates + 1)]
+    with ThreadPoolExecutor(FITS) as pool:
+        found = list(pool.map(lambda x: masked_fit(p, *x, inverse_density=round(1 / test_density), every=trace_every, **options), fits))
+    return m.sparkSession.createDataFrame([r for rows in found for r in rows], TRACE)
 
 
 def best_rank_rows(rows: list[tuple], tol_overfit: float = 1e-4) -> int:
@@ -83,13 +87,13 @@ def best_rank(trace: DataFrame, tol_overfit: float = 1e-4) -> DataFrame:
 
 
 def ard_nmf(m: DataFrame, k_init: int = 2, k_max: int = 100, k_min: int = 2, n_replicates: int = 1, tol: float = 1e-5, cv_tol: float = 1e-4, maxit: int = 100, l1=0.01, l2=0.0,
-            learning_rate: float = 1.0, tol_overfit: float = 1e-3, trace_every: int = 1, test_density: float = 0.05, seed: int = 1) -> nmf.Model:
+            learning_rate: float = 1.0, tol_overfit: float = 1e-3, trace_every: int = 1, test_density: float = 0.05, seed: int = 1, limit: int = nmf.BROADCAST_BYTES) -> nmf.Model:
     """Finds the rank by a line search that grows, shrinks or bisects, then fits without a mask. misc has the trace."""
     p, rows = nmf.problem(m), []
     for rep in range(1, n_replicates + 1):
         step, rank, top, own = 1.0, k_init, k_max, []
         while step >= 1 and k_min <= rank <= top and rank not in {r[0] for r in own}:
-            found = masked_fit(p, rank, rep, cv_tol, maxit, l1, l2, seed, round(1 / test_density), tol_overfit, trace_every)
+            found = masked_fit(p, rank, rep, cv_tol, maxit, l1, l2, seed, round(1 / test_density), tol_overfit, trace_every, limit)
             own += found
             if found[-1][5] >= tol_overfit:
                 top = rank
@@ -114,7 +118,7 @@ def ard_nmf(m: DataFrame, k_init: int = 2, k_max: int = 100, k_min: int = 2, n_r
                 rank = best - low // 2 if low >= high else best + high // 2
         rows += own
     best = best_rank_rows(rows, tol_overfit)
-    model = nmf.fit(p, best, tol, maxit, l1, l2, 1)
+    model = nmf.fit(p, best, tol, maxit, l1, l2, seed, limit)
     model.misc["trace"] = m.sparkSession.createDataFrame(rows, TRACE)
     return model
 

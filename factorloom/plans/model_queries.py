@@ -221,7 +221,7 @@ def m17(spark, sf):
 def m16_stream(spark, sf):
     """The batch form of the stream's function: the same rows in either."""
     model = nmf.run_nmf(normalized(spark, sf), 2, maxit=2)
-    return stream.project_stream(nmf.blocks(normalized(spark, sf), "col_id").rows, model).select("id", F.round(F.get("weights", 0), 8).alias("a"))
+    return stream.project_stream(nmf.blocks(nmf.cut(normalized(spark, sf)), "col_id").rows, model).select("id", F.round(F.get("weights", 0), 8).alias("a"))
 
 
 @query("s2_pipeline")

@@ -51,10 +51,31 @@ def test_fit_equals_the_twin(data, limit):
     assert (arrays(model.h, "sample_id")[4] == 0).all()
 
 
-def test_masked_fit_equals_the_twin(data):
+@pytest.mark.parametrize("limit", [nmf.BROADCAST_BYTES, 0])
+def test_split_groups_give_the_same(data, limit):
     dense, m, features, samples = data
+    p = nmf.problem(m, features, samples, cells=3)
+    assert p.by_col.long is not None and p.by_row.rows.where(F.size("idx") > 9).count() == 0
+    model = nmf.fit(p, 3, tol=0, maxit=2, limit=limit)
+    w, d, h = twin(dense, 3, 2)
+    order = np.argsort(-d, kind="stable")
+    assert np.allclose(model.d, d[order]) and np.allclose(arrays(model.w, "feature_id"), w[:, order]) and np.allclose(arrays(model.h, "sample_id"), h[:, order])
+
+
+def test_cells_stay_in_their_buckets(data):
+    _, m, features, samples = data
     p = nmf.problem(m, features, samples)
-    rows = rank.masked_fit(p, 2, rep=1, tol=0, maxit=2, every=1, seed=1, tol_overfit=1.0)
+    plan = nmf.half_step(p.by_col, nmf.start(p.features, 2, 1), 2, limit=0)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not any("idx" in line for line in moved) and "Bucketed: true" in plan
+
+
+@pytest.mark.parametrize("limit", [nmf.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("cells", [nmf.CELLS, 4])
+def test_masked_fit_equals_the_twin(data, limit, cells):
+    dense, m, features, samples = data
+    p = nmf.problem(m, features, samples, cells)
+    rows = rank.masked_fit(p, 2, rep=1, tol=0, maxit=2, every=1, seed=1, tol_overfit=1.0, limit=limit)
     mask = rng.masked_np(2, np.arange(15)[None], np.arange(20)[:, None], 20)
     for i, row in enumerate(rows):
         w, d, h = twin(dense, 2, i + 1, mask=mask)
