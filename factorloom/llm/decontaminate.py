@@ -45,39 +45,38 @@ def templates(rows: DataFrame, key: str) -> DataFrame:
     """key, n (tokens) and arrays of their hashes: typed and plain (the forms; TYPES for placeholders) and raw (as they stand)."""
     text = F.translate(F.coalesce("text", F.lit("")), "\u0001", " ")
     marked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, MEASURE, "$1 \u0001$2 ")).otherwise(text)
-    flat = F.trim(F.regexp_replace(marked, OTHER, " "))
-    rows = rows.select(key, F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " ")).alias("words"))
+    words = F.split(F.trim(F.regexp_replace(marked, OTHER, " ")), " ")
+    # each token once: its first sign and the hash of its lower-cased form
+    token = F.transform("words", lambda w: F.struct(F.left(w, F.lit(1)).alias("first"), F.xxhash64(F.lower(w)).alias("raw")))
+    rows = rows.select(key, words.alias("words")).select(key, F.when(F.get("words", 0) == "", 0).otherwise(F.size("words")).alias("n"), token.alias("tokens"))
 
-    def token(w: Column, names: bool) -> Column:
-        first = F.left(w, F.lit(1))
-        kind = F.when(first == "\u0001", F.lit(3).cast("long")).when(first.between("0", "9"), F.lit(2).cast("long"))
-        return (kind.when(first != F.lower(first), F.lit(1).cast("long")) if names else kind).otherwise(F.xxhash64(F.lower(w)))
+    def kind(t: Column, names: bool) -> Column:
+        first = t["first"]
+        out = F.when(first == "\u0001", F.lit(3).cast("long")).when(first.between("0", "9"), F.lit(2).cast("long"))
+        return (out.when(first != F.lower(first), F.lit(1).cast("long")) if names else out).otherwise(t["raw"])
 
-    forms = [F.transform("words", lambda w: token(w, True)).alias("typed"), F.transform("words", lambda w: token(w, False)).alias("plain")]
-    return rows.select(key, F.size("words").alias("n"), *forms, F.transform("words", lambda w: F.xxhash64(F.lower(w))).alias("raw"))
+    forms = [F.transform("tokens", lambda t: kind(t, True)).alias("typed"), F.transform("tokens", lambda t: kind(t, False)).alias("plain")]
+    return rows.select(key, "n", *forms, F.col("tokens.raw").alias("raw"))
 
 
 def windows(tokens: DataFrame, key: str, at: str, forms: list[int]) -> DataFrame:
-    """key, at (the window's place), form, window (its hash), its template tokens h0.. and the tokens as they stand, raw0.. (null where it is shorter).
-
-    One explode of places times forms: the arrays are read where they lie and never copied to the rows.
-    """
-    i = F.col("i")
-    rows = tokens.select(key, "n", "typed", "plain", "raw", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") * len(forms) - 1))).alias("i"))
-    form, place = F.get(F.array(*map(F.lit, forms)), i % len(forms)), F.floor(i / len(forms)).cast("int")
-    rows = rows.select(
-        key, "n", place.alias(at), form.alias("form"), *[F.get("raw", place + k).alias(f"raw{k}") for k in range(WIDTH)],
-        *[F.when(form == TYPED, F.get("typed", place + k)).when(form == PLAIN, F.get("plain", place + k)).otherwise(F.get("raw", place + k)).alias(f"h{k}") for k in range(WIDTH)],
-    )
-    h = [F.col(f"h{k}") for k in range(WIDTH)]
+    """key, at (the window's place), form, window (its hash), its template tokens h0.. and the tokens as they stand, raw0.. (null beyond the end)."""
+    source = {TYPED: "typed", PLAIN: "plain"}
+    each = [F.struct(F.lit(f).alias("form"), F.col(source.get(f, "raw")).alias("h")) for f in forms]
+    rows = tokens.select(key, "n", "raw", F.explode(F.array(*each)).alias("x")).select(key, "n", "raw", "x.form", "x.h")
+    short = [f for f in forms if f > SHORT]
+    width = F.when(F.col("form") > SHORT, F.col("form") - SHORT).otherwise(WIDTH) if short else F.lit(WIDTH)
+    # what follows must read the arrays where they lie: rows that carry them cost a text's length squared
+    rows = rows.select(key, "form", "h", "raw", F.explode(F.when(F.col("n") >= width, F.sequence(F.lit(0), F.col("n") - width))).alias(at))
+    h = [F.get("h", F.col(at) + k) for k in range(WIDTH)]
     words: Column = sum((F.when(x.isin(*TYPES), 0).otherwise(1) for x in h), F.lit(0))
-    whole = [(F.col("form") == SHORT + n) & (F.col(at) + n <= F.col("n")) for n in range(1, WIDTH)]
-    fits = (F.col("form") < SHORT) & (F.col(at) + WIDTH <= F.col("n")) & ((F.col("form") == RAW) | (words >= 2))
-    window = F.when(F.col("form") < SHORT, F.xxhash64(*h))
-    for n in range(1, WIDTH):
-        if SHORT + n in forms:
-            fits, window = fits | whole[n - 1], window.when(F.col("form") == SHORT + n, F.xxhash64(*h[:n]))
-    return rows.where(fits).select(key, at, "form", window.alias("window"), *h, *[f"raw{k}" for k in range(WIDTH)])
+    window = F.xxhash64(*h)
+    for f in short:
+        window = F.when(F.col("form") == f, F.xxhash64(*h[: f - SHORT])).otherwise(window)
+    fits = (words >= 2) | ~F.col("form").isin(TYPED, PLAIN) if len(forms) > 2 or RAW in forms or short else words >= 2
+    return rows.where(fits).select(
+        key, at, "form", window.alias("window"), *[x.alias(f"h{k}") for k, x in enumerate(h)], *[F.get("raw", F.col(at) + k).alias(f"raw{k}") for k in range(WIDTH)]
+    )
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
