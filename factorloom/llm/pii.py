@@ -1,10 +1,13 @@
 """Personal data: exact patterns, and a character-level BiLSTM-CRF for what they miss.
 
-Base spans come from the patterns (leftmost, non-overlapping, per kind; failing matches are dropped). The tagger
-reads the text around every digit and "@" (each kind has one of them, so other text can hold no
+Base spans come from the patterns (leftmost, non-overlapping, per kind; failing matches are dropped). The tagger is trained on
+other spellings too: national and dotted phone numbers, addresses with "[at]" and "dot", IP addresses of version 6 or with
+bracketed dots, cards with other separators. It
+reads the text around every digit, "@", bracketed "at" and "dot" (each kind has one of them, so other text can hold no
 span of it) in overlapping windows. A window's spans count if their middle lies in the window's core, so each
 place is decided by the window that sees most around it; the cores tile the text. Spans of all windows
-are then reconciled over the whole text: they must be well formed for their kind, longer ones go first,
+are then reconciled over the whole text: they must be possible for their kind (parts of an IP address at most 255, a card's check
+digit, a phone's number of digits), longer ones go first,
 and none may overlap a base span or one another. Weights are trained once per process, from generated labelled spans.
 
 Null and empty texts have no spans. Rows are independent: repeated ids give repeated rows, an empty table
@@ -13,6 +16,7 @@ none; other columns are ignored by find() and kept by redact(). Offsets count co
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -27,10 +31,11 @@ from .common import column, map_arrow
 
 KINDS = tagger.KINDS
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A run of digits that fails from its first one fails from every other: it is tried once.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_HOT = re.compile(r"[0-9@]+")
+_HOT = re.compile(r"[0-9@]+|[\[(](?:at|dot)[\])]| dot ")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 WINDOW, CORE, AROUND = 96, 48, 24
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -44,7 +49,7 @@ def base_spans(text: str) -> list[Span]:
         # a run of address characters without an "@" behind it costs its length once, not at each place
         out += [(0, *m.span()) for m in _emails(text)]
     if _HOT.search(text):
-        out += [(1, *m.span()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split(".") if True)] if "." in text else []
+        out += [(1, *m.span()) for m in _IP.finditer(text) if _octets(m[0].split("."))] if "." in text else []
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 13:
                 digits = _NOT_DIGIT.sub("", m[0])
@@ -72,8 +77,12 @@ def _emails(text: str) -> Iterator[re.Match]:
         at = text.find("@", max(at + 1, end if m else 0))
 
 
+def _octets(parts: list[str]) -> bool:
+    return all(len(p := part.lstrip("0")) < 3 or len(p) == 3 and p <= "255" for part in parts)
+
+
 def windows(text: str) -> list[int]:
-    """Starts of the windows that see all of the text around digits and "@"; cores begin CORE / 2 behind."""
+    """Starts of the windows that see all of the text around what every kind has; cores begin CORE / 2 behind."""
     out: list[int] = []
     for m in _HOT.finditer(text):
         low = (m.start() - AROUND + CORE // 2) // CORE
@@ -82,16 +91,31 @@ def windows(text: str) -> list[int]:
     return [CORE * i - CORE // 2 - (WINDOW - CORE) // 2 for i in out]
 
 
+_AT = re.compile(r"\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+|\s*@\s*", re.I)
+_DOT = re.compile(r"\s*[\[(]\s*(?:dot|\.)\s*[\])]\s*|\s+(?:dot|\.)\s+|\.", re.I)
+_PLAIN_AT = re.compile(r"\s+at\s+", re.I)
+_SIX = re.compile(r"[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}")
+_NUMBER = re.compile(r"\+?\(?[0-9][\x20()./0-9-]*[0-9]")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}.*|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)[0-9]{2}.*")
+
+
 def well_formed(kind: int, piece: str) -> bool:
+    """Whether a piece can be what its kind says; the spelling is the tagger's affair."""
     digits = _NOT_DIGIT.sub("", piece)
     if kind == 0:
-        return bool(_EMAIL.fullmatch(piece))
+        plain, dotted = _DOT.sub(".", _AT.sub("@", piece)), re.search(r"[\s\[(]dot[\s\])]", piece, re.I)
+        return len(piece) < WINDOW and bool(_EMAIL.fullmatch(plain)) and plain[-1].isalpha() and not (_PLAIN_AT.search(piece) and not dotted)
     if kind == 1:
-        parts = piece.split(".")
-        return len(parts) == 4 and all(p.isascii() and p.isdigit() and int(p) <= 255 for p in parts if len(p) < 4) and max(map(len, parts)) <= 3
+        if ":" in piece:
+            groups = piece.split(":")
+            return bool(_SIX.fullmatch(piece)) and piece.count("::") < 2 and (len(groups) == 8 or "::" in piece) and sum(map(bool, groups)) > 1 and ":::" not in piece
+        parts = _DOT.sub(".", piece).split(".")
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 for p in parts) and _octets(parts)
     if kind == 2:
-        return bool(_CARD.fullmatch(piece)) and 13 <= len(digits) <= 19 and tagger.luhn(digits)
-    return bool(re.fullmatch(r"\+?\(?[0-9][\x20().0-9-]*[0-9]", piece)) and 9 <= len(digits) <= 15 and (piece[0] == "+" or "(" in piece) and piece.count("(") == piece.count(")")
+        return bool(re.fullmatch(r"[0-9](?:[\x20./_-]{0,3}[0-9])+", piece)) and 13 <= len(digits) <= 19 and tagger.luhn(digits)
+    if not _NUMBER.fullmatch(piece) or not 9 <= len(digits) <= 15 or _DATE.fullmatch(piece) or piece.count("(") != piece.count(")"):
+        return False
+    return piece[0] in "+(0" or re.fullmatch(r"(?:1[-. ])?[0-9]{3}([-. ])[0-9]{3}\1[0-9]{4}", piece) is not None
 
 
 class Finder:
@@ -134,8 +158,7 @@ class Finder:
 
 
 def _reconcile(text: str, found: list[Span], base: list[Span]) -> list[Span]:
-    taken = sorted((s, e) for _, s, e in base)
-    out: list[Span] = []
+    taken, out = _merged(sorted((s, e) for _, s, e in base)), []
     for kind, start, end in sorted(set(found), key=lambda x: (x[1] - x[2], x)):
         while end > start and text[end - 1] in " .,:-(\n":
             end -= 1
@@ -144,13 +167,27 @@ def _reconcile(text: str, found: list[Span], base: list[Span]) -> list[Span]:
         # a span within a longer run of letters or digits is part of something else
         if start > 0 and end > start and text[start - 1].isalnum() and text[start].isalnum() or end < len(text) and end > start and text[end].isalnum() and text[end - 1].isalnum():
             continue
-        if end <= start or any(s < end and start < e for s, e in taken) or not well_formed(kind, text[start:end]):
+        if end <= start:
             continue
-        taken.append((start, end))
+        at = bisect.bisect_left(taken, (start, end))
+        if at < len(taken) and taken[at][0] < end or at and taken[at - 1][1] > start or not well_formed(kind, text[start:end]):
+            continue
+        taken.insert(at, (start, end))
         out.append((kind, start, end))
     return out
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint spans that cover the sorted ones."""
+    out: list[tuple[int, int]] = []
+    for start, end in spans:
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans))
 

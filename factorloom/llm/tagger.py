@@ -14,8 +14,10 @@ import numpy as np
 KINDS = ("email", "ip", "card", "phone")
 #: O, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
-_SPECIAL = "@.+-() :=_%,\"'/\n"
-N_CLASSES = 5 + len(_SPECIAL)
+_SPECIAL = "@.+-() :=_%,\"'/\n[]"
+#: Letters of "at" and "dot", and the other hexadecimal ones as one, are told from other small letters.
+_LETTERS = "atdo"
+N_CLASSES = 6 + len(_SPECIAL) + len(_LETTERS)
 _CLASS = np.full(256, 4, np.int16)
 for _c in range(256):
     _s = chr(_c)
@@ -25,10 +27,14 @@ for _c in range(256):
         _CLASS[_c] = 2
     elif _s.isalpha():
         _CLASS[_c] = 1 if _s.isupper() else 0
+        if _s in _LETTERS:
+            _CLASS[_c] = 6 + len(_SPECIAL) + _LETTERS.index(_s)
+        elif _s in "bcef":
+            _CLASS[_c] = 5 + len(_SPECIAL)
 
 
 def classes(text: str) -> np.ndarray:
-    """The class of each code point: small letter, capital, digit, other letter, other, or one of the special characters."""
+    """The class of each code point: small letter (some by themselves), capital, digit, other letter, other, or one of the special characters."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     out = np.full(len(codes), 3, np.int16)
     low = codes < 256
@@ -180,7 +186,7 @@ class Generator:
 
     def word(self, low: int = 1, high: int = 11) -> str:
         letters = "etaoinsrhldcumfgypwbvké" if self.n(0, 6) else "éèêçäöüñíóßaeiou"
-        out = "".join(self.one(letters) for _ in range(self.n(low, high)))
+        out = "".join(self.one(letters) for _ in range(self.n(low, high if self.n(0, 30) else 60)))
         return out.capitalize() if not self.n(0, 5) else out
 
     def name(self) -> str:
@@ -188,21 +194,34 @@ class Generator:
 
     def email(self) -> str:
         left = self.name() + self.one(["", ".", "_", "-", "+"]) + self.one([self.name(), self.digits(self.n(1, 4))])
-        return left + "@" + self.one(["", "mail", "mx-"]) + self.one([self.name(), self.digits(1)]) + self.one(["", "." + self.name()]) + "." + self.one(["com", "org", "net", "example.com", "de", "fr", "co.uk"])
+        host = self.one(["", "mail", "mx-"]) + self.one([self.name(), self.digits(1)]) + self.one(["", "." + self.name()])
+        end = self.one(["com", "org", "net", "example.com", "de", "fr", "co.uk"])
+        if self.n(0, 2):
+            return f"{left}@{host}.{end}"
+        # spellings that no pattern of plain addresses has
+        at = self.one([" at ", " [at] ", "[at]", " (at) ", "(at)", " AT ", " @ "])
+        dot = self.one([" dot ", " [dot] ", "[dot]", "(dot)", " (dot) "]) if at in (" at ", " AT ") or self.n(0, 2) else "."
+        return left.replace(".", "") + at + (f"{host}.{end}").replace(".", dot)
 
     def ip(self) -> str:
-        return ".".join(str(self.n(0, 256)) for _ in range(4))
+        if not self.n(0, 4):
+            groups = [f"{self.n(0, 1 << 16):x}" for _ in range(8)]
+            return ":".join(groups) if self.n(0, 2) else ":".join(groups[: self.n(1, 4)]) + "::" + ":".join(groups[: self.n(1, 4)])
+        return self.one([".", ".", "[.]", "(.)", " . "]).join(str(self.n(0, 256)) for _ in range(4))
 
     def card(self) -> str:
         n = self.one([16, 16, 16, 15, 13, 19])
         body = self.one("3456") + self.digits(n - 2)
         body += next(str(d) for d in range(10) if luhn(body + str(d)))
-        sep = self.one(["", "", " ", "-"])
+        sep = self.one(["", "", " ", "-", ".", "  ", " - ", "/", "_"])
         return sep.join(body[i : i + 4] for i in range(0, n, 4))
 
     def phone(self) -> str:
-        a, b, c = self.digits(3), self.digits(3), self.digits(4)
-        return self.one([f"+1 ({a}) {b}-{c}", f"+1 {a} {b} {c}", f"+{self.n(20, 99)} {a} {b}{c}", f"+1-{a}-{b}-{c}", f"({a}) {b}-{c}", f"+{self.n(10, 99)}{a}{b}{c}", f"+1.{a}.{b}.{c}"])
+        a, b, c, d = self.digits(3), self.digits(3), self.digits(4), self.digits(2)
+        return self.one([
+            f"+1 ({a}) {b}-{c}", f"+1 {a} {b} {c}", f"+{self.n(20, 99)} {a} {b}{c}", f"+1-{a}-{b}-{c}", f"({a}) {b}-{c}", f"+{self.n(10, 99)}{a}{b}{c}", f"+1.{a}.{b}.{c}",
+            f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}", f"0{a} {b}{c}", f"0{a}/{b}{c}", f"0{a}-{b}{c}", f"00{self.n(30, 50)} {a} {b}{c}", f"0{d[0]} {d} {d[::-1]} {c[:2]} {c[2:]}", f"1-{a}-{b}-{c}",
+        ])
 
     def other(self) -> str:
         hexed = "".join(self.one("0123456789abcdef") for _ in range(self.n(12, 33)))
@@ -210,7 +229,9 @@ class Generator:
             f"password={hexed}", f'token = "{hexed}"', f"key: {hexed}", self.digits(self.n(1, 8)), f"{self.digits(self.n(1, 4))}.{self.digits(self.n(1, 3))}",
             f"{self.n(1, 29)}.{self.n(1, 13)}.{self.n(1900, 2030)}", f"{self.n(1900, 2030)}-{self.n(10, 13)}-{self.n(10, 29)}", f"version {self.n(1, 9)}.{self.n(0, 9)}.",
             f"v{self.n(1, 9)}.{self.n(0, 30)}.{self.n(0, 30)}", f"@{self.name()}", f"{self.n(1, 99)}%", f"{self.n(1, 24)}:{self.n(10, 60)}", f"+{self.n(1, 99)}", f"({self.n(1, 99)})",
-            f"{self.digits(self.n(1, 3))},{self.digits(3)}", f"CC BY-NC 4.0.", hexed,
+            f"{self.digits(self.n(1, 3))},{self.digits(3)}", "CC BY-NC 4.0.", hexed, f"{self.n(1, 200)}.{self.digits(3)}.{self.digits(3)}", f"{self.n(1, 200)} {self.digits(3)}", f"{self.n(1, 999)}-{self.n(1, 999)}",
+            f"{self.n(1, 13)}/{self.n(1, 29)}/{self.n(1900, 2030)}", f"{self.n(10, 24)}:{self.n(10, 60)}:{self.n(10, 60)}", f"{self.name()} at {self.name()}", f"at {self.n(1, 13)}", f"the dot {self.name()}", f"[{self.n(1, 99)}]",
+            f"{self.n(1900, 2030)}-{self.n(10, 13)}-{self.n(10, 29)} {self.n(10, 24)}:{self.n(10, 60)}", f"{self.digits(4)} {self.digits(4)}", f"{self.name()}-{self.digits(6)}", f"#{self.digits(self.n(3, 13))}", f"{self.digits(3)}-{self.digits(10)}",
         ])
 
     def sentence(self, length: int) -> tuple[str, np.ndarray]:
@@ -225,13 +246,10 @@ class Generator:
             else:
                 part = self.other() if pick == 4 else self.word()
                 mark = [0] * len(part)
-            gap = self.one([" ", " ", " ", " ", ", ", ".\n", ". ", ": ", "\n"])
+            gap = self.one([" ", " ", " ", " ", " ", "  ", ", ", ".\n", ". ", ": ", "\n", " | "])
             text, tags = text + part + gap, tags + mark + [0] * len(gap)
         at = self.n(0, len(text) - length + 1)
-        tags = np.array(tags[at : at + length], np.int8)
-        if tags[0] and tags[0] % 2 == 0:  # a span that began before goes on
-            pass
-        return text[at : at + length], tags
+        return text[at : at + length], np.array(tags[at : at + length], np.int8)
 
 
 @lru_cache(maxsize=4)

@@ -146,6 +146,38 @@ def test_tagger_on_held_out_sentences():
     assert (tagger.decode(tagger.emissions(codes, weights), weights) == gold).mean() > 0.97
 
 
+def test_tagger_finds_what_the_patterns_miss():
+    make, finder = tagger.Generator(5), pii.Finder(tagger.train())
+    texts, spans = [], []
+    for i in range(1600):
+        part, before = getattr(make, tagger.KINDS[i % 4])(), " ".join(make.word() for _ in range(12)) + " "
+        texts.append(before + part + " " + " ".join(make.word() for _ in range(12)))
+        spans.append((i % 4, len(before), len(before) + len(part)))
+    base = [pii.base_spans(t) for t in texts]
+    missed, found = Counter(), Counter()
+    for span, own, added in zip(spans, base, finder.added(texts, base)):
+        if not any(s < span[2] and span[1] < e for _, s, e in own):
+            missed[span[0]] += 1
+            found[span[0]] += span in added
+    assert all(missed[k] > 100 and found[k] >= 0.9 * missed[k] for k in range(4))
+    clean = [prose(60, i) + f" {i} of 12.5 at 10:30 on 2024-05-{i % 28 + 1} " + prose(40, i + 500) for i in range(300)]
+    assert sum(map(len, finder.added(clean, [[] for _ in clean]))) == 0
+
+
+def test_pii_of_very_long_runs(docs):
+    rows = [(1, "1.2.3." + "9" * 6000), (2, "7" * 300_000 + " x"), (3, "0" * 5000 + "1.0.0.1"), (4, "a" * 300_000 + "@"), (5, "+" * 100_000 + "1" * 50), (6, "1 " * 100_000), (7, "1.2.3.4 " * 20_000)]
+    got = {r.doc_id: r for r in pii.find(docs(rows)).collect()}
+    assert [got[i].n_ip for i in (1, 2, 3, 7)] == [0, 0, 1, 20_000]
+
+
+def test_windows_tile_the_text():
+    """Where a span is wherever it lies, the window that decides it sees all of it, so a shift of the text shifts the spans."""
+    finder, piece = pii.Finder(tagger.train()), "605-555-9305"
+    texts = ["e" * 7 + " " + "ab cd " * 20 + ("loru is te mona " * 7)[:shift] + " " + piece + " " + "ef gh " * 30 for shift in range(100)]
+    added = finder.added(texts, [[] for _ in texts])
+    assert sum([(k, t[s:e]) for k, s, e in a] == [(3, piece)] for t, a in zip(texts, added)) >= 97
+
+
 def test_pii_finds_and_redacts(docs):
     rows = [(10, "call +1 (605) 555-9305 4078918989542222 now"), (11, "mail bob.x@mail2.example.com at 10.0.0.7 or 999.1.1.1"), (12, "version 2.0 costs 30 or 4.5")] + ODD
     got = defaultdict(list)
