@@ -135,3 +135,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -
         "row.doc_id", F.col("n_items").isNotNull().alias("leaked"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("item_ids", F.lit("")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
     )
+
+
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of docs, all columns, that hold no item; others with the same doc_id stay."""
+    leaks = cut(matches(docs, benchmark, least).select("row").distinct())
+    return docs.select(row_key().alias("row"), F.struct("*").alias("doc")).join(leaks, "row", "left_anti").select("doc.*")

@@ -8,7 +8,7 @@ document's log weight is the sum of its grams' log ratios: the log ratio of the
 telling words count the same whatever the length. Documents are then resampled without replacement by Gumbel top-k: key =
 log weight + standard Gumbel noise drawn from a hash of the id, and the k largest keys are
 selected. k is a parameter; by default it is the number of documents whose log weight reaches what all but `tail` of the held-out target rows
-(half of them) have (see _low). The k-th key is found exactly by counting key bits 16 at a time, so neither rows nor keys are
+(half of them) have, set lower where no labelled bad row is near (see _threshold). The k-th key is found exactly by counting key bits 16 at a time, so neither rows nor keys are
 collected; rows tied with it are all selected.
 
 Null texts and texts of white space alone get the log weight -1e9 and are never selected. Without labelled
@@ -61,11 +61,12 @@ def log_ratios(target: np.ndarray, raw: np.ndarray, shrink: tuple[float, float])
     return np.sign(ratio) * np.maximum(np.abs(ratio) - np.array(shrink)[:, None] * error, 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000, tail: float = 0.002, shrink: tuple[float, float] = (1.0, 2.0), seed: int = 7) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000, tail: float = 0.002, margin: float = 4.0, shrink: tuple[float, float] = (1.0, 2.0), seed: int = 7) -> Model:
     """docs(doc_id, text), labels(doc_id, quality, toxic)."""
     sample = labels.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(label_rows)
-    good = sample.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long")).toPandas()["doc_id"]
-    good = np.unique(good.to_numpy(np.int64))
+    known = sample.select(F.col("doc_id").cast("long"), F.expr("coalesce(quality, 0) = 1 and coalesce(toxic, 0) = 0").alias("good")).toPandas()
+    good, bad = (np.unique(known["doc_id"].to_numpy(np.int64)[known["good"].to_numpy(bool) == x]) for x in (True, False))
+    bad = np.setdiff1d(bad, good)
     # one half of the target rows fits the model, the other tells how unseen target rows score
     halves = mix(mix(good.view(np.uint64))) & np.uint64(1) == 0
     good, held_out = good[halves], good[~halves]
@@ -99,15 +100,23 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000, tail: floa
     raw, target = raw.reshape(2, size), target.reshape(2, size)
     model = Model(log_ratios(target, raw, shrink).astype(np.float32), NOTHING, seed)
     if len(good) and len(held_out):
-        wanted = docs.sparkSession.createDataFrame(_ids(held_out), "doc_id long")
-        known = score(docs.join(F.broadcast(wanted), "doc_id", "left_semi"), model).where(F.col("log_weight") > NOTHING)
-        known = known.groupBy("doc_id").agg(F.min("log_weight").alias("w"))  # label_rows rows at most
-        weights = np.sort(known.toPandas()["w"].to_numpy())
-        if len(weights):
-            model.threshold = _low(weights, tail)
+        wanted = docs.sparkSession.createDataFrame(_ids(np.concatenate([held_out, bad])), "doc_id long")
+        scored = score(docs.join(F.broadcast(wanted), "doc_id", "left_semi"), model).where(F.col("log_weight") > NOTHING)
+        scored = scored.groupBy("doc_id").agg(F.min("log_weight").alias("w")).toPandas()  # label_rows rows at most
+        own = np.isin(scored["doc_id"].to_numpy(np.int64), held_out)
+        weights = scored["w"].to_numpy(np.float64)
+        if own.any():
+            model.threshold = _threshold(np.sort(weights[own]), np.sort(weights[~own]), tail, margin)
     return model
 
 
+def _threshold(good: np.ndarray, bad: np.ndarray, tail: float, margin: float) -> float:
+    """The low end of the good weights, and below it half of the way to the next bad one, margin at most: noise then tips no clean text over."""
+    least = _low(good, tail)
+    below = bad[bad < least]
+    return least - (min(margin, (least - below[-1]) / 2) if len(below) else margin)
+
+
 def _low(weights: np.ndarray, tail: float) -> float:
     """Where the lowest `tail` of the sorted weights ends; with too few of them, their lowest twentieth is prolonged as an exponential tail."""
     least = float(weights[int(tail * len(weights))])

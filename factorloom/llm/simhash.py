@@ -47,15 +47,16 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint's 64 bits as a signed long, of each row."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, columns of longs to keep, and fp, the fingerprint's 64 bits as a signed long, of each row."""
+    names = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t) for t in text_bytes(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(fp)], names=[*names, "fp"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), *keep, "text"), run, ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
 # --- the join -----------------------------------------------------------------------------------
@@ -251,18 +252,45 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.bit_xor(F.xxhash64(h))).first())
 
 
-def simhash_components(docs: DataFrame, bits: int = 3, blocks: int | None = None, hot: int = 1 << 20) -> DataFrame:
-    """doc_id, fp, component_id of each row. blocks: by default as many as the number of fingerprints calls for; hot: see links()."""
-    prints = cut(fingerprints(docs))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def roots(distinct: DataFrame, bits: int = 3, blocks: int | None = None, hot: int = 1 << 20) -> DataFrame:
+    """fp, root (a fingerprint of its component, the same for all of it) for distinct(fp).
+
+    blocks: by default as many as the number of fingerprints calls for; hot: see links().
+    """
     if blocks is None:
         n = distinct.count()
         blocks = 4 if n < 1 << 24 else 5 if n < 1 << 30 else 6
     found = cut(links(distinct, bits, blocks, hot))
     touched = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    roots = components(touched, found)
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    out = components(touched, found).withColumnRenamed("node", "fp")
+    return distinct.select("fp").join(out, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def simhash_components(docs: DataFrame, bits: int = 3, blocks: int | None = None, hot: int = 1 << 20) -> DataFrame:
+    """doc_id, fp, component_id of each row; the options are those of roots()."""
+    prints = cut(fingerprints(docs))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    named = distinct.join(roots(distinct, bits, blocks, hot), "fp")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(least, "root").select("fp", "component_id")
     # a fingerprint of many copies is one row here; the copies are read where they lie, split by AQE if need be
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, less all but one of each component: the one with the smallest doc_id (null counts as the
+    smallest), of several the one with the smallest hash of the text.
+
+    Rows are told apart by doc_id and a 128-bit hash of the text, so null and repeated ids are rows of their own; rows equal in both are one.
+    """
+    text = F.coalesce("text", F.lit(""))
+    row = F.struct(F.col("doc_id").isNotNull().alias("named"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    keyed = docs.select(row.alias("row"), F.struct("*").alias("doc"))
+    prints = cut(fingerprints(keyed.select("row.doc_id", "row.h1", "row.h2", "doc.text"), ("h1", "h2")))
+    # narrow rows choose; the texts meet the chosen keys once
+    order = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "h1", "h2")
+    distinct = cut(prints.groupBy("fp").agg(F.min(order).alias("row")))
+    kept = distinct.join(roots(distinct, **options), "fp").groupBy("root").agg(F.min("row").alias("row"))
+    plain = lambda c: F.struct(F.coalesce(f"{c}.doc_id", F.lit(0)), f"{c}.named", f"{c}.h1", f"{c}.h2")
+    kept = cut(kept.select(plain("row").alias("key")))
+    return keyed.select(plain("row").alias("key"), "doc").join(kept, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
