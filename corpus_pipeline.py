@@ -1,13 +1,12 @@
 """The corpus pipeline: documents in, packed sequences out.
 
-Each stage gets what its predecessor kept, and all but the last return the columns of documents. Null texts are
+Each stage gets what its predecessor kept, and all but the last return the columns of documents, extra ones included. Null texts are
 empty and leave with the first stage; repeated rows are near-duplicates of each other; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from factorloom.llm import decontaminate, packing, pii, quality_classifier, simhash
 from factorloom.llm.common import cut, tokenizer_path
@@ -19,24 +18,13 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each SimHash component the row with the smallest doc_id (null counts as the smallest), of several the one with the smallest hash.
-
-    Rows are told apart by a 64-bit hash of doc_id and text, so null and repeated ids are rows of their own; equal rows are one.
-    """
-    row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit("")))
-    keyed = docs.withColumn("_row", row)
-    found = simhash.simhash_components(keyed.select(F.col("_row").alias("doc_id"), "text"))
-    ids = keyed.select(F.col("_row").alias("row"), F.struct(F.col("doc_id").isNotNull(), "doc_id", F.col("_row").alias("row")).alias("order"))
-    kept = found.select(F.col("doc_id").alias("row"), "component_id").distinct().join(ids.distinct(), "row")
-    kept = cut(kept.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.row").alias("_row")))
-    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    """Keeps one row of each SimHash component, the one with the smallest doc_id (null counts as the smallest)."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows that hold a benchmark item; others with the same doc_id stay."""
-    leaks = cut(decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("row").distinct())
-    rows = docs.withColumn("_row", decontaminate.row_key())
-    return rows.join(leaks, F.col("_row") == leaks["row"], "left_anti").select(*docs.columns)
+    return decontaminate.drop_leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
