@@ -8,6 +8,7 @@ from ..functions import distances, rng
 from ..operators import matrix, prepare
 from ..session import cut, shared_dir
 from ..sources import matrix_io
+from . import fit_sql
 from .fixtures import SEG, C, H, M, V, lattice, parts_customers, segments, shares, t, vectors
 
 QUERIES: dict = {}
@@ -139,9 +140,9 @@ def v7(spark, sf):
 # --- access and arithmetic ----------------------------------------------------------------------
 
 
-@query("v8_coefficient", f"WITH {M}, p AS (SELECT p_partkey AS row_id, CAST(3 AS BIGINT) AS col_id FROM part WHERE p_partkey < 200) SELECT p.row_id, p.col_id, COALESCE(value, 0) AS value FROM p LEFT JOIN m USING (row_id, col_id)")
+@query("v8_coefficient", f"WITH {M}, p AS (SELECT p_partkey AS row_id, CAST(3 AS BIGINT) AS col_id FROM part) SELECT p.row_id, p.col_id, COALESCE(value, 0) AS value FROM p LEFT JOIN m USING (row_id, col_id)")
 def v8(spark, sf):
-    places = t(spark, sf, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("row_id"), F.lit(3).cast("long").alias("col_id"))
+    places = t(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.lit(3).cast("long").alias("col_id"))
     return matrix.coefficient(parts_customers(spark, sf), places)
 
 
@@ -232,9 +233,9 @@ def v22(spark, sf):
     return rounded(matrix.vector_lengths(parts_customers(spark, sf)), "norm")
 
 
-@query("v22_dots", f"WITH {M}, p AS (SELECT a.c_custkey AS a, a.c_custkey + 1 AS b FROM customer a WHERE a.c_custkey < 100) SELECT p.a, p.b, COALESCE(SUM(x.value * y.value), 0) AS dot FROM p LEFT JOIN m x ON x.col_id = p.a LEFT JOIN m y ON y.col_id = p.b AND y.row_id = x.row_id GROUP BY 1, 2")
+@query("v22_dots", f"WITH {M}, p AS (SELECT a.c_custkey AS a, a.c_custkey + 1 AS b FROM customer a) SELECT p.a, p.b, COALESCE(SUM(x.value * y.value), 0) AS dot FROM p LEFT JOIN m x ON x.col_id = p.a LEFT JOIN m y ON y.col_id = p.b AND y.row_id = x.row_id GROUP BY 1, 2")
 def v22b(spark, sf):
-    pairs = t(spark, sf, "customer").where("c_custkey < 100").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"))
+    pairs = t(spark, sf, "customer").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"))
     return matrix.column_dots(parts_customers(spark, sf), pairs)
 
 
@@ -344,13 +345,13 @@ def p14(spark, sf):
     return matrix.chunks(parts_customers(spark, sf), 150, 4)[1]
 
 
-@query("p15_blocked_transpose", f"WITH {M} SELECT col_id AS row_id, row_id AS col_id, value FROM m WHERE col_id < 150")
+@query("p15_blocked_transpose", f"WITH {M} SELECT col_id AS row_id, row_id AS col_id, value FROM m")
 def p15(spark, sf):
     """Transposed chunk by chunk: columns of the chunks come back as rows at their offsets."""
-    m = parts_customers(spark, sf)
+    m, n = parts_customers(spark, sf), t(spark, sf, "customer").count()
     out = None
-    for k, chunk in enumerate(matrix.chunks(m, 150, 3)):
-        one = matrix.transpose(chunk).withColumn("row_id", F.col("row_id") + 50 * k)
+    for k, chunk in enumerate(matrix.chunks(m, n, 3)):
+        one = matrix.transpose(chunk).withColumn("row_id", F.col("row_id") + n * k // 3)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -398,50 +399,34 @@ def n7(spark, sf):
     return m.join(w, "row_id").groupBy("col_id", "factor").agg(F.sum(F.col("value") * F.col("w")).alias("b"))
 
 
-_RNG = """WITH p AS (SELECT CAST(s.x AS UHUGEINT) AS i, CAST(f.x AS UHUGEINT) AS j FROM range(0, 120) s(x), range(0, 120) f(x)),
-a1 AS (SELECT i AS s, j AS f, xor(CAST(i AS UBIGINT), CAST(((i * 524288) % 18446744073709551616::UHUGEINT) AS UBIGINT)) AS a, CAST(j AS UBIGINT) AS b FROM p),
-a2 AS (SELECT s, f, xor(a, a >> 7) AS a, xor(b, b >> 7) AS b FROM a1),
-a3 AS (SELECT s, f, xor(a, CAST((a::UHUGEINT * 68719476736 % 18446744073709551616::UHUGEINT) AS UBIGINT)) AS a, xor(b, CAST((b::UHUGEINT * 8388608 % 18446744073709551616::UHUGEINT) AS UBIGINT)) AS b FROM a2),
-a4 AS (SELECT s, f, CAST(((a::UHUGEINT + 123) % 18446744073709551616::UHUGEINT) AS UBIGINT) AS x, xor(b, b >> 8) AS b FROM a3),
-a5 AS (SELECT s, f, xor(x, CAST((x::UHUGEINT * 274877906944 % 18446744073709551616::UHUGEINT) AS UBIGINT)) AS x, b FROM a4),
-a6 AS (SELECT s, f, xor(x, x >> 13) AS x, b FROM a5),
-a7 AS (SELECT s, f, xor(x, CAST((x::UHUGEINT * 8388608 % 18446744073709551616::UHUGEINT) AS UBIGINT)) AS x, b FROM a6),
-a8 AS (SELECT s, f, CAST(((x::UHUGEINT + b::UHUGEINT) % 18446744073709551616::UHUGEINT) AS UBIGINT) AS x FROM a7),
-a9 AS (SELECT s, f, xor(x, x >> 7) AS x FROM a8),
-a10 AS (SELECT s, f, xor(x, CAST((x::UHUGEINT * 9007199254740992 % 18446744073709551616::UHUGEINT) AS UBIGINT)) AS x FROM a9),
-h AS (SELECT s, f, xor(x, x >> 4) AS x FROM a10) """
+_HASHES = f"WITH {M}, {fit_sql.hashed('h', 'SELECT col_id AS s, row_id AS f FROM m', 123)} "
 
 
-@query("n13_hash_mask", _RNG + "SELECT CAST(s AS BIGINT) AS sample, CAST(f AS BIGINT) AS feature, CAST(x % 20 AS BIGINT) AS draw, x % 20 = 0 AS masked, CAST(x % 1000003 AS BIGINT) AS rest FROM h")
+@query("n13_hash_mask", _HASHES + "SELECT s AS sample, f AS feature, CAST(x % 20 AS BIGINT) AS draw, x % 20 = 0 AS masked, CAST(x % 1000003 AS BIGINT) AS rest FROM h")
 def n13(spark, sf):
-    ids = t(spark, sf, "part").where("p_partkey < 120").select("p_partkey")
-    pairs = ids.select(F.col("p_partkey").alias("sample")).crossJoin(F.broadcast(ids.select(F.col("p_partkey").alias("feature"))))
-    x = rng.hash64(123, F.col("sample"), F.col("feature"))
-    return pairs.select("sample", "feature", rng.unsigned_mod(x, 20).alias("draw"), rng.masked(123, F.col("sample"), F.col("feature"), 20).alias("masked"), rng.unsigned_mod(x, 1_000_003).alias("rest"))
+    """The draw of every cell of the matrix."""
+    x, m = rng.hash64(123, F.col("col_id"), F.col("row_id")), parts_customers(spark, sf)
+    return m.select(F.col("col_id").alias("sample"), F.col("row_id").alias("feature"), rng.unsigned_mod(x, 20).alias("draw"), rng.masked(123, F.col("col_id"), F.col("row_id"), 20).alias("masked"), rng.unsigned_mod(x, 1_000_003).alias("rest"))
 
 
-@query("n13_uniform", _RNG + "SELECT CAST(s AS BIGINT) AS sample, CAST(f AS BIGINT) AS feature, round(CAST(x AS DOUBLE) / 18446744073709551616, 9) AS u FROM h")
+@query("n13_uniform", _HASHES + "SELECT s AS sample, f AS feature, round(CAST(x AS DOUBLE) / 18446744073709551616, 9) AS u FROM h")
 def n13b(spark, sf):
-    ids = t(spark, sf, "part").where("p_partkey < 120").select("p_partkey")
-    pairs = ids.select(F.col("p_partkey").alias("sample")).crossJoin(F.broadcast(ids.select(F.col("p_partkey").alias("feature"))))
-    return pairs.select("sample", "feature", F.round(rng.uniform(123, F.col("sample"), F.col("feature")), 9).alias("u"))
+    return parts_customers(spark, sf).select(F.col("col_id").alias("sample"), F.col("row_id").alias("feature"), F.round(rng.uniform(123, F.col("col_id"), F.col("row_id")), 9).alias("u"))
 
 
-@query("n12_masked_error", _RNG + f""", {M}, z AS (SELECT CAST(s AS BIGINT) AS s, CAST(f AS BIGINT) AS f FROM h WHERE x % 20 = 0),
-e AS (SELECT s, power(COALESCE(value, 0) - 2.0, 2) AS e FROM z LEFT JOIN m ON row_id = f AND col_id = s), q AS (SELECT s, AVG(e) AS e FROM e GROUP BY 1)
-SELECT round(SUM(e) / 120, 6) AS test_error FROM q""")
+@query("n12_masked_error", f"""WITH {M}, {fit_sql.hashed('h', 'SELECT c_custkey AS s, p_partkey AS f FROM customer CROSS JOIN part', 123)},
+z AS MATERIALIZED (SELECT s, f FROM h WHERE x % 20 = 0), e AS (SELECT s, power(COALESCE(value, 0) - 2.0, 2) AS e FROM z LEFT JOIN m ON row_id = f AND col_id = s), q AS (SELECT s, AVG(e) AS e FROM e GROUP BY 1)
+SELECT round(SUM(e) / (SELECT COUNT(*) FROM customer), 6) AS test_error FROM q""")
 def n12(spark, sf):
-    """Error at masked cells of 120 x 120 parts and customers, under the rank-1 model W = 1/120, d = 240, H = 1."""
+    """Error at the masked cells of all parts and customers, under the rank-1 model W = 1, d = 2, H = 1."""
     from ..operators import nmf
 
     import numpy as np
 
-    ids = t(spark, sf, "part").where("p_partkey < 120").select(F.col("p_partkey").alias("id"))
-    m = parts_customers(spark, sf).where("row_id < 120 and col_id < 120")
-    p = nmf.problem(m, ids, ids)
-    w = ids.select("id", F.array(F.lit(1.0 / 120)).alias("weights"))
-    h = ids.select("id", F.array(F.lit(1.0)).alias("weights"))
-    return spark.createDataFrame([(round(float(nmf.test_error(p, w, np.array([240.0]), h, 1, 123, 20)), 6),)], "test_error double")
+    ids = lambda name, key: t(spark, sf, name).select(F.col(key).alias("id"))
+    p = nmf.problem(parts_customers(spark, sf), ids("part", "p_partkey"), ids("customer", "c_custkey"))
+    one = lambda x: x.select("id", F.array(F.lit(1.0)).alias("weights"))
+    return spark.createDataFrame([(round(float(nmf.test_error(p, one(p.features), np.array([2.0]), one(p.samples), 1, 123, 20)), 6),)], "test_error double")
 
 
 @query("n14_distances", f"""WITH {V} SELECT a.sample_id AS a, b.sample_id AS b, round(1 - list_dot_product(a.v, b.v) / (list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) - list_dot_product(a.v, b.v)), 6) AS jaccard,

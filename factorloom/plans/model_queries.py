@@ -10,6 +10,7 @@ from ..operators import annotate, enrich, graph, matrix, nmf, prepare, rank
 from ..session import cut, shared_dir
 from ..sources import matrix_io
 from ..streaming import project as stream
+from . import fit_sql
 from .fixtures import SEG, C, H, M, V, lattice, parts_customers, segments, shares, t, vectors
 from .matrix_queries import rounded
 
@@ -124,113 +125,214 @@ def n9(spark, sf):
     return rounded(out.select("batch", F.posexplode("l1").alias("factor", "l1")), "l1")
 
 
-@query("n11_masked_rank1", None)
+_SMALL = "a AS MATERIALIZED (SELECT hour(ts) + 24 * e AS row_id, user_id AS col_id, CAST(COUNT(*) AS DOUBLE) AS v FROM events JOIN (SELECT event_type, ROW_NUMBER() OVER (ORDER BY event_type) - 1 AS e FROM (SELECT DISTINCT event_type FROM events)) USING (event_type) GROUP BY 1, 2)"
+_PAIRS = "SELECT s, f FROM (SELECT DISTINCT col_id AS s FROM a) CROSS JOIN (SELECT DISTINCT row_id AS f FROM a)"
+
+
+def _mask(name: str, seed: int) -> str:
+    return fit_sql.hashed(f"{name}_x", _PAIRS, seed) + f", {name} AS MATERIALIZED (SELECT s, f FROM {name}_x WHERE x % 20 = 0)"
+
+
+@query("n11_masked_step", f"WITH {_SMALL}, {_mask('z', 7)}, {fit_sql.start('w0', 'SELECT DISTINCT row_id AS id FROM a', 1)}, {fit_sql.half('x', 'col_id', 'w0', mask='z')} SELECT id, round(a, 4) AS a, round(b, 4) AS b FROM x")
 def n11(spark, sf):
     p = nmf.problem(small(spark, sf))
     out = nmf.half_step(p.by_col, nmf.start(p.features, 2, 1), 2, 0.01, mask=(7, 20, True))
-    return out.select("id", F.get("weights", 0).alias("a"), F.get("weights", 1).alias("b"))
+    return out.select("id", F.round(F.get("weights", 0), 4).alias("a"), F.round(F.get("weights", 1), 4).alias("b"))
+
 
+@query("n11_masked_step_streamed", SQL["n11_masked_step"])
+def n11b(spark, sf):
+    """The same with a factor beyond the broadcast limit: it streams past the ids."""
+    p = nmf.problem(small(spark, sf), cells=16)
+    out = nmf.half_step(p.by_col, nmf.start(p.features, 2, 1), 2, 0.01, mask=(7, 20, True), limit=0)
+    return out.select("id", F.round(F.get("weights", 0), 4).alias("a"), F.round(F.get("weights", 1), 4).alias("b"))
 
-# --- fits (rows only: checked against numpy twins in the tests) -------------------------------------
 
+# --- fits of rank 2, checked whole; higher ranks are checked against numpy twins in the tests --------
 
-def _factors(model):
-    return model.long("h").select("sample_id", "factor", F.round("weight", 8).alias("weight"))
 
+def _factors(model, digits=6):
+    return model.long("h").select("sample_id", "factor", F.round("weight", digits).alias("weight"))
 
-@query("m1_run_nmf")
+
+_FIT2 = f"WITH {_A}, {fit_sql.fit(2)} {fit_sql.factors('h2', 'w2_d')}"
+
+
+@query("m1_run_nmf", _FIT2)
 def m1(spark, sf):
+    return _factors(nmf.run_nmf(normalized(spark, sf), 2, tol=0.0, maxit=2))
+
+
+@query("m1_run_nmf_bucketed", _FIT2)
+def m1_bucketed(spark, sf):
+    """Factors beyond the broadcast limit: they are joined with the bucketed cells."""
+    return _factors(nmf.run_nmf(normalized(spark, sf), 2, tol=0.0, maxit=2, limit=0))
+
+
+@query("m1_run_nmf_rank4")
+def m1_rank4(spark, sf):
     return _factors(nmf.run_nmf(normalized(spark, sf), 4, maxit=4))
 
 
-@query("m3_nmf_chunks")
+@query("m3_nmf_chunks", _FIT2)
 def m3(spark, sf):
     """The chunks of a matrix side by side give the fit of the whole."""
     m = cut(normalized(spark, sf))
     top = m.agg(F.max("col_id")).first()[0] + 1
-    return _factors(nmf.run_nmf(matrix_io.build([m.where(F.col("col_id") < top // 2), m.where(F.col("col_id") >= top // 2).withColumn("col_id", F.col("col_id") - top // 2)], [top // 2, 0]), 3, maxit=2))
+    return _factors(nmf.run_nmf(matrix_io.build([m.where(F.col("col_id") < top // 2), m.where(F.col("col_id") >= top // 2).withColumn("col_id", F.col("col_id") - top // 2)], [top // 2, 0]), 2, tol=0.0, maxit=2))
 
 
-@query("m4_nmf_compressed")
+@query("m4_nmf_compressed", _FIT2)
 def m4(spark, sf):
     """A fit of what was compressed by distinct value and delta-coded."""
     m = normalized(spark, sf)
-    return _factors(nmf.run_nmf(matrix.from_ivcsc(matrix.to_ivcsc(m)).select("row_id", "col_id", "value"), 3, maxit=2))
+    return _factors(nmf.run_nmf(matrix.from_ivcsc(matrix.to_ivcsc(m)).select("row_id", "col_id", "value"), 2, tol=0.0, maxit=2))
+
+
+_DENSE = f"{V}, a AS MATERIALIZED (SELECT i - 1 + CASE WHEN v[i] < 0 THEN 64 ELSE 0 END AS row_id, sample_id AS col_id, abs(v[i]) AS v FROM v, range(1, 65) r(i) WHERE v[i] <> 0)"
 
 
-@query("m2_nmf_dense")
+@query("m2_nmf_dense", f"WITH {_DENSE}, {fit_sql.fit(3)} {fit_sql.factors('h3', 'w3_d')}")
 def m2(spark, sf):
     """Embeddings split into positive and negative parts."""
     v = t(spark, sf, "embeddings").select(F.col("vec_id").alias("col_id"), F.posexplode("embedding").alias("i", "x"))
     m = v.select((F.col("i") + F.when(F.col("x") < 0, 64).otherwise(0)).cast("long").alias("row_id"), "col_id", F.abs(F.col("x").cast("double")).alias("value")).where("value > 0")
-    return _factors(nmf.run_nmf(m, 3, maxit=3))
+    return _factors(nmf.run_nmf(m, 2, tol=0.0, maxit=3))
 
 
-@query("m5_batch_nmf")
+# the second iteration's loadings are penalized by how far a batch's means are from the others' in the first
+_BATCH = f"""WITH {_A}, {SEG}, {fit_sql.fit(1)}, bm AS (SELECT level, AVG(a) AS ma, AVG(b) AS mb FROM h1 JOIN seg ON sample_id = id GROUP BY 1),
+bx AS (SELECT level, ma - (SUM(ma) OVER () - ma) / greatest(COUNT(*) OVER () - 1, 1) AS ea, mb - (SUM(mb) OVER () - mb) / greatest(COUNT(*) OVER () - 1, 1) AS eb FROM bm), ex AS (SELECT sample_id AS id, ea, eb FROM seg JOIN bx USING (level)),
+{fit_sql.half("h2_raw", "col_id", "w1", extra="ex")}, {fit_sql.unit("h2", "h2_raw")}, {fit_sql.half("w2_raw", "row_id", "h2")}, {fit_sql.unit("w2", "w2_raw")} {fit_sql.factors("h2", "w2_d")}"""
+
+
+@query("m5_batch_nmf", _BATCH)
 def m5(spark, sf):
     batches = segments(spark, sf).select(F.col("sample_id").alias("id"), F.col("level").alias("batch"))
-    return _factors(nmf.run_batch_nmf(normalized(spark, sf), batches, 3, maxit=3))
+    return _factors(nmf.run_batch_nmf(normalized(spark, sf), batches, 2, tol=0.0, maxit=2))
+
+
+def _ratio(name: str, by: str, w: str, x: str) -> str:
+    other = "row_id" if by == "col_id" else "col_id"
+    p = f"(SELECT {by} AS id, SUM(v * a) AS p, SUM(v * b) AS q FROM a JOIN {w} w ON w.id = {other} GROUP BY 1)"
+    return f"{name} AS MATERIALIZED (SELECT id, p / (g * x.a + 1e-15) AS a, q / (k * x.b + 1e-15) AS b FROM {p} JOIN {x} x USING (id) CROSS JOIN (SELECT SUM(a * a) + 1e-15 AS g, SUM(b * b) + 1e-15 AS k FROM {w}))"
 
 
-@query("m6_ratio_nmf")
+_ONE = "SELECT id AS sample_id, CAST({0} AS INTEGER) AS factor, round({1}, 6) AS weight FROM {2}"
+_RATIO = ", ".join([fit_sql.start("w0", "SELECT DISTINCT row_id AS id FROM a", 1), fit_sql.start("h0", "SELECT DISTINCT col_id AS id FROM a", 2), _ratio("h1", "col_id", "w0", "h0"), _ratio("w1", "row_id", "h1", "w0"), _ratio("h2", "col_id", "w1", "h1")])
+
+
+@query("m6_ratio_nmf", f"WITH {_A}, {_RATIO} {_ONE.format(0, 'a', 'h2')} UNION ALL {_ONE.format(1, 'b', 'h2')}")
 def m6_fit(spark, sf):
     return _factors(nmf.run_ratio_nmf(normalized(spark, sf), 2, maxit=2))
 
 
-@query("m7_linked_nmf")
+# links from the mean loadings by segment of a first fit
+_LINKED = f"""WITH {_A}, {SEG}, {fit_sql.fit(2, prefix="f_")}, fl AS (SELECT sample_id, factor, CAST(weight AS DOUBLE) AS weight FROM ({fit_sql.factors("f_h2", "f_w2_d", 15)})),
+fm AS (SELECT factor, level, COALESCE(SUM(weight), 0) / ANY_VALUE(n) AS mean FROM fl JOIN seg USING (sample_id) JOIN (SELECT level, COUNT(*) AS n FROM seg GROUP BY 1) USING (level) GROUP BY 1, 2),
+fk AS (SELECT factor, level, CASE WHEN mean / SUM(mean) OVER (PARTITION BY factor) * COUNT(*) OVER (PARTITION BY factor) < 0.95 THEN 0.0 ELSE 1.0 END AS link FROM fm),
+lk AS (SELECT sample_id AS id, MAX(link) FILTER (factor = 0) AS la, MAX(link) FILTER (factor = 1) AS lb FROM seg JOIN fk USING (level) GROUP BY 1),
+{fit_sql.fit(2, h_link="lk")} {fit_sql.factors("h2", "w2_d")}"""
+
+
+@query("m7_linked_nmf", _LINKED)
 def m7(spark, sf):
-    h = nmf.run_nmf(normalized(spark, sf), 3, maxit=2)
-    return _factors(annotate.run_linked(normalized(spark, sf), h.long("h"), segments(spark, sf), 3, 0.95, maxit=2))
+    m = cut(normalized(spark, sf))
+    h = nmf.run_nmf(m, 2, tol=0.0, maxit=2)
+    return _factors(annotate.run_linked(m, h.long("h"), segments(spark, sf), 2, 0.95, tol=0.0, maxit=2))
 
 
-@query("m10_graph_nmf")
+_SPREAD = "{{name}} AS MATERIALIZED (SELECT dst AS id, SUM(g * p) AS p, SUM(g * q) AS q FROM gr JOIN (SELECT col_id AS src, SUM(v * a) AS p, SUM(v * b) AS q FROM a JOIN {w} w ON w.id = row_id GROUP BY 1) USING (src) GROUP BY 1)"
+_GRAPH = ", ".join(
+    x for n in (1,) for x in (
+        fit_sql.half(f"h{n}_raw", "col_id", f"w{n - 1}", products=_SPREAD.format(w=f"w{n - 1}")), fit_sql.unit(f"h{n}", f"h{n}_raw"),
+        f"hs{n} AS MATERIALIZED (SELECT dst AS id, SUM(g * a) AS a, SUM(g * b) AS b FROM gr JOIN h{n} ON id = src GROUP BY 1)",
+        fit_sql.half(f"w{n}_raw", "row_id", f"hs{n}"), fit_sql.unit(f"w{n}", f"w{n}_raw"),
+    )
+)
+
+
+# one iteration: smoothed loadings are so alike that the descent stops short of the closed form beyond it
+@query("m10_graph_nmf", f"""WITH {C}, ge AS (SELECT a.sample_id AS dst, b.sample_id AS src, 1 - sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 2 AS u FROM c a JOIN c b ON abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2),
+gr AS MATERIALIZED (SELECT dst, src, u / SUM(u) OVER (PARTITION BY dst) AS g FROM ge WHERE u > 0), {V}, a AS MATERIALIZED (SELECT i - 1 AS row_id, sample_id AS col_id, abs(v[i]) AS v FROM v, range(1, 65) r(i) WHERE v[i] <> 0),
+{fit_sql.start("w0", "SELECT DISTINCT row_id AS id FROM a", 1)}, {_GRAPH} {fit_sql.factors("h1", "w1_d")}""")
 def m10(spark, sf):
     v = t(spark, sf, "embeddings").select(F.col("vec_id").alias("col_id"), F.posexplode("embedding").alias("row_id", "x"))
     m = v.select(F.col("row_id").cast("long").alias("row_id"), "col_id", F.abs(F.col("x").cast("double")).alias("value")).where("value > 0")
-    return _factors(nmf.run_graph_nmf(m, cut(graph.spatial_graph(lattice(spark, sf), 2.0)), 3, maxit=2))
+    return _factors(nmf.run_graph_nmf(m, cut(graph.spatial_graph(lattice(spark, sf), 2.0)), 2, tol=0.0, maxit=1))
+
+
+def _trace(k: int, rep: int, at: dict[int, int], first: str = "") -> tuple[str, str]:
+    """CTEs of a masked fit, and the rows of its trace: at has the iteration noted for each number of iterations done."""
+    p = f"k{k}r{rep}_"
+    ctes = f"{_mask(p + 'z', 1 + rep)}, {fit_sql.fit(max(at), rank=k, seed=rep, prefix=p, mask=p + 'z')}"
+    rows = [f"SELECT CAST({k} AS INTEGER) AS k, CAST({rep} AS INTEGER) AS rep, CAST({i} AS INTEGER) AS iter, round({fit_sql.test_error(f'{p}h{n}', f'{p}w{n}', p + 'z')}, 6) AS test_error" for n, i in at.items()]
+    return ctes, " UNION ALL ".join(rows)
 
 
-@query("m11_cross_validate")
+def _traces(*parts: tuple[str, str]) -> str:
+    return f"WITH {_SMALL}, {', '.join(p[0] for p in parts)} " + " UNION ALL ".join(p[1] for p in parts)
+
+
+def _noted(trace):
+    return trace.select("k", "rep", "iter", F.round("test_error", 6).alias("test_error"))
+
+
+@query("m11_cross_validate", _traces(*[_trace(k, rep, {1: 0, 3: 2}) for k in (1, 2) for rep in (1, 2)]))
 def m11(spark, sf):
-    return rank.cross_validate(small(spark, sf), [1, 2], n_replicates=1, maxit=3, trace_every=2)
+    return _noted(rank.cross_validate(small(spark, sf), [1, 2], n_replicates=2, maxit=3, trace_every=2, tol=0.0, tol_overfit=1.0))
 
 
-@query("m12_masked_fit")
+@query("m12_masked_fit", _traces(_trace(2, 1, {1: 0, 2: 1, 3: 2})))
 def m12(spark, sf):
     p = nmf.problem(small(spark, sf))
-    return spark.createDataFrame(rank.masked_fit(p, 2, maxit=3, every=1), rank.TRACE)
+    return _noted(spark.createDataFrame(rank.masked_fit(p, 2, tol=0.0, maxit=3, every=1, tol_overfit=1.0), rank.TRACE))
 
 
-@query("m13_rank_search")
+@query("m12_masked_fit_streamed", SQL["m12_masked_fit"])
+def m12b(spark, sf):
+    """The same with factors beyond the broadcast limit."""
+    p = nmf.problem(small(spark, sf), cells=64)
+    return _noted(spark.createDataFrame(rank.masked_fit(p, 2, tol=0.0, maxit=3, every=1, tol_overfit=1.0, limit=0), rank.TRACE))
+
+
+@query("m13_rank_search", _traces(*[_trace(k, 1, {1: 0, 2: 1}) for k in (1, 2)]))
 def m13(spark, sf):
-    return rank.ard_nmf(small(spark, sf), k_init=2, k_max=4, maxit=3, cv_tol=1e-2).misc["trace"]
+    """A search from rank 1 up, one by one, to its limit of 2."""
+    return _noted(rank.ard_nmf(small(spark, sf), k_init=1, k_min=1, k_max=2, maxit=2, cv_tol=0.0, tol_overfit=1.0, learning_rate=0.0).misc["trace"])
+
+
+_BALANCED = f"""WITH {_A}, {SEG}, k AS (SELECT sample_id, DENSE_RANK() OVER (ORDER BY level) - 1 AS code FROM seg), ks AS (SELECT code, SUM(v) AS s FROM a JOIN k ON col_id = sample_id GROUP BY 1),
+ab AS MATERIALIZED (SELECT row_id, col_id, CASE WHEN code = 0 THEN v ELSE v / (s / (SELECT s FROM ks WHERE code = 0)) END AS v FROM a JOIN k ON col_id = sample_id JOIN ks USING (code)), {fit_sql.fit(2, matrix="ab")} {fit_sql.factors("h2", "w2_d")}"""
 
 
-@query("m15_run")
+@query("m15_run", _BALANCED)
 def m15(spark, sf):
-    return _factors(rank.run(parts_customers(spark, sf), k=2, codes=prepare.group_codes(segments(spark, sf), "level"), maxit=2))
+    return _factors(rank.run(parts_customers(spark, sf), k=2, codes=prepare.group_codes(segments(spark, sf), "level"), tol=0.0, maxit=2))
 
 
-@query("m17_project_matrix")
+@query("m17_project_matrix", f"WITH {_A}, {fit_sql.fit(1)}, {fit_sql.half('pr_raw', 'col_id', 'w1')}, {fit_sql.unit('pr', 'pr_raw')} {fit_sql.factors('pr', 'pr_d')}")
 def m17(spark, sf):
-    model = nmf.run_nmf(normalized(spark, sf), 3, maxit=2)
-    return _factors(nmf.project_matrix(parts_customers(spark, sf).where("col_id < 500"), model.w, reorder=True))
+    """Raw counts of all customers, normalized and loaded on the factors of a fit."""
+    model = nmf.run_nmf(normalized(spark, sf), 2, tol=0.0, maxit=1)
+    return _factors(nmf.project_matrix(parts_customers(spark, sf), model.w, reorder=True))
 
 
-@query("m16_project_stream")
+@query("m16_project_stream", f"WITH {_A}, {fit_sql.fit(1)}, {fit_sql.half('pr', 'col_id', 'w1')} {fit_sql.factors('pr', 'w1_d', 2)}")
 def m16_stream(spark, sf):
     """The batch form of the stream's function: the same rows in either."""
-    model = nmf.run_nmf(normalized(spark, sf), 2, maxit=2)
-    return stream.project_stream(nmf.blocks(nmf.cut(normalized(spark, sf)), "col_id").rows, model).select("id", F.round(F.get("weights", 0), 8).alias("a"))
+    model = nmf.run_nmf(normalized(spark, sf), 2, tol=0.0, maxit=1)
+    out = stream.project_stream(nmf.blocks(nmf.cut(normalized(spark, sf)), "col_id").rows, model)
+    return out.select(F.col("id").alias("sample_id"), F.posexplode("weights").alias("factor", "weight")).withColumn("weight", F.round("weight", 2))
 
 
-@query("s2_pipeline")
+@query("s2_pipeline", _FIT2)
 def s2(spark, sf):
     path = shared_dir(spark)
     matrix_io.write_matrix(parts_customers(spark, sf), f"{path}/m")
     meta = segments(spark, sf).withColumnRenamed("level", "segment")
-    matrix_io.pipeline(spark, f"{path}/m", "Parts & customers 1", path, meta, k=2, maxit=2)
-    return spark.read.parquet(f"{path}/Partscustomers/h").select("sample_id", F.posexplode("weights").alias("factor", "weight"))
+    matrix_io.pipeline(spark, f"{path}/m", "Parts & customers 1", path, meta, k=2, tol=0.0, maxit=2)
+    return spark.read.parquet(f"{path}/Partscustomers/h").select("sample_id", F.posexplode("weights").alias("factor", "weight")).withColumn("weight", F.round("weight", 6))
 
 
 @query("s9_model_parts", f"WITH {H} SELECT sample_id, factor, weight FROM (SELECT i.sample_id, CAST(f AS INTEGER) AS factor, COALESCE(weight, 0) AS weight FROM (SELECT DISTINCT sample_id FROM h) i CROSS JOIN range(0, 3) r(f) LEFT JOIN h ON h.sample_id = i.sample_id AND h.factor = f)")
