@@ -3,10 +3,12 @@
 Base statistics come from one pass over each text. A document with at least ten words that passes the
 base rules has a vector of transformed statistics (log mean word length; roots of the shares of
 symbols, repeated lines and repeated words). Per language and source, a minimum-covariance-determinant
-estimate is found by concentration steps: from the mean and covariance of all rows, keep the share
-`h` of rows with the smallest Mahalanobis distance, estimate anew, repeat. A step is one aggregation of moments by
-(group, distance bin); a group's bins are then taken from the nearest on until they hold the share h, so
-no quantile needs a sort and no group meets in one task. Documents beyond the cutoff are not kept.
+estimate is found by concentration steps from two starts, the medians with the quartiles' spread, and the mean and covariance of all
+rows: keep the share `h` of rows with the smallest Mahalanobis distance, estimate anew, and repeat until no
+group's determinant falls any more; of the two, the smaller determinant counts. A step is one aggregation of moments by
+(group, start, distance bin); a group's bins are then taken from the nearest on until they hold the share h, so
+no quantile needs a sort and no group meets in one task. Variances have floors, so that clean prose, which hardly varies, is kept.
+Documents beyond the cutoff are not kept.
 
 Null texts have no words. Null languages or sources count as the empty string. Groups of fewer than
 `least` vectors are estimated together. Repeated rows are judged alike; an empty table gives no
@@ -27,6 +29,8 @@ D = len(FLOORS)
 #: Share of rows in the estimate, the factor that makes it consistent for normal data in four dimensions, and
 #: the squared distance with tail 1e-5 there.
 SHARE, CONSISTENCY, CUTOFF = 0.75, 1.486, 28.5
+#: Bins a unit of the first medians, and the fall of a log determinant that counts as none.
+BINS, TOLERANCE = 64, 1e-6
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -94,16 +98,36 @@ def _moments() -> list[Column]:
     ]
 
 
+KEYS = ["g", "start"]
+
+
 def _estimate(sums: DataFrame, scale: float) -> DataFrame:
-    """g, the means m and the Cholesky factor l of the covariance, whose diagonal has floors."""
-    out = sums.select("g", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(D)], "n", *[f"q{i}{j}" for i, j in _pairs()])
+    """KEYS, the means m, the Cholesky factor l of the covariance, whose diagonal has floors, and the log of its determinant."""
+    out = sums.select(*KEYS, *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(D)], "n", *[f"q{i}{j}" for i, j in _pairs()])
     for i, j in _pairs():
         c = scale * (F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))
         if i == j:
             c = F.greatest(c, F.lit(0.0)) + FLOORS[i] ** 2
         c = c - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
         out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(1e-12))) if i == j else c / F.col(f"l{j}{j}"))
-    return out.select("g", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i, j in _pairs()])
+    return out.select(*KEYS, *_parameters(), sum((2 * F.log(f"l{i}{i}") for i in range(D)), F.lit(0.0)).alias("log_det"))
+
+
+def _parameters() -> list[str]:
+    return [f"m{i}" for i in range(D)] + [f"l{i}{j}" for i, j in _pairs()]
+
+
+def _robust_start(good: DataFrame) -> DataFrame:
+    """Medians, and the spread that a normal distribution with the same quartiles has, from counts in bins of 1 / BINS."""
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(f"x{i}") * BINS).alias("b")) for i in range(D)])
+    counts = good.select("g", F.explode(each).alias("x")).groupBy("g", "x.i", "x.b").agg(F.count("*").alias("n"))
+    own = W.partitionBy("g", "i")
+    share = F.sum("n").over(own.orderBy("b")) / F.sum("n").over(own)
+    at = lambda p: (F.min(F.when(F.col("share") >= p, F.col("b"))) + 0.5) / BINS
+    spots = counts.withColumn("share", share).groupBy("g", "i").agg(at(0.5).alias("mid"), ((at(0.75) - at(0.25)) / 1.349).alias("spread"))
+    pick = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
+    lower = [F.lit(0.0).alias(f"l{i}{j}") if j < i else F.sqrt(pick(i, "spread") ** 2 + FLOORS[i] ** 2).alias(f"l{i}{j}") for i, j in _pairs()]
+    return spots.groupBy("g").agg(*[pick(i, "mid").alias(f"m{i}") for i in range(D)], *lower).select("g", F.lit(1).alias("start"), *_parameters())
 
 
 def _distance() -> Column:
@@ -114,7 +138,7 @@ def _distance() -> Column:
     return sum((x * x for x in z[1:]), z[0] * z[0])
 
 
-def quality_rules(docs: DataFrame, steps: int = 4, share: float = SHARE, cutoff: float = CUTOFF, least: int = 40) -> DataFrame:
+def quality_rules(docs: DataFrame, share: float = SHARE, cutoff: float = CUTOFF, least: int = 40) -> DataFrame:
     """One row per row of docs(doc_id, text, lang, source): the statistics, base_failed, distance (squared; null where base_failed) and kept."""
     n = F.col("n_words")
     failed = (n < 10) | (100 * F.col("n_repeat_words") > 20 * n)
@@ -126,15 +150,24 @@ def quality_rules(docs: DataFrame, steps: int = 4, share: float = SHARE, cutoff:
     named = lambda x: x.join(big, "g", "left").withColumn("g", F.coalesce("own", F.lit("\u0002"))).drop("own")
     big = cut(big)
     good = named(good).select("g", *[f"x{i}" for i in range(D)])
-    estimate = cut(_estimate(good.groupBy("g").agg(*_moments()), 1.0))
-    for _ in range(steps):
+    plain = _estimate(good.groupBy("g", F.lit(0).alias("start")).agg(*_moments()), 1.0)
+    estimate, before = cut(plain.drop("log_det").unionByName(_robust_start(good))), None
+    while True:
         bin_ = F.floor(16 * F.log2(F.greatest(_distance(), F.lit(1e-9)))).cast("int")
-        sums = good.join(estimate, "g").groupBy("g", bin_.alias("bin")).agg(*_moments())
-        nearer = F.coalesce(F.sum("n").over(W.partitionBy("g").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        total = F.sum("n").over(W.partitionBy("g"))
-        sums = sums.withColumn("take", nearer < share * total).where("take")
-        sums = sums.groupBy("g").agg(*[F.sum(c).alias(c) for c in sums.columns if c not in ("g", "bin", "take")])
+        sums = good.join(estimate, "g").groupBy(*KEYS, bin_.alias("bin")).agg(*_moments())
+        own = W.partitionBy(*KEYS)
+        nearer = F.coalesce(F.sum("n").over(own.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        sums = sums.withColumn("take", nearer < share * F.sum("n").over(own)).where("take")
+        sums = sums.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in sums.columns if c not in (*KEYS, "bin", "take")])
         estimate = cut(_estimate(sums, CONSISTENCY))
+        # determinants fall or stay: once none falls, all have settled
+        if before is not None:
+            fall = before.join(estimate.select(*KEYS, F.col("log_det").alias("now")), KEYS).agg(F.max(F.col("log_det") - F.col("now"))).first()[0]
+            if fall is None or fall <= TOLERANCE:
+                break
+        before = estimate
+    best = F.min_by(F.struct(*_parameters()), F.struct("log_det", "start")).alias("e")
+    estimate = cut(estimate.groupBy("g").agg(best).select("g", "e.*"))
     judged = named(rows).join(estimate, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from factorloom.llm import chat_format, decontaminate, license_scan, packing, pii, quality_classifier, quality_rules, rans, simhash, suffix_dedup, tagger, token_output
 from factorloom.llm.common import TextEncoder, shared_dir, tokenizer_path
@@ -329,6 +330,16 @@ def test_quality_rules(docs):
         assert r.base_failed == (n < 10 or 100 * repeats > 20 * n) and not (r.base_failed and r.kept)
     assert all(got[100 + i][0].kept for i in range(60)) and not got[201][0].kept and len(got[4]) == 2
     assert quality_rules.quality_rules(docs([])).collect() == []
+    bare = docs(rows[:5] + ODD[:3]).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))
+    assert [(r.lang, r.source) for r in quality_rules.quality_rules(bare).collect()] == [("", "")] * 8
+    assert all(r.kept for r in quality_rules.quality_rules(docs([(1, prose(50, 1)), (2, prose(60, 2))])).collect())
+
+
+def test_masked_outliers_are_found(docs):
+    """A third of all rows lie far off in one direction: mean and covariance alone would follow them."""
+    rows = [(i, prose(80, i)) for i in range(140)] + [(500 + i, " ".join(w + "#$" for w in prose(80, 900 + i).split())) for i in range(45)]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs(rows)).collect()}
+    assert all(got[i] for i in range(140)) and not any(got[500 + i] for i in range(45))
 
 
 def test_robust_distances_equal_a_numpy_twin(docs):
@@ -348,12 +359,24 @@ def test_robust_distances_equal_a_numpy_twin(docs):
     def distances(mean, cov):
         return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
 
-    mean, cov = estimate(x[ok], 1.0)
-    for _ in range(4):
-        bins = np.floor(16 * np.log2(np.maximum(distances(mean, cov)[ok], 1e-9)))
-        order = np.sort(bins)
-        top = order[int(np.ceil(quality_rules.SHARE * len(order))) - 1]
-        mean, cov = estimate(x[ok][bins <= top], quality_rules.CONSISTENCY)
+    def middle(p):
+        """The first bin whose counts reach the share p, for each column."""
+        bins = np.sort(np.floor(x[ok] * quality_rules.BINS), axis=0)
+        return (bins[int(np.ceil(p * len(bins))) - 1] + 0.5) / quality_rules.BINS
+
+    spread = (middle(0.75) - middle(0.25)) / 1.349
+    starts, before = [estimate(x[ok], 1.0), (middle(0.5), np.diag(spread**2 + np.square(quality_rules.FLOORS)))], None
+    while True:
+        for k, (mean, cov) in enumerate(starts):
+            bins = np.floor(16 * np.log2(np.maximum(distances(mean, cov)[ok], 1e-9)))
+            order = np.sort(bins)
+            top = order[int(np.ceil(quality_rules.SHARE * len(order))) - 1]
+            starts[k] = estimate(x[ok][bins <= top], quality_rules.CONSISTENCY)
+        now = [np.linalg.slogdet(cov)[1] for _, cov in starts]
+        if before is not None and max(p - q for p, q in zip(before, now)) <= quality_rules.TOLERANCE:
+            break
+        before = now
+    mean, cov = starts[int(np.argmin(now))]
     for d, fine, (i, _) in zip(distances(mean, cov), ok, rows):
         if fine:
             assert got[i].distance == pytest.approx(d, rel=1e-6, abs=1e-9) and got[i].kept == (d <= quality_rules.CUTOFF)
