@@ -98,7 +98,7 @@ def moderated(fit: DataFrame, proportion: float = 0.01) -> DataFrame:
 @F.pandas_udf(DoubleType())
 def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     """Upper tail of Student's t."""
-    return pd.Series([1 - stats.t_cdf(a, b) for a, b in zip(t, df)], dtype="float64")
+    return pd.Series(1 - stats.t_cdf(t.to_numpy(float), df.to_numpy(float)))
 
 
 def model_results(fit: DataFrame, tail: str = "pos", noneg: bool = True, noint: bool = True) -> DataFrame:

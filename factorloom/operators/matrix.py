@@ -7,8 +7,10 @@ indices); Parquet's dictionary and delta encodings do the rest.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -84,10 +86,20 @@ def from_ivcsc(v: DataFrame) -> DataFrame:
 
 def to_dense(m: DataFrame, n_rows: int) -> DataFrame:
     """(col_id, values array of n_rows): columns without cells are absent."""
-    cells = F.map_from_entries(F.collect_list(F.struct("row_id", "value")))
-    return m.groupBy("col_id").agg(cells.alias("c")).select(
-        "col_id", F.transform(F.sequence(F.lit(0), F.lit(n_rows - 1)), lambda i: F.coalesce(F.get(F.map_values("c"), F.array_position(F.map_keys("c"), i.cast("long")).cast("int") - 1), F.lit(0.0))).alias("values")
-    )
+    columns = to_csc(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, most := max(1, (1 << 22) // n_rows)):
+                part = batch.slice(at, most)
+                idx, val = part.column(1), part.column(2)
+                own = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(idx.offsets)))
+                dense = np.zeros((part.num_rows, n_rows))
+                dense[own, np.asarray(idx.flatten())] = np.asarray(val.flatten())
+                offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * n_rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(dense.ravel()))], names=["col_id", "values"])
+
+    return columns.select(F.col("col_id").cast("long"), F.col("idx").cast("array<long>"), F.col("val").cast("array<double>")).mapInArrow(run, "col_id long, values array<double>")
 
 
 def byte_size(m: DataFrame, level: int, n_cols: int, value_bytes: int = 4, index_bytes: int = 8) -> DataFrame:

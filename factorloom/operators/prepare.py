@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.stats import average_rank, inverse_normal
+from ..session import cut
 
 
 def log_normalize(m: DataFrame, scale_factor: float = 1e4) -> DataFrame:
@@ -35,14 +36,14 @@ def group_codes(meta: DataFrame, column: str, ident: str = "sample_id") -> DataF
 
 
 def weight_by_split(m: DataFrame, codes: DataFrame) -> DataFrame:
-    """Scales each group's cells so that its total equals that of group 0; codes(sample_id, code)."""
+    """Scales each group's cells so that its total equals that of group 0, which must have cells; codes(sample_id, code)."""
     cells = m.join(codes.withColumnRenamed("sample_id", "col_id"), "col_id")
-    totals = cells.groupBy("code").agg(F.sum("value").alias("s"))
-    first = totals.where("code = 0").select(F.col("s").alias("s0"))
-    totals = totals.crossJoin(F.broadcast(first))  # one row
-    return cells.join(F.broadcast(totals), "code").select(
-        "row_id", "col_id", (F.when(F.col("code") == 0, F.col("value")).otherwise(F.col("value") / (F.col("s") / F.col("s0")))).alias("value")
-    )
+    totals = cut(cells.groupBy("code").agg(F.sum("value").alias("s")))
+    first = totals.where("code = 0").first()
+    if first is None and not totals.isEmpty():
+        raise ValueError("no sample of group 0 has cells")
+    scaled = F.col("value") / (F.col("s") / F.lit(first["s"] if first else 1.0))
+    return cells.join(totals, "code").select("row_id", "col_id", F.when(F.col("code") == 0, F.col("value")).otherwise(scaled).alias("value"))
 
 
 def select_features(m: DataFrame, features: DataFrame) -> DataFrame:
@@ -62,7 +63,12 @@ def rescale_spatial(coords: DataFrame) -> DataFrame:
     for axis in ("x", "y"):
         low_high = coords.agg(F.min(axis).alias("_a"), F.max(axis).alias("_b"))
         unit = coords.crossJoin(F.broadcast(low_high)).select(((F.col(axis) - F.col("_a")) / (F.col("_b") - F.col("_a"))).alias("u")).distinct()
-        step = unit.select((F.col("u") - F.lag("u").over(W.orderBy("u"))).alias("d")).agg(F.median("d").alias("_d"))
+        # in ranges: steps within each, and those from one range to the next
+        ranged = cut(unit.repartitionByRange("u").select("u", F.spark_partition_id().alias("p")))
+        within = ranged.select((F.col("u") - F.lag("u").over(W.partitionBy("p").orderBy("u"))).alias("d"))
+        edges = ranged.groupBy("p").agg(F.min("u").alias("lo"), F.max("u").alias("hi"))
+        between = edges.select((F.col("lo") - F.lag("hi").over(W.orderBy("lo"))).alias("d"))
+        step = within.unionByName(between).agg(F.median("d").alias("_d"))
         both = low_high.crossJoin(step)
         out = out.crossJoin(F.broadcast(both)).withColumn(axis, F.rint((F.col(axis) - F.col("_a")) / (F.col("_b") - F.col("_a")) * (1 / F.col("_d")))).drop("_a", "_b", "_d")
     return out
@@ -141,3 +147,11 @@ def majority(df: DataFrame, a: str, b: str) -> DataFrame:
     """The most frequent b of each a; ties go to the smallest."""
     counts = df.groupBy(a, b).agg(F.count("*").alias("n"))
     return counts.groupBy(a).agg(F.min_by(b, F.struct(-F.col("n"), F.col(b))).alias("label"), F.max("n").alias("n"))
+
+
+def quality_control(m: DataFrame, marked: DataFrame, least: int = 200, most: int = 2500, share: float = 0.05) -> DataFrame:
+    """The cells of samples with more than `least` and fewer than `most` features, of whose total the marked(row_id) features hold less than `share`."""
+    cells = m.join(marked.select("row_id", F.lit(1).alias("mark")), "row_id", "left")
+    sums = cells.groupBy("col_id").agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.sum(F.when(F.col("mark") == 1, F.col("value")).otherwise(0.0)).alias("t"))
+    kept = sums.where((F.col("n") > least) & (F.col("n") < most) & (F.col("t") < share * F.col("s"))).select("col_id")
+    return m.join(kept, "col_id", "left_semi").select("row_id", "col_id", "value")

@@ -356,6 +356,13 @@ def p15(spark, sf):
     return out
 
 
+@query("a12_quality_control", f"WITH {M}, q AS (SELECT col_id, COUNT(*) AS n, SUM(value) AS s, SUM(CASE WHEN p_brand = 'Brand#11' THEN value ELSE 0 END) AS t FROM m JOIN part ON p_partkey = row_id GROUP BY 1) SELECT row_id, col_id, value FROM m WHERE col_id IN (SELECT col_id FROM q WHERE n > 20 AND n < 60 AND t < 0.05 * s)")
+def quality_control(spark, sf):
+    """Customers with more than 20 and fewer than 60 parts, and less than 5 % of the quantity of one brand."""
+    marked = t(spark, sf, "part").where("p_brand = 'Brand#11'").select(F.col("p_partkey").alias("row_id"))
+    return prepare.quality_control(parts_customers(spark, sf), marked, 20, 60, 0.05)
+
+
 # --- kernels ------------------------------------------------------------------------------------
 
 
