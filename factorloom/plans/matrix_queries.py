@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import distances, rng
 from ..operators import matrix, prepare
 from ..session import cut, shared_dir
-from ..sources import matrix_io
+from ..sources import ivsparse, matrix_io
 from . import fit_sql
 from .fixtures import SEG, C, H, M, V, lattice, parts_customers, segments, shares, t, vectors
 
@@ -70,6 +70,15 @@ def s7(spark, sf):
 # --- compressed forms ---------------------------------------------------------------------------
 
 
+@query("s6_ivsparse", f"WITH {M} SELECT row_id, col_id, value FROM m")
+def s6(spark, sf):
+    """Written to the compressed binary file and read back."""
+    m, path = cut(parts_customers(spark, sf)), f"{shared_dir(spark)}.ivsparse"
+    top = m.agg(F.max("row_id"), F.max("col_id")).first()
+    ivsparse.write(m, path, top[0] + 1, top[1] + 1)
+    return ivsparse.read(spark, path, 1 << 16)
+
+
 @query("v1_from_csc", f"WITH {M} SELECT row_id, col_id, value FROM m")
 def v1(spark, sf):
     return matrix.from_csc(matrix.to_csc(parts_customers(spark, sf)))

@@ -89,3 +89,36 @@ def test_variance_prior_recovers_what_was_drawn():
     s2 = s0 * d0 / r.chisquare(d0, 20_000) * r.chisquare(df, 20_000) / df
     got = stats.fit_variance_prior(s2, df)
     assert got[0] == pytest.approx(d0, rel=0.1) and got[1] == pytest.approx(s0, rel=0.05)
+
+
+def test_compressed_file_bytes_and_round_trip(spark, tmp_path):
+    import struct
+
+    from factorloom.sources import ivsparse
+
+    cells = [(0, 0, 2.5), (7, 0, 2.5), (3, 0, -1.0), (300, 2, 2.5), (301, 2, 2.5), (0, 2, 4.0), (70_000, 4, 1.0)]
+    m = spark.createDataFrame(cells, "row_id long, col_id long, value double")
+    path = f"file://{tmp_path}/m.ivsparse"
+    ivsparse.write(m, path, 70_001, 6)
+    data = (tmp_path / "m.ivsparse").read_bytes()
+    first = struct.pack("<dB", -1.0, 1) + bytes([3, 0]) + struct.pack("<dB", 2.5, 1) + bytes([0, 7, 0])
+    third = struct.pack("<dBHHH", 2.5, 2, 300, 1, 0) + struct.pack("<dB", 4.0, 1) + bytes([0, 0])
+    fifth = struct.pack("<dB", 1.0, 3) + (70_000).to_bytes(3, "little") + bytes(3)
+    assert data == struct.pack("<6I", 3, 70_001, 6, 7, 0x01010108, 8) + struct.pack("<6Q", len(first), 0, len(third), 0, len(fifth), 0) + first + third + fifth
+    for at_once in (1 << 20, 10):
+        assert sorted(map(tuple, ivsparse.read(spark, path, at_once).collect())) == sorted(cells)
+    ivsparse.write(m.limit(0), path, 3, 2)
+    assert ivsparse.read(spark, path).collect() == []
+    assert ivsparse.show(m, 8, 2).splitlines()[0] == "2.5 0" and len(ivsparse.show(m, 8, 2).splitlines()) == 8
+    long = list(ivsparse.decode_column(ivsparse.encode_column([1.0], [2], [[0, *[300] * 5000]])))
+    assert (long[0][1] == 300 * np.arange(5001)).all()
+
+
+def test_group_balancing_needs_its_first_group(spark):
+    from factorloom.operators import prepare
+
+    m = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0)], "row_id long, col_id long, value double")
+    codes = spark.createDataFrame([(0, 1), (1, 2)], "sample_id long, code int")
+    with pytest.raises(ValueError):
+        prepare.weight_by_split(m, codes)
+    assert prepare.weight_by_split(m.limit(0), codes).collect() == []
