@@ -77,17 +77,17 @@ def pad(results: DataFrame) -> DataFrame:
 
 
 def heatmap(results: DataFrame, per_factor: int = 3, drop_common: bool = True) -> DataFrame:
-    """(set_id, factor, share, label): a factor's top sets by their share of -log10 padj among significant ones; sets significant in over half the factors go."""
+    """(set_id, factor, share, label): a factor's top sets by their share of -log10 padj among significant ones; of those picked, sets significant in over half the factors go."""
     score = -F.log10(F.greatest(F.coalesce("padj", F.lit(1.0)), F.lit(1e-300)))
     rows = pad(results).withColumn("score", score)
     by_set = W.partitionBy("set_id")
     rows = rows.withColumn("share", F.col("score") / F.nullif(F.sum("score").over(by_set), F.lit(0.0)))
     limit = -F.log10(F.lit(0.05))
     rows = rows.withColumn("hits", F.sum((F.col("score") > limit).cast("int")).over(by_set)).withColumn("k", F.count("*").over(by_set))
-    if drop_common:
-        rows = rows.where(F.col("hits") <= F.col("k") / 2)
     top = F.row_number().over(W.partitionBy("factor").orderBy(F.round("share", 9).desc(), "set_id"))
     picked = rows.where(F.col("score") > limit).withColumn("r", top).where(F.col("r") <= per_factor).select("set_id").distinct()
+    if drop_common:
+        rows = rows.where(F.col("hits") <= F.col("k") / 2)
     name = F.col("set_id").cast("string")
     label = F.when(F.length(name) > 48, F.concat(F.substring(name, 1, 45), F.lit("..."))).otherwise(name)
     return rows.join(picked, "set_id", "left_semi").select("set_id", "factor", "share", label.alias("label"))

@@ -553,10 +553,10 @@ def a6b(spark, sf):
 def _tested(spark, sf):
     """Made-up adjusted p-values with holes."""
     es = enrich.enrichment_scores(_weights(spark, sf), _sets(spark, sf), 3, 2000)
-    return es.select("set_id", "factor", F.pow(F.lit(10.0), -(F.col("n") % 4) - F.col("factor") / 2).alias("padj")).where("padj < 0.9")
+    return es.select("set_id", "factor", F.pow(F.lit(10.0), -((F.col("n") + 2 * F.col("factor")) % 4) - F.col("factor") / 10).alias("padj")).where("padj < 0.9")
 
 
-_PADJ = f"{_ES}, te AS (SELECT set_id, factor, power(10.0, -(n % 4) - factor / 2) AS padj FROM es WHERE power(10.0, -(n % 4) - factor / 2) < 0.9), pd AS (SELECT s.set_id, f.factor, padj FROM (SELECT DISTINCT set_id FROM te) s CROSS JOIN (SELECT DISTINCT factor FROM te) f LEFT JOIN te USING (set_id, factor))"
+_PADJ = f"{_ES}, te AS (SELECT set_id, factor, power(10.0, -((n + 2 * factor) % 4) - factor / 10) AS padj FROM es WHERE power(10.0, -((n + 2 * factor) % 4) - factor / 10) < 0.9), pd AS (SELECT s.set_id, f.factor, padj FROM (SELECT DISTINCT set_id FROM te) s CROSS JOIN (SELECT DISTINCT factor FROM te) f LEFT JOIN te USING (set_id, factor))"
 
 
 @query("a7_pad", f"WITH {_PADJ} SELECT set_id, CAST(factor AS INTEGER) AS factor, round(padj, 8) AS padj FROM pd")
@@ -564,12 +564,20 @@ def a7(spark, sf):
     return rounded(enrich.pad(_tested(spark, sf)), "padj", digits=8)
 
 
-@query("a9_heatmap", f"""WITH {_PADJ}, sc AS (SELECT *, -log10(COALESCE(padj, 1)) AS s FROM pd), sh AS (SELECT *, s / NULLIF(SUM(s) OVER (PARTITION BY set_id), 0) AS share, COUNT(*) FILTER (s > -log10(0.05)) OVER (PARTITION BY set_id) AS hits, COUNT(*) OVER (PARTITION BY set_id) AS k FROM sc),
-ok AS (SELECT * FROM sh WHERE hits <= k), tp AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY factor ORDER BY round(share, 9) DESC, set_id) AS r FROM ok WHERE s > -log10(0.05)) SELECT set_id, CAST(factor AS INTEGER) AS factor, round(share, 6) AS share, set_id AS label FROM ok WHERE set_id IN (SELECT set_id FROM tp WHERE r <= 3)""")
+_HEATMAP = f"""WITH {_PADJ}, sc AS (SELECT *, -log10(COALESCE(padj, 1)) AS s FROM pd), sh AS (SELECT *, s / NULLIF(SUM(s) OVER (PARTITION BY set_id), 0) AS share, COUNT(*) FILTER (s > -log10(0.05)) OVER (PARTITION BY set_id) AS hits, COUNT(*) OVER (PARTITION BY set_id) AS k FROM sc),
+tp AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY factor ORDER BY round(share, 9) DESC, set_id) AS r FROM sh WHERE s > -log10(0.05)) SELECT set_id, CAST(factor AS INTEGER) AS factor, round(share, 6) AS share, set_id AS label FROM sh WHERE set_id IN (SELECT set_id FROM tp WHERE r <= 3)"""
+
+
+@query("a9_heatmap_all", _HEATMAP)
 def a9(spark, sf):
     return rounded(enrich.heatmap(_tested(spark, sf), drop_common=False), "share")
 
 
+@query("a9_heatmap", _HEATMAP + " AND hits <= k / 2")
+def a9_specific(spark, sf):
+    return rounded(enrich.heatmap(_tested(spark, sf)), "share")
+
+
 def flagship(spark, sf):
     """Parts x customers, log-normalized, balanced by market segment, factorized with rank 4, summed up by segment."""
     codes = prepare.group_codes(segments(spark, sf), "level")
