@@ -82,21 +82,30 @@ _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(
 _NAMES = ["conv_id", "turn_no", "rendered", "loss_start", "loss_end", "assistant"]
 
 
-def digests(turns: DataFrame) -> DataFrame:
-    """Per conversation, read back from the renderings: they are parsed, and hashed as they stream by."""
+def digests(turns: DataFrame, in_order: bool = False) -> DataFrame:
+    """Per conversation, read back from the renderings: they are parsed, and hashed as they stream by.
+
+    in_order: the turns come straight from format_turns, each conversation in one task and in order. It is
+    relied on only as far as it can be seen: a turn out of place raises.
+    """
+    if not in_order:
+        turns = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = object(), None
+        now, state, due = object(), None, 0
 
         def done() -> list:
             return [] if state is None else [(now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])]
 
         for batch in batches:
             out = []
-            for conv, rendered, a, b in zip(*(column(batch, c) for c in ("conv_id", "rendered", "loss_start", "loss_end"))):
+            for conv, number, rendered, a, b in zip(*(column(batch, c) for c in ("conv_id", "turn_no", "rendered", "loss_start", "loss_end"))):
                 if state is None or conv != now:
                     out += done()
-                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    now, state, due = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0], 0
+                if number != due:
+                    raise ValueError(f"turn {number} of conversation {conv} is out of place")
+                due += 1
                 for role, text in parse(rendered):
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())

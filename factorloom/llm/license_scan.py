@@ -12,6 +12,8 @@ repeated rows, empty tables give none, other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,6 +41,7 @@ NOTICES = (
     ("redistribution and use in source and binary forms", "bsd", 4),
     ("creative commons attribution", "cc-by", 3),
 )
+_BLANK = re.compile(b" ")
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
     "score double, spans array<struct<label:string,start_word:long,end_word:long,edits:int>>"
@@ -89,10 +92,18 @@ def scan(text: bytes, phrases: list[tuple[bytes, str]], notices: list[Notice]) -
     words = text.translate(WORD_TABLE).split()
     joined = b" " + b" ".join(words) + b" "
     places, base, spans, score = [], set(), [], 0.0
+    ends: list[int] = []  # places of the blanks, once a match asks for word numbers
+
+    def blanks(at: int) -> int:
+        """Blanks before a place."""
+        if not ends:
+            ends.extend(m.start() for m in _BLANK.finditer(joined))
+        return bisect.bisect_left(ends, at)
+
     for phrase, label in phrases:
         at = joined.find(phrase)
         while at >= 0:
-            first = joined.count(b" ", 0, at)
+            first = blanks(at)
             places.append(first)
             base.add(label)
             spans.append((label, first, first + phrase.count(b" ") - 1, 0))
@@ -103,8 +114,8 @@ def scan(text: bytes, phrases: list[tuple[bytes, str]], notices: list[Notice]) -
         for a, b, edits in notice.find(joined):
             labels.add(notice.label)
             score = max(score, 1 - edits / len(notice.text))
-            first = joined.count(b" ", 0, a) - (joined[a : a + 1] != b" ")
-            last = joined.count(b" ", 0, b) - 1 - (joined[b - 1 : b] == b" ")
+            first = blanks(a) - (joined[a : a + 1] != b" ")
+            last = blanks(b) - 1 - (joined[b - 1 : b] == b" ")
             spans.append((notice.label, first, last, edits))
     return {
         "n_words": len(words), "n_base": len(places), "first_word": min(places, default=None),

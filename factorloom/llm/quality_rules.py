@@ -30,7 +30,7 @@ D = len(FLOORS)
 #: the squared distance with tail 1e-5 there.
 SHARE, CONSISTENCY, CUTOFF = 0.75, 1.486, 28.5
 #: Bins a unit of the first medians, and the fall of a log determinant that counts as none.
-BINS, TOLERANCE = 64, 1e-6
+BINS, TOLERANCE = 64, 1e-3
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def quality_rules(docs: DataFrame, share: float = SHARE, cutoff: float = CUTOFF,
     big = cut(big)
     good = named(good).select("g", *[f"x{i}" for i in range(D)])
     plain = _estimate(good.groupBy("g", F.lit(0).alias("start")).agg(*_moments()), 1.0)
-    estimate, before = cut(plain.drop("log_det").unionByName(_robust_start(good))), None
+    estimate, best = cut(plain.drop("log_det").unionByName(_robust_start(good))), None
     while True:
         bin_ = F.floor(16 * F.log2(F.greatest(_distance(), F.lit(1e-9)))).cast("int")
         sums = good.join(estimate, "g").groupBy(*KEYS, bin_.alias("bin")).agg(*_moments())
@@ -160,14 +160,18 @@ def quality_rules(docs: DataFrame, share: float = SHARE, cutoff: float = CUTOFF,
         sums = sums.withColumn("take", nearer < share * F.sum("n").over(own)).where("take")
         sums = sums.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in sums.columns if c not in (*KEYS, "bin", "take")])
         estimate = cut(_estimate(sums, CONSISTENCY))
-        # determinants fall or stay: once none falls, all have settled
-        if before is not None:
-            fall = before.join(estimate.select(*KEYS, F.col("log_det").alias("now")), KEYS).agg(F.max(F.col("log_det") - F.col("now"))).first()[0]
+        # the bins make a step inexact, so the least determinant so far is what counts; once none falls, all have settled
+        if best is not None:
+            both = best.join(estimate.select(*KEYS, F.struct("log_det", *_parameters()).alias("now")), KEYS)
+            fall = both.agg(F.max(F.col("log_det") - F.col("now.log_det"))).first()[0]
             if fall is None or fall <= TOLERANCE:
                 break
-        before = estimate
-    best = F.min_by(F.struct(*_parameters()), F.struct("log_det", "start")).alias("e")
-    estimate = cut(estimate.groupBy("g").agg(best).select("g", "e.*"))
+            then = F.struct("log_det", *_parameters())
+            best = cut(both.select(*KEYS, F.when(F.col("now.log_det") < F.col("log_det"), F.col("now")).otherwise(then).alias("e")).select(*KEYS, "e.*"))
+        else:
+            best = estimate
+    first = F.min_by(F.struct(*_parameters()), F.struct("log_det", "start")).alias("e")
+    estimate = cut(best.groupBy("g").agg(first).select("g", "e.*"))
     judged = named(rows).join(estimate, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -25,7 +25,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat_format.digests(chat_format.format_turns(rows.unionByName(chat_format.probe(spark))))
+    return chat_format.digests(chat_format.format_turns(rows.unionByName(chat_format.probe(spark))), in_order=True)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,7 +90,7 @@ def read_segment(read) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     magic, docs, n, n_symbols, blocks, n_words, crc = _HEAD.unpack(head)
     if magic != MAGIC:
         raise ValueError("not a segment")
-    layout = (("<i8", docs), ("<u8", docs), ("<u4", n_symbols), ("<u2", n_symbols), ("<u8", blocks), ("<u4", blocks), ("<u4", blocks), ("<u4", blocks * LANES), ("<u2", n_words))
+    layout = _layout(docs, n_symbols, blocks, n_words)
     parts, have = [], 0
     for kind, count in layout:
         data = read(np.dtype(kind).itemsize * count)
@@ -105,6 +105,28 @@ def read_segment(read) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     return doc_ids, sizes.astype(np.int64), ids
 
 
+def _layout(docs: int, n_symbols: int, blocks: int, n_words: int) -> tuple[tuple[str, int], ...]:
+    return ("<i8", docs), ("<u8", docs), ("<u4", n_symbols), ("<u2", n_symbols), ("<u8", blocks), ("<u4", blocks), ("<u4", blocks), ("<u4", blocks * LANES), ("<u2", n_words)
+
+
+def read_blocks(segment: bytes | memoryview, which: list[int]) -> list[np.ndarray]:
+    """The ids of some blocks of a segment, from their checkpoints: neither other blocks' words nor the segment's checksum are looked at."""
+    magic, docs, _, n_symbols, blocks, n_words, _ = _HEAD.unpack(segment[: _HEAD.size])
+    if magic != MAGIC:
+        raise ValueError("not a segment")
+    at, parts = _HEAD.size, []
+    for kind, count in _layout(docs, n_symbols, blocks, n_words):
+        parts.append(np.frombuffer(segment, kind, count, at))
+        at += np.dtype(kind).itemsize * count
+    _, _, symbols, freq, first, n_ids, crcs, states, words = parts
+    stop = np.append(first, n_words)[1:].astype(np.int64)
+    out = []
+    for b in which:
+        own = words[int(first[b]) : int(stop[b])]
+        out.append(decode_blocks(symbols, freq.astype(np.int64) + 1, np.zeros(1, np.int64), n_ids[b : b + 1], crcs[b : b + 1], states[b * LANES : (b + 1) * LANES], own))
+    return out
+
+
 def decode_blocks(symbols, freq, first, n_ids, crcs, states, words) -> np.ndarray:
     """The ids of some blocks of a segment (all arrays but symbols, freq and words hold those blocks' entries)."""
     blocks = len(n_ids)
@@ -132,6 +154,8 @@ def decode_blocks(symbols, freq, first, n_ids, crcs, states, words) -> np.ndarra
         state = np.where(need, (after << shift) | padded[np.where(need, place, 0)], after)
         at += taken[:, -1]
         out[step] = s
+    if (state != floor).any():
+        raise ValueError("a block does not end where it began")
     grid = out.reshape(STEPS, blocks, LANES).transpose(1, 0, 2).reshape(blocks, BLOCK)
     parts = [symbols[grid[b, : n_ids[b]]] for b in range(blocks)]
     for part, crc in zip(parts, crcs):

@@ -16,7 +16,8 @@ bytes behind the trigger, whose hash is the block's key.
    own 128-bit hashes, and equal ones fold before they are sent.
 4. Each document's repeated windows are joined and cut out.
 
-Hashes have 128 bits. Null texts are empty. Rows with equal doc_id and text are separate places that repeat each other;
+What suffix order decides are the windows of keys with several different blocks (up to `hot`); equal blocks, windows without a
+trigger (the second trigger table leaves few) and the windows of hot keys are decided by their hashes, of 128 bits each. Rows are told apart by as many. Null texts are empty. Rows with equal doc_id and text are separate places that repeat each other;
 rows with equal doc_id and different texts are told apart. An empty table gives no rows; other columns are ignored.
 """
 
@@ -31,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, cut, map_arrow, text_bytes
-from .hashing import _TABLE as _FIRST
 from .hashing import mix, powers
 
 WIDTH = 8
@@ -408,12 +408,23 @@ def _lot(rows: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
         yield _rows(out, ("uid", "kind", "payload"))
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """rows(uid, doc_id, text) with new uids where different rows share one; 128 bits tell rows apart. Of narrow rows, and most often none clash."""
+    second = F.xxhash64(F.lit(1), "text", F.lit(2), "doc_id")
+    pairs = rows.select("uid", second.alias("second"))
+    clash = cut(pairs.groupBy("uid").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a <> b").select("uid"))
+    if clash.isEmpty():
+        return rows
+    new = F.when(F.col("clash"), F.xxhash64(F.lit(3), "uid", second)).otherwise(F.col("uid"))
+    return rows.join(clash.withColumn("clash", F.lit(True)), "uid", "left").select(new.alias("uid"), "doc_id", "text")
+
+
 def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 4096, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs(doc_id, text); with texts also kept, the remaining bytes."""
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text")
+    rows = _told_apart(rows.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text"))
     found = cut(_meet(_first_pass(rows.select("uid", "text"), length, buckets), length, buckets, hot))
     asked = found.where(F.col("kind") != INTERVALS).groupBy("uid").agg(
         F.collect_list(F.when(F.col("kind") == ASKED, F.col("payload"))).alias("plain"),

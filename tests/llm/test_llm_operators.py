@@ -56,6 +56,12 @@ def test_repeats_match_brute_force(docs, hot):
     assert sorted(map(tuple, got), key=str) == brute_repeats(rows, 200)
 
 
+def test_rows_that_share_a_number_are_told_apart(spark):
+    rows = spark.createDataFrame([(7, 1, "a"), (7, 2, "b"), (7, 1, "a"), (8, 3, "c"), (7, None, "b")], "uid long, doc_id long, text string")
+    got = suffix_dedup._told_apart(rows).collect()
+    assert len(got) == 5 and len({r.uid for r in got}) == 4 and len({r.uid for r in got if r.doc_id == 1}) == 1 and [r.uid for r in got if r.doc_id == 3] == [8]
+
+
 def test_repeats_of_an_empty_table(docs):
     assert suffix_dedup.remove_repeats(docs([])).collect() == []
 
@@ -96,6 +102,10 @@ def test_license_notices_with_edits(docs):
     assert got[1].labels == "apache" and got[2].labels == "gpl" and got[2].base_labels == "" and 0.8 < got[2].score < 1
     assert got[3].labels == got[4].labels == "" and got[3].score == 0
     assert (got[2].spans[0].start_word, got[2].spans[0].end_word) == (0, 3)
+    assert license_scan.license_scan(docs([])).collect() == []
+    assert [r.labels for r in license_scan.license_scan(docs(rows, extra=True)).collect()] == [got[i].labels for i, _ in rows]
+    many = license_scan.license_scan(docs([(1, "the mit license " * 30_000)])).first()
+    assert (many.n_base, many.first_word, many.last_word) == (30_000, 1, 89_998)
 
 
 # --- chat format ----------------------------------------------------------------------------------
@@ -120,6 +130,15 @@ def test_chat_round_trip(spark):
     assert got[1].turns_sha256 == hashlib.sha256("".join(f"assistant\n{t}\n" for t in one).encode()).hexdigest()
     assert got[-1].n_turns == 2 and got[-1].loss_chars == 34
     assert chat_format.digests(chat_format.format_turns(table.limit(0))).collect() == []
+    shuffled = chat_format.digests(turns.orderBy(F.xxhash64("rendered"))).collect()
+    assert sorted(map(str, shuffled)) == sorted(map(str, got.values())) == sorted(map(str, chat_format.digests(turns, in_order=True).collect()))
+    with pytest.raises(Exception, match="out of place"):
+        chat_format.digests(turns.coalesce(1).sortWithinPartitions(F.desc("turn_no")), in_order=True).collect()
+    clash = table.withColumn("turn_no", F.lit(1)).withColumn("rendered", F.lit("x")).withColumn("assistant", F.lit("y"))
+    assert sorted(map(str, chat_format.digests(chat_format.format_turns(clash)).collect())) == sorted(map(str, got.values()))
+    long = "<|im_end|>" * 100_000
+    one = spark.createDataFrame([(1, 0, "assistant", long)], table.schema)
+    assert chat_format.digests(chat_format.format_turns(one)).first().loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
 
 
 # --- pii ------------------------------------------------------------------------------------------
@@ -372,11 +391,13 @@ def test_robust_distances_equal_a_numpy_twin(docs):
             order = np.sort(bins)
             top = order[int(np.ceil(quality_rules.SHARE * len(order))) - 1]
             starts[k] = estimate(x[ok][bins <= top], quality_rules.CONSISTENCY)
-        now = [np.linalg.slogdet(cov)[1] for _, cov in starts]
-        if before is not None and max(p - q for p, q in zip(before, now)) <= quality_rules.TOLERANCE:
-            break
+        now = [(np.linalg.slogdet(cov)[1], k, mean, cov) for k, (mean, cov) in enumerate(starts)]
+        if before is not None:
+            if max(p[0] - q[0] for p, q in zip(before, now)) <= quality_rules.TOLERANCE:
+                break
+            now = [min(x, key=lambda e: e[0]) for x in zip(before, now)]
         before = now
-    mean, cov = starts[int(np.argmin(now))]
+    _, _, mean, cov = min(before, key=lambda e: e[:2])
     for d, fine, (i, _) in zip(distances(mean, cov), ok, rows):
         if fine:
             assert got[i].distance == pytest.approx(d, rel=1e-6, abs=1e-9) and got[i].kept == (d <= quality_rules.CUTOFF)
@@ -484,6 +505,43 @@ def test_rans_round_trip_and_damage():
         rans.read_segment(io.BytesIO(bytes(spoilt)).read)
 
 
+def test_single_blocks_from_their_checkpoints():
+    r = np.random.default_rng(2)
+    ids = (r.zipf(1.3, 3 * rans.BLOCK + 1000) % 49408).astype(np.uint32)
+    blob = rans.encode_segment(np.array([1, 2]), np.array([5, len(ids) - 5]), ids)
+    for which in ([3], [1], [2, 0]):
+        for b, got in zip(which, rans.read_blocks(blob, which)):
+            assert (got == ids[b * rans.BLOCK : (b + 1) * rans.BLOCK]).all()
+    spoilt = bytearray(blob)
+    spoilt[-3] ^= 1  # in the last block's words
+    assert (rans.read_blocks(bytes(spoilt), [1])[0] == ids[rans.BLOCK : 2 * rans.BLOCK]).all()
+    with pytest.raises(ValueError):
+        rans.read_blocks(bytes(spoilt), [3])
+
+
+def test_a_repeated_attempt_replaces_its_file(tmp_path):
+    from pyarrow import fs
+
+    class Strict:
+        """A file system that does not rename onto a file, as some shared ones."""
+
+        def __init__(self):
+            self.real = fs.LocalFileSystem()
+
+        def move(self, a, b):
+            if self.real.get_file_info(b).type == fs.FileType.File:
+                raise OSError("exists")
+            self.real.move(a, b)
+
+        def delete_file(self, a):
+            self.real.delete_file(a)
+
+    for text in ("one", "two"):
+        (tmp_path / "t").write_text(text)
+        token_output._put(Strict(), str(tmp_path / "t"), str(tmp_path / "f"))
+    assert (tmp_path / "f").read_text() == "two"
+
+
 def test_frequencies():
     for counts in ([1], [1, 10**9], [1] * 65536, [5] * 40000 + [10**8]):
         f = rans.frequencies(np.array(counts))
