@@ -291,6 +291,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     order = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "h1", "h2")
     distinct = cut(prints.groupBy("fp").agg(F.min(order).alias("row")))
     kept = distinct.join(roots(distinct, **options), "fp").groupBy("root").agg(F.min("row").alias("row"))
-    plain = lambda c: F.struct(F.coalesce(f"{c}.doc_id", F.lit(0)), f"{c}.named", f"{c}.h1", f"{c}.h2")
-    kept = cut(kept.select(plain("row").alias("key")))
-    return keyed.select(plain("row").alias("key"), "doc").join(kept, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
+    # plain columns as keys, so that the join's partitioning serves what follows it
+    keys = {"k0": F.coalesce("row.doc_id", F.lit(0)), "k1": F.col("row.named"), "k2": F.col("row.h1"), "k3": F.col("row.h2")}
+    kept = cut(kept.select(*[c.alias(k) for k, c in keys.items()]))
+    return keyed.select(*[c.alias(k) for k, c in keys.items()], "doc").join(kept, [*keys], "left_semi").dropDuplicates([*keys]).select("doc.*")
