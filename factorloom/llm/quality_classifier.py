@@ -30,6 +30,7 @@ from .common import column, cut, map_arrow, text_bytes
 from .hashing import mix, word_hashes
 
 BITS, NOTHING, SMOOTH = 18, -1e9, 1.0
+CHUNK, COUNTS = 1 << 9, "chunk long, raw binary, target binary"
 
 
 @dataclass
@@ -88,15 +89,26 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000, tail: floa
                     np.add.at(sums[0], each, 1)
                     if own:
                         np.add.at(sums[1], each, 1)
-        used = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0][used]), pa.array(sums[1][used])], names=["bucket", "raw", "target"])
+        parts = sums.reshape(2, -1, CHUNK)
+        used = np.flatnonzero(parts[0].any(axis=1))
+        yield _counts(used, parts[:, used])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, raw, target in zip(*(c.to_pylist() for c in batch.columns)):
+                both = np.stack([np.frombuffer(raw, "<i8"), np.frombuffer(target, "<i8")])
+                total[at] = total[at] + both if at in total else both
+        if total:
+            yield _counts(np.array(list(total)), np.stack(list(total.values()), 1))
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    counts = map_arrow(rows, count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    table = counts.toArrow()  # a row per bucket: 2**19 at most
+    # counts travel as arrays of CHUNK buckets: a task has nothing to fold before it sends them
+    counts = map_arrow(rows, count, COUNTS).repartition("chunk")
     raw, target = np.zeros(2 * size), np.zeros(2 * size)
-    bucket = table.column("bucket").to_numpy()
-    raw[bucket], target[bucket] = table.column("raw").to_numpy(), table.column("target").to_numpy()
+    for row in map_arrow(counts, add_up, COUNTS).collect():  # 2**19 buckets at most
+        at = slice(row["chunk"] * CHUNK, (row["chunk"] + 1) * CHUNK)
+        raw[at], target[at] = np.frombuffer(row["raw"], "<i8"), np.frombuffer(row["target"], "<i8")
     raw, target = raw.reshape(2, size), target.reshape(2, size)
     model = Model(log_ratios(target, raw, shrink).astype(np.float32), NOTHING, seed)
     if len(good) and len(held_out):
@@ -110,6 +122,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_rows: int = 20_000, tail: floa
     return model
 
 
+def _counts(chunks: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    raw, target = ([x.tobytes() for x in np.ascontiguousarray(c, "<i8")] for c in counts)
+    return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(raw, pa.binary()), pa.array(target, pa.binary())], names=["chunk", "raw", "target"])
+
+
 def _threshold(good: np.ndarray, bad: np.ndarray, tail: float, margin: float) -> float:
     """The low end of the good weights, and below it half of the way to the next bad one, margin at most: noise then tips no clean text over."""
     least = _low(good, tail)
