@@ -20,6 +20,8 @@ WORD_TABLE = bytes(
     (b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256)
 )
 END_ID = 1
+#: Bytes of an Arrow batch.
+BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -28,10 +30,20 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    ship(df.sparkSession)
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str, encodes: bool = False) -> DataFrame:
+    """mapInArrow; a task that doesn't encode drops the pieces that earlier tasks of its worker have kept.
+
+    Batches are held to BATCH_BYTES by the session's setting: with thousands of rows each, long texts would fill both sides' memory.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if int(spark.conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encodes:
+            _ENCODERS.clear()
+            _give_back()
         yield from f(batches)
         _give_back()
 
@@ -61,7 +73,7 @@ def column(batch: pa.RecordBatch, name: str) -> list:
 
 _PLAIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
 #: Bytes of texts that are hashed at a time, and of the longest piece that is kept.
-_GROUP, _LONGEST = 1 << 21, 200
+_GROUP, _LONGEST = 1 << 20, 200
 
 
 def _byte_letters() -> dict[int, int]:
@@ -81,7 +93,7 @@ class TextEncoder:
     piece, `limit` pieces at most, after which the store starts anew.
     """
 
-    def __init__(self, path: str, limit: int = 3_000_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -181,7 +181,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, chunk: int = 204
         if packer.out:
             yield emit()
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA, encodes=True)
 
 
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]

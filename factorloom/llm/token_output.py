@@ -73,7 +73,7 @@ def write(docs: DataFrame, directory: str, tokenizer: str) -> DataFrame:
                 n_bytes = sink.tell()
                 sink.close()
                 sink = None
-                place.move(temporary, f"{root}/{name}")
+                _put(place, temporary, f"{root}/{name}")
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (name, pa.string()), (docs_out, pa.int64()), (ids_out, pa.int64()), (n_bytes, pa.int64()))], names=["part", "file", "n_docs", "n_ids", "n_bytes"])
         finally:
             if sink is not None:
@@ -82,7 +82,16 @@ def write(docs: DataFrame, directory: str, tokenizer: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return map_arrow(rows, run, MANIFEST)
+    return map_arrow(rows, run, MANIFEST, encodes=True)
+
+
+def _put(place: fs.FileSystem, temporary: str, final: str) -> None:
+    """Renames a whole file; what another attempt of the task has left there, which is the same, gives way."""
+    try:
+        place.move(temporary, final)
+    except OSError:
+        place.delete_file(final)
+        place.move(temporary, final)
 
 
 def read(manifest: list, directory: str, spark) -> DataFrame:
