@@ -108,6 +108,20 @@ def test_license_notices_with_edits(docs):
     assert (many.n_base, many.first_word, many.last_word) == (30_000, 1, 89_998)
 
 
+def test_every_notice_within_its_edits_is_found():
+    r = random.Random(8)
+    notices = [license_scan.Notice(*x) for x in license_scan.NOTICES]
+    for notice in notices:
+        for _ in range(40):
+            text = list(notice.text.decode())
+            for _ in range(r.randint(0, notice.edits)):
+                at = r.randrange(1, len(text) - 1)
+                kind = r.randrange(3)
+                text[at : at + (kind != 0)] = [] if kind == 1 else [r.choice("etaoinsrhl")]
+            found = license_scan.scan((prose(20, r.random()) + " " + "".join(text) + " " + prose(20, r.random())).encode(), [], [notice])
+            assert found["labels"] == notice.label and found["spans"]
+
+
 # --- chat format ----------------------------------------------------------------------------------
 
 
@@ -253,6 +267,26 @@ def test_leaks_in_other_letters_names_units_and_short_items(spark, docs):
     assert got == {1: "0", 2: "0", 3: "0", 4: "1", 5: "2", 6: "3", 7: "", 8: "", 9: "", 10: "", 11: "1"}
 
 
+def test_new_parameters_are_seen_through(spark, docs):
+    r = random.Random(9)
+    names, units = ["Tom", "Anna", "Maria", "Otto", "Lena", "Ulla"], ["kg", "km", "hours", "dollars", "miles"]
+
+    def fill(frame):
+        own = r.sample(names, 2)
+        return " ".join(own[int(w[1])] if w[0] == "N" else str(r.randint(2, 99)) if w == "#" else r.choice(units) if w == "U" else w for w in frame)
+
+    frames = []
+    for k in range(40):
+        words = prose(r.randint(14, 30), 4000 + k).split()
+        for w in ("N0", "N1", "#", "#", "# U", "N0"):
+            words.insert(r.randrange(len(words)), w)
+        frames.append(" ".join(words).split())
+    items = [(k, fill(f)) for k, f in enumerate(frames)]
+    rows = [(k, prose(30, k) + ". " + fill(f) + ". " + prose(30, k + 50)) for k, f in enumerate(frames)] + [(100 + k, prose(90, 9000 + k)) for k in range(40)]
+    got = {x.doc_id: x.item_ids for x in decontaminate.decontaminate(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum(got[k] == str(k) for k in range(40)) >= 36 and not any(got[100 + k] for k in range(40))
+
+
 def test_leaks_of_null_and_repeated_ids(spark, docs, tmp_path):
     import corpus_pipeline
 
