@@ -109,7 +109,9 @@ class TextEncoder:
         self._reset()
 
     def _reset(self) -> None:
+        #: hashes in order, and which entry of the other arrays is each one's
         self.keys = np.zeros(0, np.uint64)
+        self.slot = np.zeros(0, np.int32)
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
@@ -224,15 +226,21 @@ class TextEncoder:
             upto = size.cumsum(dtype=np.int32)
             at = len(self.bytes) + upto - size
             self.bytes = np.concatenate([self.bytes, lower[np.repeat(start[new].astype(np.int32) - (upto - size), size) + np.arange(upto[-1], dtype=np.int32)]])
-            keys = np.concatenate([self.keys, distinct[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys = keys[order]
-            self.first = np.concatenate([self.first, first])[order]
-            self.count = np.concatenate([self.count, count])[order]
-            self.at = np.concatenate([self.at, at.astype(np.int32)])[order]
-            self.size = np.concatenate([self.size, size])[order]
+            slot = np.arange(len(self.first), len(self.first) + len(new), dtype=np.int32)
+            self.first = np.concatenate([self.first, first])
+            self.count = np.concatenate([self.count, count])
+            self.at = np.concatenate([self.at, at.astype(np.int32)])
+            self.size = np.concatenate([self.size, size])
+            # both are sorted: the new keys go in between the others
+            into = place[new] + np.arange(len(new))
+            old = np.ones(len(self.keys) + len(new), bool)
+            old[into] = False
+            for name, values in (("keys", distinct[new]), ("slot", slot)):
+                merged = np.empty(len(old), values.dtype)
+                merged[old], merged[into] = getattr(self, name), values
+                setattr(self, name, merged)
             place = np.searchsorted(self.keys, distinct)
-        return place
+        return self.slot[place]
 
 
 def _powers(base: int, n: int) -> np.ndarray:
