@@ -318,12 +318,12 @@ def m17(spark, sf):
     return _factors(nmf.project_matrix(parts_customers(spark, sf), model.w, reorder=True))
 
 
-@query("m16_project_stream", f"WITH {_A}, {fit_sql.fit(1)}, {fit_sql.half('pr', 'col_id', 'w1')} {fit_sql.factors('pr', 'w1_d', 2)}")
+@query("m16_project_stream", f"WITH {_A}, {fit_sql.fit(1)}, {fit_sql.half('pr', 'col_id', 'w1')} {fit_sql.factors('pr', 'w1_d', 1)}")
 def m16_stream(spark, sf):
     """The batch form of the stream's function: the same rows in either."""
     model = nmf.run_nmf(normalized(spark, sf), 2, tol=0.0, maxit=1)
     out = stream.project_stream(nmf.blocks(nmf.cut(normalized(spark, sf)), "col_id").rows, model)
-    return out.select(F.col("id").alias("sample_id"), F.posexplode("weights").alias("factor", "weight")).withColumn("weight", F.round("weight", 2))
+    return out.select(F.col("id").alias("sample_id"), F.posexplode("weights").alias("factor", "weight")).withColumn("weight", F.round("weight", 1))
 
 
 @query("s2_pipeline", _FIT2)
