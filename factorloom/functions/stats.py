@@ -70,15 +70,16 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def t_cdf(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """Student's t; infinite degrees of freedom are the normal distribution."""
+    """Student's t; infinite degrees of freedom are the normal distribution. NaN without degrees of freedom."""
     t, df = (np.array(v, float) for v in np.broadcast_arrays(t, df))
     shape, t, df = t.shape, t.ravel(), df.ravel()
-    normal = np.isinf(df)
-    n = np.where(normal, 1.0, df)
+    normal, none = np.isinf(df), np.isnan(t) | ~(df > 0)
+    n = np.where(normal | none, 1.0, df)
     tail = 0.5 * incomplete_beta(n / 2, np.full_like(n, 0.5), n / (n + t * t))
     out = np.where(t > 0, 1 - tail, tail)
     if normal.any():
         out[normal] = _each(_NORMAL.cdf, t[normal])
+    out[none] = np.nan
     return out.reshape(shape)
 
 

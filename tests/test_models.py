@@ -1,11 +1,18 @@
 """Factorizations, graphs and summaries against numpy twins and invariants."""
 
+import math
+import time
+from concurrent.futures import ThreadPoolExecutor
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from factorloom import session
 from factorloom.functions import kernels, rng
 from factorloom.operators import annotate, enrich, graph, matrix, nmf, prepare, rank
+from factorloom.sources import matrix_io
 
 
 @pytest.fixture(scope="module")
@@ -198,3 +205,15 @@ def test_stream_equals_batch(spark, data, tmp_path):
     got = {r.id: r.weights for r in spark.table("projected").collect()}
     want = {r.id: r.weights for r in project_stream(rows, model).collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[i], want[i]) for i in got)
+
+
+def test_moderated_takes_factors_and_groups_without_variance(spark):
+    h = spark.createDataFrame([(i, f, w) for i in range(12) for f, w in ((0, 0.1 * (i % 5) + i // 6), (1, 0.0))], "sample_id long, factor int, weight double")
+    groups = spark.range(12).select(F.col("id").alias("sample_id"), F.when(F.col("id") < 6, "a").otherwise("b").alias("level"))
+    rows = annotate.model_results(annotate.moderated(annotate.model_fit(h, groups)), noneg=False).collect()
+    assert len(rows) == 4 and all((r["fc"] is None and r["p"] is None) == (r["factor"] == 1) for r in rows)
+    constant = h.select("sample_id", "factor", F.when(F.col("sample_id") < 6, 1.0).otherwise(0.0).alias("weight"))
+    rows = annotate.model_results(annotate.moderated(annotate.model_fit(constant, groups)), noneg=False).collect()
+    assert all((r["p"] == 0) == (r["group"] == "a") and math.isfinite(r["fc"]) for r in rows)
+    alone = groups.select("sample_id", F.col("sample_id").cast("string").alias("level"))
+    assert all(r["fc"] is None for r in annotate.model_results(annotate.moderated(annotate.model_fit(h, alone)), noneg=False).collect())
