@@ -217,3 +217,11 @@ def test_moderated_takes_factors_and_groups_without_variance(spark):
     assert all((r["p"] == 0) == (r["group"] == "a") and math.isfinite(r["fc"]) for r in rows)
     alone = groups.select("sample_id", F.col("sample_id").cast("string").alias("level"))
     assert all(r["fc"] is None for r in annotate.model_results(annotate.moderated(annotate.model_fit(h, alone)), noneg=False).collect())
+
+
+def test_fits_side_by_side_ship_the_package_once():
+    sent = []
+    context = SimpleNamespace(applicationId="app-of-the-test", addPyFile=lambda path: (time.sleep(0.1), sent.append(path)))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda _: session.ship(SimpleNamespace(sparkContext=context)), range(4)))
+    assert len(sent) == 1
