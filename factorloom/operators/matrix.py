@@ -42,10 +42,10 @@ def from_dense(vectors: DataFrame, ident: str, values: str, row_major: bool = Fa
     return cells.select(F.col("b" if not row_major else "a").cast("long").alias("row_id"), F.col("a" if not row_major else "b").cast("long").alias("col_id"), F.col("value").cast("double").alias("value")).where("value <> 0")
 
 
-def rle_decode(runs: DataFrame, keys: Sequence[str] = (), value: str = "value", n: str = "n", at: str = "at") -> DataFrame:
-    """Runs (value, n) in order of `at` to single values with their place: a column's run-length coding undone."""
+def rle_decode(runs: DataFrame, keys: Sequence[str] = (), value: str = "value", n: str = "n", at: str = "at", where: str = "true") -> DataFrame:
+    """Runs (value, n) in order of `at` to single values with their place: a column's run-length coding undone. Only runs that meet `where` are written out."""
     before = F.coalesce(F.sum(n).over(W.partitionBy(*keys).orderBy(at).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return runs.withColumn("_b", before).select(*keys, F.posexplode(F.array_repeat(value, F.col(n).cast("int"))).alias("_k", value), "_b").select(*keys, (F.col("_b") + F.col("_k")).alias("place"), value)
+    return runs.withColumn("_b", before).where(where).select(*keys, F.posexplode(F.array_repeat(value, F.col(n).cast("int"))).alias("_k", value), "_b").select(*keys, (F.col("_b") + F.col("_k")).alias("place"), value)
 
 
 # --- compressed forms ---------------------------------------------------------------------------

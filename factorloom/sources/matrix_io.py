@@ -84,8 +84,8 @@ def pipeline(spark: SparkSession, source: str, title: str, target: str, meta: Da
 
 
 def run_lengths(runs: DataFrame) -> DataFrame:
-    """A run-length coded column (col_id, at, value, n) as cells: the place in the column is the row."""
-    return matrix.rle_decode(runs, ["col_id"]).select(F.col("place").alias("row_id"), "col_id", "value").where("value <> 0")
+    """A run-length coded column (col_id, at, value, n) as cells: the place in the column is the row. Runs of zeros count for the places, but make no cells."""
+    return matrix.rle_decode(runs, ["col_id"], where="value <> 0").select(F.col("place").alias("row_id"), "col_id", "value")
 
 
 __all__ = ["Container", "build", "file_name", "pipeline", "prepare", "read_matrix", "read_model", "run_lengths", "write_matrix", "write_model"]

@@ -225,3 +225,8 @@ def test_fits_side_by_side_ship_the_package_once():
     with ThreadPoolExecutor(4) as pool:
         list(pool.map(lambda _: session.ship(SimpleNamespace(sparkContext=context)), range(4)))
     assert len(sent) == 1
+
+
+def test_run_lengths_write_out_no_zeros(spark):
+    runs = spark.createDataFrame([(0, 0, 0.0, 2_000_000_000), (0, 1, 4.0, 2), (0, 2, 0.0, 2_000_000_000), (0, 3, 5.0, 1)], "col_id long, at long, value double, n long")
+    assert {(r["row_id"], r["value"]) for r in matrix_io.run_lengths(runs).collect()} == {(2_000_000_000, 4.0), (2_000_000_001, 4.0), (4_000_000_002, 5.0)}
