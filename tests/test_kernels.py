@@ -122,3 +122,26 @@ def test_group_balancing_needs_its_first_group(spark):
     with pytest.raises(ValueError):
         prepare.weight_by_split(m, codes)
     assert prepare.weight_by_split(m.limit(0), codes).collect() == []
+
+
+@pytest.mark.parametrize("inverse", [20, 16, 7, 1])
+def test_masked_blocks_have_each_masked_pair_once(inverse):
+    """With classes and without; with them, pairs that can't be masked are left out."""
+    r = np.random.default_rng(1)
+    own, other = r.integers(0, 1 << 40, 70), r.integers(0, 1 << 40, 3000)
+    for by_sample in (True, False):
+        want = rng.masked_np(5, own[:, None], other[None], inverse) if by_sample else rng.masked_np(5, other[None], own[:, None], inverse)
+        for classed in (1, 1 << 30):
+            got, looked = np.zeros(want.shape, int), 0
+            for a, b, hit in rng.masked_blocks(5, inverse, by_sample, own, other, classed):
+                got[np.ix_(a, b)] += hit
+                looked += hit.size
+            assert (got == want).all()
+            assert looked < 0.3 * want.size or inverse != 20 or classed > 1
+
+
+def test_class_of_a_sample_as_a_column(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(500).select("id", rng.sample_class(9, F.col("id"), 13).alias("c")).collect()
+    assert [r["c"] for r in rows] == [int(x) & 8191 for x in rng.left_np(9, np.array([r["id"] for r in rows]))]
