@@ -4,25 +4,30 @@ Little-endian: six u32 (level 3, rows, columns, cells, the value type's bytes: s
 column as u64, then the columns. A column is a row of runs by ascending value: the f64 value, the width of its indices as one byte, the
 first index and the gaps to the next ones at that width, and a zero of that width.
 
-Columns are compressed, and read back, by tasks; the file itself is one stream that the driver writes a partition at a time, as its format asks. Parquet
+Columns are compressed, and read back, by tasks, which write them to files of the shared folder; the file itself is one stream, as its format asks: the driver
+puts those files together, a few megabytes at a time, and gets only their names from the tasks. Parquet
 (matrix_io) is the form for large matrices. The folder must be one that pyarrow reads.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import matrix
-from ..session import cut, ship
+from ..session import shared_dir, ship
 
 _HEAD = struct.Struct("<6I")
+#: Bytes that the driver holds of a file.
+AT_ONCE = 8 << 20
 LEVEL, VALUE_TYPE, INDEX_BYTES = 3, 8 | 1 << 8 | 1 << 16 | 1 << 24, 8
 
 
@@ -69,16 +74,48 @@ def write(m: DataFrame, path: str, n_rows: int, n_cols: int) -> None:
 
     runs = matrix.to_ivcsc(m).groupBy("col_id").agg(F.sort_array(F.collect_list(F.struct("value", F.col("width").cast("int").alias("width"), "gaps"))).alias("r"))
     rows = runs.repartitionByRange("col_id").sortWithinPartitions("col_id").select(F.col("col_id").cast("long"), "r.value", "r.width", "r.gaps")
-    blobs = cut(rows.mapInArrow(run, "col_id long, blob binary"))
-    sizes = np.zeros(n_cols, "<u8")
-    for r in blobs.select("col_id", F.length("blob").alias("n")).toLocalIterator():
-        sizes[r["col_id"]] = r["n"]
+    base = f"{shared_dir(m.sparkSession)}/ivsparse"
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each task's columns in a file of their own, and their ids and sizes in another."""
+        name, first = f"{base}/{uuid.uuid4().hex}", None
+        place, path = fs.FileSystem.from_uri(name)
+        place.create_dir(path.rpartition("/")[0])
+        with place.open_output_stream(f"{path}.columns") as columns, place.open_output_stream(f"{path}.sizes") as sizes:
+            for batch in run(batches):
+                ids = batch.column(0).to_numpy()
+                first = int(ids[0]) if first is None and len(ids) else first
+                own = pc.binary_length(batch.column(1)).to_numpy().astype(np.int64)
+                sizes.write(np.stack([ids, own], axis=1).astype("<u8").tobytes())
+                for blob in batch.column(1):
+                    columns.write(blob.as_buffer())
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([name])], names=["first", "name"])
+
+    parts = sorted((r["first"], r["name"]) for r in rows.mapInArrow(store, "first long, name string").collect())
     place, name = fs.FileSystem.from_uri(path)
     with place.open_output_stream(name) as out:
         out.write(_HEAD.pack(LEVEL, n_rows, n_cols, m.count(), VALUE_TYPE, INDEX_BYTES))
-        out.write(sizes.tobytes())
-        for r in blobs.orderBy("col_id").toLocalIterator():
-            out.write(r["blob"])
+        done = 0
+        for _, part in parts:
+            for piece in _pieces(f"{part}.sizes"):
+                ids, own = np.frombuffer(piece, "<u8").reshape(-1, 2).T.astype(np.int64)
+                whole = np.zeros(int(ids[-1]) + 1 - done, "<u8")
+                whole[ids - done] = own
+                out.write(whole.tobytes())
+                done += len(whole)
+        for at in range(done, n_cols, AT_ONCE // 8):
+            out.write(bytes(8 * (min(n_cols, at + AT_ONCE // 8) - at)))
+        for _, part in parts:
+            for piece in _pieces(f"{part}.columns"):
+                out.write(piece)
+
+
+def _pieces(uri: str) -> Iterator[bytes]:
+    place, name = fs.FileSystem.from_uri(uri)
+    with place.open_input_file(name) as file:
+        while piece := file.read(AT_ONCE):
+            yield piece
 
 
 def read(spark: SparkSession, path: str, at_once: int = 64 << 20) -> DataFrame:

@@ -145,3 +145,17 @@ def test_class_of_a_sample_as_a_column(spark):
 
     rows = spark.range(500).select("id", rng.sample_class(9, F.col("id"), 13).alias("c")).collect()
     assert [r["c"] for r in rows] == [int(x) & 8191 for x in rng.left_np(9, np.array([r["id"] for r in rows]))]
+
+
+def test_ivsparse_columns_do_not_pass_the_driver(spark, tmp_path, monkeypatch):
+    from factorloom.sources import ivsparse
+
+    cells = [(i, j, float(i % 3 + 1)) for j in (0, 3, 4, 90) for i in range(j, 200 + j)]
+    m = spark.createDataFrame(cells, "row_id long, col_id long, value double")
+    whole = type(m).collect
+    monkeypatch.setattr(type(m), "toLocalIterator", None)
+    monkeypatch.setattr(type(m), "collect", lambda df: [r for r in whole(df) if not any(isinstance(v, (bytes, bytearray)) for v in r)])
+    monkeypatch.setattr(ivsparse, "AT_ONCE", 32)
+    ivsparse.write(m, f"file://{tmp_path}/m.ivsparse", 300, 120)
+    monkeypatch.undo()
+    assert sorted(map(tuple, ivsparse.read(spark, f"file://{tmp_path}/m.ivsparse", 1 << 9).collect())) == sorted(cells)
