@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from factorloom import session
 from factorloom.functions import kernels, rng
 from factorloom.operators import annotate, enrich, graph, matrix, nmf, prepare, rank
+from factorloom.plans import fixtures
 from factorloom.sources import matrix_io
 
 
@@ -230,3 +231,22 @@ def test_fits_side_by_side_ship_the_package_once():
 def test_run_lengths_write_out_no_zeros(spark):
     runs = spark.createDataFrame([(0, 0, 0.0, 2_000_000_000), (0, 1, 4.0, 2), (0, 2, 0.0, 2_000_000_000), (0, 3, 5.0, 1)], "col_id long, at long, value double, n long")
     assert {(r["row_id"], r["value"]) for r in matrix_io.run_lengths(runs).collect()} == {(2_000_000_000, 4.0), (2_000_000_001, 4.0), (4_000_000_002, 5.0)}
+
+
+def test_shuffle_partitions_grow_with_a_table(spark, tmp_path, monkeypatch):
+    kept = {name: spark.conf.get(name) for name in ("spark.sql.shuffle.partitions", session._ADVISORY, "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.range(50_000).write.parquet(f"file://{tmp_path}/lineitem.parquet")
+        fixtures.t(spark, f"file://{tmp_path}", "lineitem")
+        assert {name: spark.conf.get(name) for name in kept} == kept  # a small table leaves them
+        monkeypatch.setattr(session, "TASK_BYTES", 10_000)
+        table = fixtures.t(spark, f"file://{tmp_path}", "lineitem")
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) >= 20 and int(spark.conf.get(session._ADVISORY)) == 10_000
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # it makes no partitions under 1 MB
+        parts = table.groupBy("id").count().select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        assert max(r["count"] for r in parts) < 10_000
+        side = nmf.blocks(table.select(F.col("id").alias("row_id"), (F.col("id") % 500).alias("col_id"), F.lit(1.0).alias("value")), "col_id")
+        assert len(side.rows.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))  # a file for each bucket
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
