@@ -250,3 +250,14 @@ def test_shuffle_partitions_grow_with_a_table(spark, tmp_path, monkeypatch):
     finally:
         for name, value in kept.items():
             spark.conf.set(name, value)
+
+
+def test_ids_without_cells_are_sought_among_sizes(data, monkeypatch):
+    m, plans, write = session.cut(data[1]), [], nmf._bucketed
+    monkeypatch.setattr(nmf, "_bucketed", lambda rows, keys, n: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or write(rows, keys, n))
+    reads = lambda plan: sum("Relation" in line and "value" in line for line in plan.splitlines())
+    side = nmf.blocks(m, "col_id", data[3])
+    assert sorted((r["id"], len(r["idx"])) for r in side.rows.collect()) == [(j, int((data[0][:, j] != 0).sum())) for j in range(15)]
+    assert "LeftAnti" in plans[0] and reads(plans[0]) == 1  # cells are read for the groups alone
+    nmf.problem(m)  # ids that come from the cells have cells
+    assert len(plans) == 3 and not any("LeftAnti" in plan or reads(plan) > 1 for plan in plans[1:])
