@@ -261,3 +261,21 @@ def test_ids_without_cells_are_sought_among_sizes(data, monkeypatch):
     assert "LeftAnti" in plans[0] and reads(plans[0]) == 1  # cells are read for the groups alone
     nmf.problem(m)  # ids that come from the cells have cells
     assert len(plans) == 3 and not any("LeftAnti" in plan or reads(plan) > 1 for plan in plans[1:])
+
+
+def test_read_splits_stay_small(spark, tmp_path, monkeypatch):
+    names = ("spark.sql.shuffle.partitions", session._ADVISORY, "spark.sql.files.maxPartitionBytes")
+    kept = {name: spark.conf.get(name) for name in names}
+    try:
+        spark.range(0, 200_000, 1, 20).write.parquet(f"file://{tmp_path}/lineitem.parquet")
+        most = lambda: max(r["count"] for r in fixtures.t(spark, f"file://{tmp_path}", "lineitem").groupBy(F.spark_partition_id().alias("p")).count().collect())
+        assert most() > 10_000 and {name: spark.conf.get(name) for name in names} == kept  # a small table leaves them
+        for name in ("TASK_BYTES", "READ_BYTES"):
+            monkeypatch.setattr(session, name, 60_000, raising=False)
+        assert most() == 10_000  # a file a task
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000b")
+        most()
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "20000b"  # never loosened
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
