@@ -208,6 +208,28 @@ def test_stream_equals_batch(spark, data, tmp_path):
     assert got.keys() == want.keys() and all(np.allclose(got[i], want[i]) for i in got)
 
 
+def test_stream_takes_a_model_beyond_the_limit(spark, data, tmp_path, monkeypatch):
+    from factorloom.streaming import project
+
+    _, m, _, _ = data
+    model = nmf.run_nmf(m, 2, maxit=3)
+    model = nmf.Model(model.w.where("feature_id <> 5"), model.d, model.h)  # the others know a feature that it lacks
+    rows = nmf.blocks(m, "col_id", spark.range(15)).rows
+    want = {r.id: r.weights for r in project.project_stream(rows, model).collect()}
+    monkeypatch.setattr(project, "TASK_BYTES", 100, raising=False)  # several files of W
+    for lot in (1, 30, 1 << 21):
+        monkeypatch.setattr(project, "LOT", lot, raising=False)
+        got = {r.id: r.weights for r in project.project_stream(rows, model, limit=0).collect()}
+        assert got.keys() == want.keys() and len(got) == 15 and all(np.allclose(got[i], want[i], rtol=1e-9, atol=0) for i in got)
+    rows.write.parquet(str(tmp_path / "in"))
+    out = project.project_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), model, limit=0)
+    q = out.writeStream.format("memory").queryName("projected_beyond").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r.id: r.weights for r in spark.table("projected_beyond").collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], rtol=1e-9, atol=0) for i in got)
+
+
 def test_moderated_takes_factors_and_groups_without_variance(spark):
     h = spark.createDataFrame([(i, f, w) for i in range(12) for f, w in ((0, 0.1 * (i % 5) + i // 6), (1, 0.0))], "sample_id long, factor int, weight double")
     groups = spark.range(12).select(F.col("id").alias("sample_id"), F.when(F.col("id") < 6, "a").otherwise("b").alias("level"))
